@@ -6,7 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from codelode.functions.hof import bind, first_index, last_index
 from codelode.functions.regex import rx, trim
-from codelode.operators.rules import by_language
 
 # Reach of a block, literals that hide brackets, lines that go on.
 MAX_BLOCK = 400
@@ -111,10 +110,10 @@ def semicolon_end(lines: Column, pos: Column) -> Column:
 
 
 def block_end(
-    lines: Column, brackets: Column, pos: Column, indent: Column, lang: Column
+    lines: Column, brackets: Column, pos: Column, indent: Column, mode: Column
 ) -> Column:
-    """0-based last line of the block that starts at ``pos``."""
-    mode = by_language(lang, lambda s: s.block, "brace")
+    """0-based last line of the block that starts at ``pos``; ``mode`` is how blocks end in
+    the language."""
     return (
         F.when(mode == "indent", indent_end(lines, pos, indent))
         .when(mode == "end", keyword_end(lines, pos, indent))

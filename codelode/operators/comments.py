@@ -2,7 +2,8 @@
 
 ``lines`` is the array built by ``operators.extract.line_array``: structs with the raw
 line ``l``, the trimmed line ``t``, the indent and the flags ``cmt`` (starts with a line
-comment) and ``dec`` (decorator line).
+comment) and ``dec`` (decorator line). ``pairs`` holds the block comment delimiters of the
+language (``operators.rules.language_columns``).
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from pyspark.sql import Column, functions as F
 
 from codelode.functions.hof import bind, first_index, last_index
 from codelode.functions.regex import rx, squeeze, trim
-from codelode.operators.rules import GENERIC, by_language
 
 # What is cleaned out of comments, and how far they reach.
 COMMENT_MAX = 240
@@ -26,19 +26,6 @@ LINE_PREFIX = r"^(?://|#|--)[/#!\-]*"
 SIGNATURE_END = r":\s*(#.*)?$"
 # Fixed values end.
 
-PAIRS_TYPE = "array<struct<open:string,close:string>>"
-
-
-def block_pairs(lang: Column) -> Column:
-    """Block comment delimiters of the language."""
-    def of(spec) -> Column:
-        pairs = [F.struct(F.lit(o).alias("open"), F.lit(c).alias("close"))
-                 for o, c in spec.block_comments]
-        return (F.array(*pairs) if pairs else F.array()).cast(PAIRS_TYPE)
-
-    return by_language(lang, of, of(GENERIC))
-
-
 def join_comment(parts: Column) -> Column:
     """One line of text: empty, decorative and tag lines dropped, spaces squeezed, cut."""
     trimmed = F.transform(parts, trim)
@@ -92,7 +79,7 @@ def _block_above(lines: Column, last: Column, pair: Column) -> Column:
         k.isNotNull(), join_comment(_block_texts(lines, k, last, open_, close)))))
 
 
-def comment_above(lines: Column, pos: Column, lang: Column) -> Column:
+def comment_above(lines: Column, pos: Column, pairs: Column) -> Column:
     """Comment right above line ``pos``: a run of line comments, or a block comment whose
     last line is right above. Decorator lines between are skipped."""
     anchor = F.coalesce(
@@ -104,7 +91,7 @@ def comment_above(lines: Column, pos: Column, lang: Column) -> Column:
             F.lit(-1))
 
         def from_run(k: Column) -> Column:
-            blocks = F.transform(block_pairs(lang), lambda p: _block_above(lines, j, p))
+            blocks = F.transform(pairs, lambda p: _block_above(lines, j, p))
             return (
                 F.when(k < j, join_comment(_line_texts(lines, k + 1, j)))
                 .when(j < 0, F.lit(""))
@@ -117,7 +104,7 @@ def comment_above(lines: Column, pos: Column, lang: Column) -> Column:
     return bind(anchor, at)
 
 
-def docstring_below(lines: Column, pos: Column, lang: Column) -> Column:
+def docstring_below(lines: Column, pos: Column, pairs: Column) -> Column:
     """Docstring under the signature that starts at ``pos``; empty when there is none."""
     n = F.size(lines)
     limit = F.least(n - 1, pos + SIGNATURE_LINES)
@@ -145,13 +132,13 @@ def docstring_below(lines: Column, pos: Column, lang: Column) -> Column:
         start = pos + c + 1
         first = first_index(lines, start, [2, SIGNATURE_LINES], lambda m: m["t"] != "") + start
         return bind(first, lambda j: F.when(j <= limit, F.coalesce(F.get(F.filter(
-            F.transform(block_pairs(lang), lambda p: body_of(j, p)),
+            F.transform(pairs, lambda p: body_of(j, p)),
             lambda d: d.isNotNull()), F.lit(0)), F.lit(""))))
 
     return F.coalesce(bind(colon, after_colon), F.lit(""))
 
 
-def file_header(lines: Column, lang: Column) -> Column:
+def file_header(lines: Column, pairs: Column) -> Column:
     """Comment block at the top of the file, after blank lines and a shebang."""
     n = F.size(lines)
     begin = first_index(lines, F.lit(0), [4, 64, 2**30],
@@ -173,7 +160,7 @@ def file_header(lines: Column, lang: Column) -> Column:
 
     def at(i: Column) -> Column:
         run = F.coalesce(first_index(lines, i, [8, 2**30], lambda m: ~m["cmt"]), n - i)
-        blocks = F.transform(block_pairs(lang), lambda p: block(i, p))
+        blocks = F.transform(pairs, lambda p: block(i, p))
         return F.when(i.isNull(), F.lit("")).when(
             F.get(lines, i)["cmt"], join_comment(_line_texts(lines, i, i + run - 1))
         ).otherwise(F.coalesce(

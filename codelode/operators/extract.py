@@ -10,19 +10,23 @@ prefix. Block ends and comments are worked out for accepted candidates only.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.functions import paths as P
 from codelode.functions.hof import bind
 from codelode.functions.regex import rx, trim
 from codelode.operators import blocks, comments, extras
-from codelode.operators.rules import GENERIC, LANGUAGES, MATCH_TYPE, by_language, matches
+from codelode.operators.rules import GENERIC, LANGUAGES, MATCH_TYPE, by_language, language_columns, matches_sql
 
 # Fixed value: a decorator is forgotten after this many lines.
 MAX_DECORATOR_DISTANCE = 8
 
-BRACE_LANGUAGES = [name for name, s in LANGUAGES.items() if s.block == "brace"]
-HASH_LANGUAGES = [name for name, s in LANGUAGES.items() if "#" in s.line_comments]
+DECORATED: dict[str, list[str]] = {}
+for _name, _spec in LANGUAGES.items():
+    if _spec.decorator:
+        DECORATED.setdefault(_spec.decorator, []).append(_name)
 
 EXTRA_TYPE = (
     "struct<method:string,path:string,handler:string,parent:string,kind:string,route:string,"
@@ -43,36 +47,32 @@ def split_lines(text: Column) -> Column:
     return F.split(text, r"\r?\n", -1)
 
 
-def line_array(text: Column, lang: Column) -> Column:
+def line_array(raw: Column, lang: Column, matched: Column) -> Column:
     """Lines of a file with their features: raw and trimmed text, indent, whether it is a
-    comment or a decorator, and the rules that match it."""
-    prefixes = {"//": [], "#": [], "--": []}
-    for name, spec in LANGUAGES.items():
-        for p in spec.line_comments:
-            prefixes[p].append(name)
-    known = F.coalesce(lang, F.lit(""))
-    generic = ~known.isin(list(LANGUAGES))
-
+    comment or a decorator, and the rules that match it (``matched``, by position)."""
     def is_comment(t: Column) -> Column:
-        tests = [(generic | known.isin(names)) & F.startswith(t, F.lit(p))
-                 for p, names in prefixes.items()]
-        return tests[0] | tests[1] | tests[2]
+        return (
+            (F.col("_slash") & F.startswith(t, F.lit("//")))
+            | (F.col("_hash") & F.startswith(t, F.lit("#")))
+            | (F.col("_dash") & F.startswith(t, F.lit("--")))
+        )
 
     def is_decorator(line: Column) -> Column:
-        tests = by_language(
-            known, lambda s: line.rlike(rx(s.decorator)) if s.decorator else False, False)
-        return tests
+        return F.coalesce(*[
+            F.when(lang.isin(names), line.rlike(rx(pattern)))
+            for pattern, names in DECORATED.items()
+        ], F.lit(False))
 
-    def features(line: Column) -> Column:
+    def features(line: Column, i: Column) -> Column:
         return bind(trim(line), lambda t: F.struct(
             line.alias("l"), t.alias("t"),
             (F.length(line) - F.length(F.ltrim(line, F.lit(" \t")))).alias("indent"),
             is_comment(t).alias("cmt"),
             F.when(t != "", is_decorator(line)).otherwise(False).alias("dec"),
-            F.when(t != "", matches(known, line)).alias("m"),
+            F.get(matched, i).alias("m"),
         ))
 
-    return F.transform(split_lines(text), features)
+    return F.transform(raw, features)
 
 
 def _struct(type_: str, fields: dict[str, Column]) -> Column:
@@ -83,7 +83,7 @@ def _null(type_: str) -> Column:
     return F.lit(None).cast(type_)
 
 
-def unit_heads(lines: Column, brackets: Column, lang: Column) -> Column:
+def unit_heads(lines: Column, brackets: Column) -> Column:
     """Accepted units of one file, in line order: array of heads (see ``_HEAD_FIELDS``),
     lines 0-based."""
     candidates = F.filter(
@@ -91,7 +91,7 @@ def unit_heads(lines: Column, brackets: Column, lang: Column) -> Column:
             i.cast("int").alias("pos"), m["indent"].alias("indent"), m["t"].alias("t"),
             m["cmt"].alias("cmt"), m["dec"].alias("dec"), m["m"].alias("m"))),
         lambda c: F.size(F.coalesce(c["m"], F.array().cast(MATCH_TYPE))) > 0)
-    max_indent = by_language(lang, lambda s: s.max_indent, 0)
+    max_indent = F.col("_max_indent")
 
     state = F.struct(
         F.array().cast(f"array<{_SCOPE_TYPE}>").alias("scopes"),
@@ -213,7 +213,7 @@ def unit_heads(lines: Column, brackets: Column, lang: Column) -> Column:
                 .when(~r["unit"], as_scope).otherwise(as_def)
             )
 
-        needs_end = bind(blocks.block_end(lines, brackets, pos, indent, lang), with_end)
+        needs_end = bind(blocks.block_end(lines, brackets, pos, indent, F.col("_block")), with_end)
         return (
             F.when(r.isNull(), unmatched).when(r["kind"] == "prefix", prefixed)
             .when(r["kind"] == "decorator", decorated).otherwise(needs_end)
@@ -222,52 +222,58 @@ def unit_heads(lines: Column, brackets: Column, lang: Column) -> Column:
     return F.aggregate(candidates, state.cast(state_type), step, lambda a: a["out"])
 
 
-def _comment_of(lines: Column, u: Column, lang: Column) -> Column:
-    has_docstring = by_language(lang, lambda s: s.docstring, False) & u["is_def"]
-    above = comments.comment_above(lines, u["start"], lang)
-    below = F.when(has_docstring, comments.docstring_below(lines, u["start"], lang))
+def _comment_of(lines: Column, u: Column) -> Column:
+    pairs = F.col("_pairs")
+    above = comments.comment_above(lines, u["start"], pairs)
+    below = F.when(F.col("_docstring") & u["is_def"],
+                   comments.docstring_below(lines, u["start"], pairs))
     return F.coalesce(F.nullif(below, F.lit("")), above)
 
 
-def mine_text(text: Column, lang: Column) -> Column:
-    """struct(n_lines, header, units) of one file; units carry their comment and body."""
-    known = F.coalesce(lang, F.lit(""))
+@cache
+def _mined() -> Column:
+    """struct(n_lines, header, units) of one file; units carry their comment and body.
 
+    Over the columns that :func:`mine_files` puts beside the text. It depends on nothing
+    else, so it is built once per process."""
     def with_lines(lines: Column) -> Column:
-        brackets = F.when(
-            known.isin(BRACE_LANGUAGES),
-            F.transform(lines, lambda m: blocks.bracket_counts(
-                m["l"], known.isin(HASH_LANGUAGES))))
+        brackets = F.when(F.col("_brace"), F.transform(
+            lines, lambda m: blocks.bracket_counts(m["l"], F.col("_hash"))))
+
+        def body(u: Column) -> Column:
+            own = F.slice(lines, u["start"] + 1, u["end"] - u["start"] + 1)
+            return F.array_join(F.transform(own, lambda m: m["l"]), "\n")
 
         def with_heads(heads: Column) -> Column:
-            body = lambda u: F.array_join(F.transform(
-                F.slice(lines, u["start"] + 1, u["end"] - u["start"] + 1), lambda m: m["l"]), "\n")
             units = F.transform(heads, lambda u: F.struct(
-                u.alias("u"), _comment_of(lines, u, known).alias("comment"), body(u).alias("body")))
+                u.alias("u"), _comment_of(lines, u).alias("comment"), body(u).alias("body")))
             return F.struct(
                 F.size(lines).alias("n_lines"),
-                comments.file_header(lines, known).alias("header"),
+                comments.file_header(lines, F.col("_pairs")).alias("header"),
                 units.alias("units"))
 
-        return bind(brackets, lambda br: bind(
-            unit_heads(lines, br, known), with_heads))
+        return bind(brackets, lambda br: bind(unit_heads(lines, br), with_heads))
 
-    return bind(line_array(F.coalesce(text, F.lit("")), known), with_lines)
+    matched = F.expr(matches_sql("_lang", "_lines"))
+    return bind(matched, lambda found: bind(
+        line_array(F.col("_lines"), F.col("_lang"), found), with_lines))
 
 
 def mine_files(files: DataFrame, areas: list[tuple[str, str]] = ()) -> DataFrame:
-    """files(repo, path, text) -> one row per file with its mined units. Both the unit table
-    and the file table come from it; save it when both are wanted."""
-    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in files.columns else F.coalesce(
-        P.detect_lang(F.col("path")), F.lit(""))
-    base = files.select(
-        "repo", P.posix(F.col("path")).alias("file"), lang.alias("_lang"),
-        P.area_of(F.col("path"), areas).alias("area"), "text")
-    return base.select(
+    """files(repo, path, text[, lang]) -> one row per file with its mined units. Both the unit
+    table and the file table come from it; save it when both are wanted."""
+    lang = F.col("lang") if "lang" in files.columns else P.detect_lang(F.col("path"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return files.select(
+        "repo", P.posix(F.col("path")).alias("file"),
+        F.coalesce(lang, F.lit("")).alias("_lang"),
+        P.area_of(F.col("path"), areas).alias("area"), text.alias("text"),
+        split_lines(text).alias("_lines"),
+    ).select(
+        "*", *[c.alias(n) for n, c in language_columns(F.col("_lang")).items()],
+    ).select(
         "repo", "file", F.nullif("_lang", F.lit("")).alias("lang"), "area",
-        mine_text(F.col("text"), F.col("_lang")).alias("mined"),
-        "text",
-    )
+        _mined().alias("mined"), "text")
 
 
 def file_stats(mined: DataFrame) -> DataFrame:
@@ -285,7 +291,7 @@ def _whole_file(mined: Column, text: Column, file: Column) -> Column:
              "type": F.lit("file"), "name": F.substring_index(file, "/", -1)}
     return F.array(F.struct(
         _struct(_HEAD_TYPE, head).alias("u"), mined["header"].alias("comment"),
-        F.array_join(split_lines(text), "\n").alias("body")))
+        F.regexp_replace(text, "\r\n", "\n").alias("body")))
 
 
 def mined_units(mined: DataFrame, routes: DataFrame | None = None,
@@ -295,7 +301,7 @@ def mined_units(mined: DataFrame, routes: DataFrame | None = None,
     rows = mined.select(
         "repo", "file", "lang", "area",
         F.explode(F.when(F.size(m["units"]) > 0, m["units"]).otherwise(
-            _whole_file(m, F.coalesce(F.col("text"), F.lit("")), F.col("file")))).alias("x"))
+            _whole_file(m, F.col("text"), F.col("file")))).alias("x"))
     u, body = F.col("x.u"), F.col("x.body")
     lang = F.coalesce(F.col("lang"), F.lit(""))
     jsx = by_language(lang, lambda s: s.jsx, False)
@@ -360,4 +366,4 @@ def unit_source(text: Column, start: Column, end: Column, cap: int = 60) -> Colu
     return bind(lines, of)
 
 
-__all__ = ["mine_files", "mined_units", "file_stats", "unit_source", "mine_text", "GENERIC"]
+__all__ = ["mine_files", "mined_units", "file_stats", "unit_source", "GENERIC"]

@@ -15,7 +15,12 @@ from pyspark.sql import Column, functions as F
 
 from codelode.functions.regex import rx
 
-Groups = Callable[[int], Column]
+Groups = Callable[[int], str]
+
+
+def sql_text(value: str) -> str:
+    """SQL literal of a text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 @dataclass(frozen=True)
@@ -25,15 +30,15 @@ class Rule:
 
     kind: str
     pattern: str
-    name: int | str | Callable[[Groups], Column] | None = None
-    method: int | str | Callable[[Groups], Column] | None = None
+    name: int | str | Callable[[Groups], str] | None = None
+    method: int | str | Callable[[Groups], str] | None = None
     path: int | None = None
     path_given: str | None = None  # pattern that tells an empty path from an absent one
     rest: int | None = None
     handler: int | None = None
     parent: int | None = None
     type: str | None = None
-    extra_kind: str | Callable[[Groups], Column] | None = None
+    extra_kind: str | Callable[[Groups], str] | None = None
     container: bool = False
     inside_only: bool = False
     unit: bool = True
@@ -82,35 +87,35 @@ def decorator(pattern: str, **kw) -> Rule:
 
 
 def job(pattern: str, title: str) -> Rule:
-    return Rule("job", pattern, name=lambda g: F.concat(F.lit(title), g(1)))
+    return Rule("job", pattern, name=lambda g: f"concat('{title}', {g(1)})")
 
 
-def _listed_methods(g: Groups) -> Column:
+def _listed_methods(g: Groups) -> str:
     """Methods of a Flask route: GET,POST from ``'GET', "post"``; GET when not given."""
-    bare = F.regexp_replace(g(3), rx(r"""['"\s]"""), "")
-    names = F.filter(F.split(bare, ","), lambda m: m != "")
-    return F.when(g(3) == "", F.lit("GET")).otherwise(F.upper(F.array_join(names, ",")))
+    bare = f"regexp_replace({g(3)}, {sql_text(rx(QUOTE_OR_SPACE))}, '')"
+    names = f"upper(array_join(filter(split({bare}, ','), m -> m != ''), ','))"
+    return f"if({g(3)} = '', 'GET', {names})"
 
 
-def _spring_method(g: Groups) -> Column:
-    return F.when(g(2) == "Request", F.lit("ANY")).otherwise(F.upper(g(2)))
+def _spring_method(g: Groups) -> str:
+    return f"if({g(2)} = 'Request', 'ANY', upper({g(2)}))"
 
 
-def _impl_name(g: Groups) -> Column:
-    return F.when(g(2) != "", F.concat(F.lit("impl "), g(2), F.lit(" for "), g(3))).otherwise(
-        F.concat(F.lit("impl "), g(3)))
+def _impl_name(g: Groups) -> str:
+    return f"if({g(2)} != '', concat('impl ', {g(2)}, ' for ', {g(3)}), concat('impl ', {g(3)}))"
 
 
-def _sql_name(g: Groups) -> Column:
-    return F.concat(F.lower(g(2)), F.lit(" "), g(3))
+def _sql_name(g: Groups) -> str:
+    return f"concat(lower({g(2)}), ' ', {g(3)})"
 
 
-def _sql_kind(g: Groups) -> Column:
-    return F.lower(g(2))
+def _sql_kind(g: Groups) -> str:
+    return f"lower({g(2)})"
 
 
 # The patterns, settings and file extensions below decide which units
 # exist, so they must stay as they are, in this order.
+QUOTE_OR_SPACE = r"""['"\s]"""
 HTTP = "get|post|put|delete|patch|all|options|head"
 ID = r"[A-Za-z_$][\w$]*"
 
@@ -256,7 +261,7 @@ SWIFT_RULES = [
 RUBY_RULES = [
     route(r"""^(\s*)(get|post|put|patch|delete)\s+['"]([^'"]+)['"]""", path=3, method=2),
     route(r"^(\s*)(resources?)\s+:(\w+)", path=3, method="RESOURCE",
-          name=lambda g: F.concat(F.lit("RESOURCE /"), g(3))),
+          name=lambda g: f"concat('RESOURCE /', {g(3)})"),
     function(r"^(\s*)def\s+(?:self\.)?([\w?!=]+)", 2),
     klass(r"^(\s*)(class|module)\s+([\w:]+)", 3, container=True),
 ]
@@ -343,51 +348,80 @@ def by_language(lang: Column, value: Callable[[Language], object], default: obje
     return chain.otherwise(as_col(default))
 
 
-def _match(rule: Rule, line: Column) -> Column:
+def language_columns(lang: Column) -> dict[str, Column]:
+    """Settings of the language of a file as columns, worked out once per file."""
+    pairs_type = "array<struct<open:string,close:string>>"
+
+    def pairs(spec: Language) -> Column:
+        found = [F.struct(F.lit(o).alias("open"), F.lit(c).alias("close"))
+                 for o, c in spec.block_comments]
+        return (F.array(*found) if found else F.array()).cast(pairs_type)
+
+    def starts_comment(prefix: str) -> Column:
+        return by_language(lang, lambda s: prefix in s.line_comments,
+                           prefix in GENERIC.line_comments)
+
+    pair_lists = {str(s.block_comments): s for s in LANGUAGES.values()}
+    by_list = by_language(lang, lambda s: str(s.block_comments), str(GENERIC.block_comments))
+    chosen = F.when(by_list == str(GENERIC.block_comments), pairs(GENERIC))
+    for key, spec in pair_lists.items():
+        chosen = chosen.when(by_list == key, pairs(spec))
+    return {
+        "_block": by_language(lang, lambda s: s.block, "brace"),
+        "_max_indent": by_language(lang, lambda s: s.max_indent, 0),
+        "_docstring": by_language(lang, lambda s: s.docstring, False),
+        "_brace": by_language(lang, lambda s: s.block == "brace", False),
+        "_slash": starts_comment("//"), "_hash": starts_comment("#"), "_dash": starts_comment("--"),
+        "_pairs": chosen,
+    }
+
+
+def _match_sql(rule: Rule, line: str) -> str:
     """What the rule captures on the line, NULL when it does not match."""
-    pattern = rule.java
+    pattern = sql_text(rule.java)
 
-    def group(n: int) -> Column:
-        return F.regexp_extract(line, pattern, n)
+    def group(n: int) -> str:
+        return f"regexp_extract({line}, {pattern}, {n})"
 
-    def text(value) -> Column:
+    def text(value) -> str:
         if value is None:
-            return F.lit(None).cast("string")
+            return "CAST(NULL AS string)"
         if isinstance(value, int):
             return group(value)
-        return F.lit(value) if isinstance(value, str) else value(group)
+        return sql_text(value) if isinstance(value, str) else value(group)
+
+    def present(value) -> str:
+        return text(value) if value is None else f"nullif({text(value)}, '')"
 
-    name = text(rule.name)
-    method = text(rule.method)
-    if isinstance(rule.method, int):
-        method = F.upper(method)
+    method = f"upper({text(rule.method)})" if isinstance(rule.method, int) else text(rule.method)
     path = text(rule.path)
     if rule.path_given:
-        path = F.when(line.rlike(rx(rule.path_given)), path)
-    allowed = ~name.isin(list(rule.not_names)) if rule.not_names else F.lit(True)
-    return F.when(line.rlike(pattern), F.struct(
-        F.lit(rule.kind).alias("kind"),
-        name.alias("name"),
-        F.nullif(method, F.lit("")).alias("method"),
-        path.alias("path"),
-        text(rule.rest).alias("rest"),
-        F.nullif(text(rule.handler), F.lit("")).alias("handler"),
-        F.nullif(text(rule.parent), F.lit("")).alias("parent"),
-        F.lit(rule.type).cast("string").alias("type"),
-        text(rule.extra_kind).alias("extra_kind"),
-        F.lit(rule.container).alias("container"),
-        F.lit(rule.inside_only).alias("inside_only"),
-        F.lit(rule.unit).alias("unit"),
-        F.lit(rule.job).alias("job"),
-        allowed.alias("allowed"),
-    ))
-
-
-def matches(lang: Column, line: Column) -> Column:
-    """All rules of the language that match the line, in rule order."""
-    def of(spec: Language) -> Column:
-        return F.filter(
-            F.array(*[_match(r, line) for r in spec.rules]), lambda m: m.isNotNull()
-        ).cast(MATCH_TYPE)
-
-    return by_language(lang, of, F.lit(None).cast(MATCH_TYPE))
+        path = f"if({line} rlike {sql_text(rx(rule.path_given))}, {path}, NULL)"
+    allowed = "true"
+    if rule.not_names:
+        names = ", ".join(sql_text(n) for n in rule.not_names)
+        allowed = f"{text(rule.name)} NOT IN ({names})"
+    fields = {
+        "kind": sql_text(rule.kind), "name": text(rule.name),
+        "method": method if rule.method is None else f"nullif({method}, '')",
+        "path": path, "rest": text(rule.rest), "handler": present(rule.handler),
+        "parent": present(rule.parent), "type": text(rule.type),
+        "extra_kind": text(rule.extra_kind), "container": str(rule.container).lower(),
+        "inside_only": str(rule.inside_only).lower(), "unit": str(rule.unit).lower(),
+        "job": str(rule.job).lower(), "allowed": allowed,
+    }
+    struct = ", ".join(f"'{n}', {v}" for n, v in fields.items())
+    return f"CASE WHEN {line} rlike {pattern} THEN named_struct({struct}) END"
+
+
+def matches_sql(lang: str, lines: str) -> str:
+    """SQL expression: for every line of the array column ``lines``, the rules of the
+    language that match it, in rule order; NULL for blank lines and unknown languages."""
+    def of(spec: Language) -> str:
+        found = ", ".join(_match_sql(r, "l") for r in spec.rules)
+        return f"CAST(filter(array({found}), r -> r IS NOT NULL) AS {MATCH_TYPE})"
+
+    branches = " ".join(
+        f"WHEN '{name}' THEN transform({lines}, l -> if(l rlike '[^ \\\\t]', {of(spec)}, NULL))"
+        for name, spec in LANGUAGES.items())
+    return f"CASE {lang} {branches} END"
