@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codelode.functions.numbers import rounded
 from codelode.functions.regex import squeeze, trim
 from codelode.operators.extract import unit_source
 
@@ -92,7 +93,7 @@ def merge_new_descriptions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def estimated_tokens(prompt: Column) -> Column:
-    return F.round(F.length(prompt) / CHARS_PER_TOKEN).cast("bigint")
+    return rounded(F.length(prompt) / CHARS_PER_TOKEN).cast("bigint")
 
 
 def description_cost(usage: DataFrame) -> DataFrame:
@@ -102,4 +103,4 @@ def description_cost(usage: DataFrame) -> DataFrame:
     return usage.groupBy("repo").agg(
         F.count("*").alias("requests"),
         (F.sum("input_tokens") + F.sum("output_tokens")).alias("tokens"),
-        F.round(price, 6).alias("cost_usd"))
+        rounded(price, 6).alias("cost_usd"))

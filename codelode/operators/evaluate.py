@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codelode.functions.hof import bind, last_index
+from codelode.functions.numbers import rounded
 from codelode.functions.paths import basename
 from codelode.functions.regex import rx, squeeze, trim
 
@@ -65,8 +66,9 @@ def parse_commits(blocks: DataFrame) -> DataFrame:
 
     parts = F.split(head, r"\|", 3)
     parsed = blocks.where(F.size(parts) == 3).select(
-        "repo", trim(parts[0]).alias("hash"), trim(parts[1]).alias("subject"),
-        parts[2].alias("_first"), bind(rest, cut).alias("_cut"))
+        "repo", trim(F.get(parts, F.lit(0))).alias("hash"),
+        trim(F.get(parts, F.lit(1))).alias("subject"),
+        F.get(parts, F.lit(2)).alias("_first"), bind(rest, cut).alias("_cut"))
     return parsed.select(
         "repo", "hash", "subject",
         F.concat(F.array("_first"), F.col("_cut.body")).alias("body"),
@@ -138,7 +140,7 @@ def coverage_at_k(ranked: DataFrame, targets: DataFrame, ks: tuple[int, ...] = (
     best = ranked.groupBy(*TASK_KEY, "file").agg(F.min("rank").alias("rank"))
     joined = targets.join(best, [*TASK_KEY, "file"], "left")
     return joined.groupBy(*TASK_KEY).agg(*[
-        F.round(F.count_if(F.col("rank") <= k) / F.count("*"), 3).alias(f"coverage{k}")
+        rounded(F.count_if(F.col("rank") <= k) / F.count("*"), 3).alias(f"coverage{k}")
         for k in ks])
 
 
@@ -170,16 +172,16 @@ def bench_summary(rows: DataFrame) -> DataFrame:
     and tokens, total price, mean coverage of the first 3 (percent)."""
     def top(k: int) -> Column:
         hit = F.count_if((F.col("rank") >= 1) & (F.col("rank") <= k))
-        return F.round(F.lit(100) * hit / F.count("*")).cast("int").alias(f"top{k}")
+        return rounded(F.lit(100) * hit / F.count("*")).cast("int").alias(f"top{k}")
 
     failed = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
     return rows.groupBy("mode").agg(
         F.count("*").alias("commits"), top(1), top(3), top(5),
-        F.round(F.avg("calls"), 1).alias("calls"),
-        F.round(F.avg("tokens")).cast("bigint").alias("tokens"),
-        F.round(F.sum("cost_usd"), 4).alias("cost_usd"),
+        rounded(F.avg("calls"), 1).alias("calls"),
+        rounded(F.avg("tokens")).cast("bigint").alias("tokens"),
+        rounded(F.sum("cost_usd"), 4).alias("cost_usd"),
         F.count_if(failed).alias("errors"),
-        F.round(F.lit(100) * F.avg("coverage3")).cast("int").alias("coverage_top3"))
+        rounded(F.lit(100) * F.avg("coverage3")).cast("int").alias("coverage_top3"))
 
 
 __all__ = [

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codelode.functions import text as T
 from codelode.functions.hof import join_present
+from codelode.functions.numbers import rounded
 
 # Sizes and wording of the ranking requests and results.
 TOP_UNITS = 15
@@ -176,10 +177,10 @@ def number_in_order(
     )
     inside = Window.partitionBy(group, "_range").orderBy(*order)
     return (
-        ranged.withColumn("_n", F.row_number().over(inside))
+        ranged.withColumn("_inside", F.row_number().over(inside))
         .join(shifts, [group, "_range"])
-        .withColumn(alias, (F.col("_n") + F.col("_shift")).cast("bigint"))
-        .drop("_range", "_n", "_shift")
+        .withColumn(alias, (F.col("_inside") + F.col("_shift")).cast("bigint"))
+        .drop("_range", "_inside", "_shift")
     )
 
 
@@ -268,12 +269,12 @@ def scan_scores(
 def rank_units(scored: DataFrame, top: int = TOP_UNITS, by: str = "p") -> DataFrame:
     """Best ``top`` units per part, with p to three decimals."""
     ranked = _best(scored, F.col(by), top, "rank")
-    return ranked.withColumn("p", F.round("p", 3)) if "p" in scored.columns else ranked
+    return ranked.withColumn("p", rounded(F.col("p"), 3)) if "p" in scored.columns else ranked
 
 
 def rank_files(scored: DataFrame, limit: int = TOP_FILES, by: str = "p") -> DataFrame:
     """Distinct files per part, ordered by their best unit; at most ``limit``."""
-    digits = F.round(F.col("best"), 3) if by == "p" else F.col("best")
+    digits = rounded(F.col("best"), 3) if by == "p" else F.col("best")
     best = scored.groupBy(*PART_KEY, "file").agg(
         F.max(by).alias("best"), F.max_by(F.col("start"), F.struct(
             F.col(by), (-F.col("start")).alias("earlier"))).alias("start"))
@@ -333,7 +334,7 @@ def choice_summary(answers: DataFrame) -> DataFrame:
         return F.coalesce(F.max(F.when(F.col("k") == k, F.col("p"))), F.lit(0.0))
 
     return answers.groupBy(*PART_KEY).agg(
-        value("confidence").alias("confidence"), F.round(value("none"), 3).alias("none"))
+        value("confidence").alias("confidence"), rounded(value("none"), 3).alias("none"))
 
 
 def keyword_fallback(
@@ -354,7 +355,7 @@ def no_candidate_parts(task_parts: DataFrame, candidates: DataFrame) -> DataFram
 
 def cost(tokens: Column) -> Column:
     """Price in USD of a number of input tokens."""
-    return F.round(tokens / F.lit(1e6) * F.lit(PRICE_PER_MTOKEN_USD), 6)
+    return rounded(tokens / F.lit(1e6) * F.lit(PRICE_PER_MTOKEN_USD), 6)
 
 
 def task_cost(usage: DataFrame) -> DataFrame:
@@ -362,7 +363,7 @@ def task_cost(usage: DataFrame) -> DataFrame:
     rounded before it is added."""
     return usage.groupBy("repo", "task_id").agg(
         F.count("*").alias("calls"), F.sum("tokens").alias("tokens"),
-        F.round(F.sum(cost(F.col("tokens"))), 6).alias("cost_usd"))
+        rounded(F.sum(cost(F.col("tokens"))), 6).alias("cost_usd"))
 
 
 def callers_of(units: DataFrame) -> DataFrame:

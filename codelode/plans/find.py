@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from codelode.functions.numbers import rounded
 from codelode.operators import retrieve as R
 
 
@@ -42,7 +43,7 @@ def find(
         ranked = R.rank_units(scored, top)
         files = R.rank_files(scored)
     columns = [*R.PART_KEY, "file", "start", "score", "rank", "p"]
-    best = ranked.withColumn("p", F.round("p", 3)).select(*columns).unionByName(
+    best = ranked.withColumn("p", rounded(F.col("p"), 3)).select(*columns).unionByName(
         fallback.where(F.col("rank") <= top).select(*columns))
     no_score, no_p = F.lit(None).cast("double"), F.lit(None).cast("double")
     all_files = files.withColumn("score", no_score).unionByName(
@@ -53,7 +54,7 @@ def find(
 def _files_by_rank(scored: DataFrame, limit: int = R.TOP_FILES) -> DataFrame:
     """Distinct files of a reranked part, by their best unit."""
     best = scored.groupBy(*R.PART_KEY, "file").agg(
-        F.min("rank").alias("_r"), F.round(F.max("p"), 3).alias("p"))
+        F.min("rank").alias("_r"), rounded(F.max("p"), 3).alias("p"))
     order = Window.partitionBy(*R.PART_KEY).orderBy("_r")
     return best.withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= limit).select(*R.PART_KEY, "rank", "file", "p")
