@@ -21,6 +21,14 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bind_as(type_: str, value: Column, body: Callable[[Column], Column]) -> Column:
+    """:func:`bind` for a body of a known type. ``transform`` copies what its body returns,
+    ``aggregate`` does not; this matters when the result is large and bound again and again,
+    as in a fold over the lines of a file."""
+    start = F.lit(None).cast(type_)
+    return F.aggregate(F.array(value), start, lambda _, v: body(v).cast(type_))
+
+
 def first_index(
     arr: Column, start: Column, tiers: Sequence[int], hit: Callable[[Column], Column]
 ) -> Column:

@@ -15,7 +15,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.functions import paths as P
-from codelode.functions.hof import bind
+from codelode.functions.hof import bind, bind_as
 from codelode.functions.regex import rx, trim
 from codelode.operators import blocks, comments, extras
 from codelode.operators.rules import GENERIC, LANGUAGES, MATCH_TYPE, by_language, language_columns, matches_sql
@@ -93,20 +93,23 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
         lambda c: F.size(F.coalesce(c["m"], F.array().cast(MATCH_TYPE))) > 0)
     max_indent = F.col("_max_indent")
 
-    state = F.struct(
-        F.array().cast(f"array<{_SCOPE_TYPE}>").alias("scopes"),
-        _null(_PENDING_TYPE).alias("pending"),
-        F.lit("").alias("prefix"),
-        F.lit(-1).alias("last_top"),
-        F.array().cast(f"array<{_HEAD_TYPE}>").alias("out"),
-    )
-    state_type = (
+    # What a candidate changes: everything the next one needs, and its own head, if any.
+    delta_type = (
         f"struct<scopes:array<{_SCOPE_TYPE}>,pending:{_PENDING_TYPE},prefix:string,last_top:int,"
-        f"out:array<{_HEAD_TYPE}>>"
+        f"head:{_HEAD_TYPE}>"
     )
+    state_type = delta_type.replace(f"head:{_HEAD_TYPE}", f"out:array<{_HEAD_TYPE}>")
+    no_heads = F.array().cast(f"array<{_HEAD_TYPE}>")
 
     def step(acc: Column, c: Column) -> Column:
-        pos, indent = c["pos"], c["indent"]
+        return bind_as(state_type, change(acc, c), lambda d: F.struct(
+            d["scopes"].alias("scopes"), d["pending"].alias("pending"),
+            d["prefix"].alias("prefix"), d["last_top"].alias("last_top"),
+            F.when(d["head"].isNull(), acc["out"]).otherwise(
+                F.concat(acc["out"], F.array(d["head"]))).alias("out")))
+
+    def change(acc: Column, c: Column) -> Column:
+        pos = c["pos"]
         alive = F.transform(acc["scopes"], lambda s, i: F.when(s["end"] >= pos, i + 1))
         depth = F.coalesce(F.array_max(alive), F.lit(0)).cast("int")
 
@@ -125,7 +128,7 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
                 acc["prefix"]).alias("prefix"),
             still_pending(acc["pending"]).alias("pending"),
         )
-        return bind(before, lambda b: decide(acc, c, b)).cast(state_type)
+        return bind(before, lambda b: decide(acc, c, b))
 
     def decide(acc: Column, c: Column, b: Column) -> Column:
         pos, indent = c["pos"], c["indent"]
@@ -149,15 +152,15 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
         pos, indent, pending = c["pos"], c["indent"], b["pending"]
 
         def new_state(*, scopes=b["scopes"], pending=pending, prefix=b["prefix"],
-                      last_top=acc["last_top"], out=acc["out"]) -> Column:
-            return _struct(state_type, {
+                      last_top=acc["last_top"], head=_null(_HEAD_TYPE)) -> Column:
+            return _struct(delta_type, {
                 "scopes": scopes, "pending": pending, "prefix": prefix, "last_top": last_top,
-                "out": out})
+                "head": head})
 
-        def head(end: Column, **fields) -> Column:
+        def unit(end: Column, **fields) -> Column:
             values = {n: fields.get(n, _null(t)) for n, t in _HEAD_FIELDS.items()}
             values |= {"start": pos, "end": end}
-            return F.concat(acc["out"], F.array(_struct(_HEAD_TYPE, values)))
+            return _struct(_HEAD_TYPE, values)
 
         unmatched = new_state(pending=F.when(c["cmt"] | c["dec"], pending).otherwise(
             _null(_PENDING_TYPE)))
@@ -171,8 +174,8 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
         def with_end(end: Column) -> Column:
             method = F.coalesce(r["method"], F.lit("ANY"))
             path = F.coalesce(F.nullif(r["path"], F.lit("")), F.lit("/"))
-            as_job = new_state(out=head(end, type=F.lit("job"), name=r["name"]))
-            as_route = new_state(out=head(
+            as_job = new_state(head=unit(end, type=F.lit("job"), name=r["name"]))
+            as_route = new_state(head=unit(
                 end, type=F.lit("endpoint"),
                 name=F.coalesce(r["name"], F.concat(method, F.lit(" "), path)),
                 method=method, path=path, handler=r["handler"], rest=r["rest"]))
@@ -192,7 +195,7 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
             verb = F.coalesce(pending["method"], F.lit("ANY"))
             end_here = F.greatest(acc["last_top"], end)
             as_def = new_state(
-                out=head(
+                head=unit(
                     end, is_def=F.lit(True), def_name=r["name"],
                     type=F.when(is_job, F.lit("job")).when(is_endpoint, F.lit("endpoint"))
                     .otherwise(plain),
@@ -213,13 +216,38 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
                 .when(~r["unit"], as_scope).otherwise(as_def)
             )
 
-        needs_end = bind(blocks.block_end(lines, brackets, pos, indent, F.col("_block")), with_end)
+        needs_end = bind(
+            blocks.block_end(lines, brackets, pos, indent, F.col("_block")), with_end)
         return (
             F.when(r.isNull(), unmatched).when(r["kind"] == "prefix", prefixed)
             .when(r["kind"] == "decorator", decorated).otherwise(needs_end)
         )
 
-    return F.aggregate(candidates, state.cast(state_type), step, lambda a: a["out"])
+    # ``aggregate`` copies its state at every step. Heads are therefore gathered in short
+    # stretches, and stretches in longer ones, so that a file with very many units does not
+    # copy all the heads found so far for every candidate.
+    def fold(items: Column, acc: Column, sizes: list[int]) -> Column:
+        if not sizes:
+            return F.aggregate(items, acc, step)
+        size = sizes[0]
+        starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(size))
+        stretches = F.transform(starts, lambda i: F.slice(items, i + 1, F.lit(size)))
+
+        def over(a: Column, stretch: Column) -> Column:
+            fresh = _struct(state_type, {
+                "scopes": a["scopes"], "pending": a["pending"], "prefix": a["prefix"],
+                "last_top": a["last_top"], "out": no_heads})
+            return bind_as(state_type, fold(stretch, fresh, sizes[1:]), lambda r: F.struct(
+                r["scopes"].alias("scopes"), r["pending"].alias("pending"),
+                r["prefix"].alias("prefix"), r["last_top"].alias("last_top"),
+                F.concat(a["out"], r["out"]).alias("out")))
+
+        return F.aggregate(stretches, acc, over)
+
+    start = _struct(state_type, {
+        "scopes": F.array().cast(f"array<{_SCOPE_TYPE}>"), "pending": _null(_PENDING_TYPE),
+        "prefix": F.lit(""), "last_top": F.lit(-1), "out": no_heads})
+    return fold(candidates, start, [256, 16])["out"]
 
 
 def _comment_of(lines: Column, u: Column) -> Column:
@@ -254,7 +282,7 @@ def _mined() -> Column:
 
         return bind(brackets, lambda br: bind(unit_heads(lines, br), with_heads))
 
-    matched = F.expr(matches_sql("_lang", "_lines"))
+    matched = F.expr(matches_sql("_lang", "_lines", "_ascii"))
     return bind(matched, lambda found: bind(
         line_array(F.col("_lines"), F.col("_lang"), found), with_lines))
 
@@ -269,6 +297,7 @@ def mine_files(files: DataFrame, areas: list[tuple[str, str]] = ()) -> DataFrame
         F.coalesce(lang, F.lit("")).alias("_lang"),
         P.area_of(F.col("path"), areas).alias("area"), text.alias("text"),
         split_lines(text).alias("_lines"),
+        (F.octet_length(text) == F.length(text)).alias("_ascii"),
     ).select(
         "*", *[c.alias(n) for n, c in language_columns(F.col("_lang")).items()],
     ).select(

@@ -232,7 +232,7 @@ doc_open AS (
 doc_close AS (
   SELECT d.*, left(d.t, 3) AS q, min(l.pos) AS close_pos
   FROM doc_open d LEFT JOIN lines l ON l.repo = d.repo AND l.path = d.path AND l.pos > d.open_pos AND l.pos <= d.open_pos + 30 AND l.t LIKE '%' || left(d.t, 3)
-  WHERE left(d.t, 3) IN ('\"\"\"', '''''''''') GROUP BY ALL
+  WHERE left(d.t, 3) IN ('\"\"\"', '''''''') GROUP BY ALL
 ),
 docs AS (
   SELECT repo, path, pos, {_joined("parts")} AS comment FROM (

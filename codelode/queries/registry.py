@@ -43,8 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --------------------------------------------------------------- documents as units
 
-NO_EXTRA = F.lit(None).cast(X.EXTRA_TYPE) if False else None
-
 
 def doc_units(spark: SparkSession, sf_dir: str, one_file_each: bool = False) -> DataFrame:
     """Documents as units: the source is the file (or one file per document)."""
@@ -213,7 +211,7 @@ def list_files_included(spark, sf_dir):
                         exclude=["**/*.sql"]).select("repo", "path")
 
 
-@query("""SELECT url, CASE WHEN regexp_matches(lower(split_part(rel, '/', -1)), '^.*[.](html|htm)$') THEN 'x' END AS lang,
+@query("""SELECT url, CAST(NULL AS varchar) AS lang,
  CASE WHEN regexp_matches(split_part(rel, '/', -1), '(?i)^[0-9]*5$') THEN 'five' WHEN regexp_matches(rel, '(?i)/FR/') THEN 'french'
   WHEN contains(rel, '/') AND rel NOT LIKE '/%' THEN split_part(rel, '/', 1) ELSE 'root' END AS area,
  regexp_matches(rel, '(^|/)[^/]*[.]example[.]org(/|$)') AS org,
@@ -445,7 +443,7 @@ requests AS (
   || array_to_string(any_value(ls)[1:5], chr(10)) || chr(10) || '```' || chr(10) || chr(10) || 'Units:' || chr(10) || chr(10)
   || string_agg('### id: ' || id || chr(10) || '(' || CASE WHEN type = 'page' THEN 'component' ELSE type END || ' ' || name || ', lines ' || first_line || '-' || last_line || ')'
    || chr(10) || '```' || chr(10) || array_to_string(ls[first_line:last_line], chr(10)) || chr(10) || '```', chr(10) || chr(10) ORDER BY first_line) AS prompt
- FROM numbered GROUP BY ALL)"""
+ FROM numbered GROUP BY repo, file, batch_no)"""
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
