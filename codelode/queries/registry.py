@@ -666,11 +666,11 @@ TRUTH_SQL = """, doc_list AS (SELECT doc_id, source || '/' || doc_id AS file, [w
  grams AS (SELECT file, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT file, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM doc_list)),
  wanted AS (SELECT CAST(item_id AS varchar) AS item, array_to_string([w FOR w IN regexp_split_to_array(text, '\\s+') IF w <> ''][5:12], ' ') AS g FROM benchmark),
  targets AS (SELECT DISTINCT item, file FROM wanted JOIN grams USING (g))"""
-BENCH_SQL = f"""WITH {scores_sql("source || '/' || doc_id", split_ctes(BENCH_ITEMS, "split_").replace("split_parts AS", "split_parts0 AS") + ", parts AS (SELECT id AS item, part_no, part FROM split_parts0)")}
+BENCH_SQL = f"""WITH {scores_sql("source || '/' || doc_id", split_ctes(BENCH_ITEMS, "split_") + ", parts AS (SELECT id AS item, part_no, part FROM split_parts)")}
 {RANKED_FILES} {TRUTH_SQL},
  proposed AS (SELECT item, file, part_no, rank FROM files_ranked WHERE rank <= 10),
- firsts AS (SELECT item, file, min(part_no * 100 + rank) AS at, min(rank) AS best FROM proposed GROUP BY ALL),
- union_ranked AS (SELECT item, file, best, row_number() OVER (PARTITION BY item ORDER BY at) AS rank FROM firsts),
+ firsts AS (SELECT item, file, min(part_no * 100 + rank) AS place, min(rank) AS best FROM proposed GROUP BY ALL),
+ union_ranked AS (SELECT item, file, best, row_number() OVER (PARTITION BY item ORDER BY place) AS rank FROM firsts),
  counts AS (SELECT item, count(*) AS parts FROM parts GROUP BY ALL),
  bench_rows AS (SELECT t.item AS task_id, any_value(c.parts) AS parts, coalesce(min(u.rank), 0) AS rank,
   floor(count(*) FILTER (u.best <= 1) / count(*) * 1000 + 0.5) / 1000 AS coverage1,
