@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codelode.functions import text as T
-from codelode.functions.hof import join_present
+from codelode.functions.hof import bind, join_present
 from codelode.functions.numbers import rounded
 
 # Sizes and wording of the ranking requests and results.
@@ -63,16 +63,24 @@ def part_stems(task_parts: DataFrame) -> DataFrame:
 
 def token_index(units: DataFrame) -> DataFrame:
     """Inverted index (repo, file, start, stem, weight): weight 1.5 when the stem is in
-    the name text of the unit, else 1. Row-local, so building it never shuffles."""
-    stemmed = units.select(
-        *UNIT_KEY,
-        T.stems(T.unit_search_text()).alias("stems"),
-        T.stems(T.unit_name_text()).alias("name_stems"),
-    )
-    weight = F.when(F.array_contains("name_stems", F.col("stem")), 1.5).otherwise(1.0)
-    return stemmed.select("*", F.explode("stems").alias("stem")).select(
-        *UNIT_KEY, "stem", weight.alias("weight")
-    )
+    the name text of the unit, else 1. Row-local, so building it never shuffles.
+
+    The words of the name text are among those of the search text, so every word of a
+    unit is stemmed once. The array is exploded as an expression: exploding a column would
+    make the optimizer add a filter on its size, which works the whole array out twice.
+    """
+    def weighted(names: Column, words: Column, found: Column) -> Column:
+        named = F.filter(found, lambda s, i: F.array_contains(names, F.get(words, i)))
+        return bind(named, lambda n: F.transform(F.array_distinct(found), lambda s: F.struct(
+            s.alias("stem"),
+            F.when(F.array_contains(n, s), 1.5).otherwise(1.0).alias("weight"))))
+
+    names = F.array_distinct(T.tokenize(T.unit_name_text()))
+    words = F.array_distinct(T.tokenize(T.unit_search_text()))
+    stems = bind(names, lambda n: bind(words, lambda w: bind(
+        T.stem_words(w), lambda found: weighted(n, w, found))))
+    return units.select(*UNIT_KEY, F.explode(stems).alias("s")).select(
+        *UNIT_KEY, "s.stem", "s.weight")
 
 
 def write_token_index(units: DataFrame, table: str, buckets: int) -> None:

@@ -50,8 +50,8 @@ def doc_units(spark: SparkSession, sf_dir: str, one_file_each: bool = False) ->
     file = F.concat("source", F.lit("/"), F.col("doc_id").cast("string")) if one_file_each else (
         F.col("source"))
     return docs.select(
-        F.lit("docs").alias("repo"), F.col("doc_id").cast("string").alias("id"),
-        file.alias("file"), F.lit(None).cast("string").alias("lang"), F.lit("file").alias("type"),
+        F.regexp_replace("source", "[0-9]+$", "").alias("repo"),
+        F.col("doc_id").cast("string").alias("id"), file.alias("file"), F.lit(None).cast("string").alias("lang"), F.lit("file").alias("type"),
         F.lit("").alias("name"), F.col("doc_id").cast("int").alias("start"),
         F.col("doc_id").cast("int").alias("end"), F.lit("").alias("comment"),
         F.col("text").alias("description"), F.col("lang").alias("area"),
@@ -60,7 +60,7 @@ def doc_units(spark: SparkSession, sf_dir: str, one_file_each: bool = False) ->
 
 def bench_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
-        F.lit("docs").alias("repo"), F.col("item_id").cast("string").alias("task_id"), "text")
+        F.lit("src").alias("repo"), F.col("item_id").cast("string").alias("task_id"), "text")
 
 
 def scores_sql(file: str, parts: str) -> str:
@@ -540,7 +540,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     p = F.col("quality") * ((F.col("doc_id") * 7 + F.col("item_id")) % 97) / F.lit(97.0)
     return labels.join(docs, "doc_id").join(items, "m").select(
-        F.lit("docs").alias("repo"), F.col("item_id").cast("string").alias("task_id"),
+        F.lit("src").alias("repo"), F.col("item_id").cast("string").alias("task_id"),
         F.lit(1).alias("part_no"), F.col("source").alias("file"),
         F.col("doc_id").cast("int").alias("start"), p.alias("p"))
 
@@ -642,7 +642,7 @@ def no_candidates(spark, sf_dir):
     """Customers whose segment and name share no keyword with any document."""
     text = F.concat_ws(" ", F.lower("c_mktsegment"), "c_name")
     tasks = table(spark, sf_dir, "customer").select(
-        F.lit("docs").alias("repo"), F.col("c_custkey").cast("string").alias("task_id"),
+        F.lit("src").alias("repo"), F.col("c_custkey").cast("string").alias("task_id"),
         text.alias("text"))
     parts = R.parts(tasks, "none")
     cands = R.prefilter(parts, R.token_index(doc_units(spark, sf_dir)), 1)
@@ -690,7 +690,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sequence(F.lit(1), F.size("ws") - 7),
         lambda i: F.array_join(F.slice("ws", i, 8), " ")))).alias("g"))
     wanted = table(spark, sf_dir, "benchmark").select(
-        F.lit("docs").alias("repo"), F.col("item_id").cast("string").alias("task_id"),
+        F.lit("src").alias("repo"), F.col("item_id").cast("string").alias("task_id"),
         F.array_join(F.slice(words("text"), 5, 8), " ").alias("g"))
     return grams.join(wanted, "g").select("repo", "task_id", "file").distinct()
 
