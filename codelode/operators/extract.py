@@ -302,7 +302,8 @@ def mine_files(files: DataFrame, areas: list[tuple[str, str]] = ()) -> DataFrame
         "*", *[c.alias(n) for n, c in language_columns(F.col("_lang")).items()],
     ).select(
         "repo", "file", F.nullif("_lang", F.lit("")).alias("lang"), "area",
-        _mined().alias("mined"), "text")
+        _mined().alias("mined"), "text",
+    ).withColumn("text", F.when(F.size("mined.units") == 0, F.col("text")))
 
 
 def file_stats(mined: DataFrame) -> DataFrame:
@@ -313,6 +314,17 @@ def file_stats(mined: DataFrame) -> DataFrame:
         F.greatest(F.size("mined.units"), F.lit(1)).alias("n_units"))
 
 
+# Facts about the file that :func:`mined_units` can carry on the first unit of each file.
+FILE_FACTS = {"_lines": "lines", "_header": "header", "_n_units": "n_units"}
+
+
+def file_stats_of(units: DataFrame) -> DataFrame:
+    """The file table from units mined ``with_file_facts``; every file has a first unit."""
+    return units.where(F.col("_lines").isNotNull()).select(
+        "repo", "file", F.col("_lines").alias("lines"), "lang", "area",
+        F.col("_header").alias("header"), F.col("_n_units").alias("n_units"))
+
+
 def _whole_file(mined: Column, text: Column, file: Column) -> Column:
     """The single unit of a file in which no rule found one."""
     head = {n: _null(t) for n, t in _HEAD_FIELDS.items()}
@@ -324,13 +336,17 @@ def _whole_file(mined: Column, text: Column, file: Column) -> Column:
 
 
 def mined_units(mined: DataFrame, routes: DataFrame | None = None,
-                broadcast_routes: int = 200_000) -> DataFrame:
+                broadcast_routes: int = 200_000, with_file_facts: bool = False) -> DataFrame:
     """The unit table (one row per unit). ``routes`` turns components into pages."""
     m = F.col("mined")
     rows = mined.select(
         "repo", "file", "lang", "area",
-        F.explode(F.when(F.size(m["units"]) > 0, m["units"]).otherwise(
-            _whole_file(m, F.col("text"), F.col("file")))).alias("x"))
+        m["n_lines"].alias("_lines"), m["header"].alias("_header"),
+        F.greatest(F.size(m["units"]), F.lit(1)).alias("_n_units"),
+        F.posexplode(F.when(F.size(m["units"]) > 0, m["units"]).otherwise(
+            _whole_file(m, F.coalesce("text", F.lit("")), F.col("file")))).alias("_nth", "x"))
+    facts = [F.when(F.col("_nth") == 0, F.col(c)).alias(c) for c in FILE_FACTS] if (
+        with_file_facts) else []
     u, body = F.col("x.u"), F.col("x.body")
     lang = F.coalesce(F.col("lang"), F.lit(""))
     jsx = by_language(lang, lambda s: s.jsx, False)
@@ -345,7 +361,7 @@ def mined_units(mined: DataFrame, routes: DataFrame | None = None,
         "repo", "file", "lang", "area", u.alias("u"), F.col("x.comment").alias("comment"),
         F.coalesce(component, F.lit(False)).alias("component"),
         *[c.alias(n) for n, c in found.items()],
-        F.when(F.size(rest) > 0, rest).alias("middleware"))
+        F.when(F.size(rest) > 0, rest).alias("middleware"), *facts)
     if routes is None:
         flat = flat.withColumn("route", _null("string"))
     else:
@@ -363,7 +379,8 @@ def mined_units(mined: DataFrame, routes: DataFrame | None = None,
         F.concat(F.col("file"), F.lit(":"), start.cast("string"), F.lit(" "), u["name"]).alias("id"),
         "file", "lang", type_.alias("type"), u["name"].alias("name"),
         start.alias("start"), (u["end"] + 1).alias("end"),
-        "comment", F.col("comment").alias("description"), "area", extra.alias("extra"))
+        "comment", F.col("comment").alias("description"), "area", extra.alias("extra"),
+        *(FILE_FACTS if with_file_facts else ()))
 
 
 def _with_routes(flat: DataFrame, routes: DataFrame, broadcast_limit: int) -> DataFrame:
@@ -395,4 +412,4 @@ def unit_source(text: Column, start: Column, end: Column, cap: int = 60) -> Colu
     return bind(lines, of)
 
 
-__all__ = ["mine_files", "mined_units", "file_stats", "unit_source", "GENERIC"]
+__all__ = ["mine_files", "mined_units", "file_stats", "file_stats_of", "unit_source", "GENERIC"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codelode.operators import evaluate as E
 from codelode.plans.find import find
+from codelode.sources.scratch import saved
 
 
 def bench(
@@ -18,13 +19,14 @@ def bench(
     """Log blocks(repo, block) -> (rows, summary). ``answers`` maps each mode to the table
     of model answers for it, or None for keyword order."""
     commits = E.usable_commits(E.parse_commits(blocks))
-    touched = E.touched_in_map(E.target_filter(E.touched_files(commits), out_dir), files)
+    touched = saved(
+        E.touched_in_map(E.target_filter(E.touched_files(commits), out_dir), files), "targets")
     tasks = E.commit_tasks(commits, touched)
     targets = touched.select("repo", F.col("hash").alias("task_id"), F.col("path").alias("file"))
     rows = []
     for mode, given in answers.items():
         found = find(tasks, units, mode=mode, split=split, answers=given)
-        rows.append(E.bench_rows(found["files"], targets, found["parts"], mode,
+        rows.append(E.bench_rows(saved(found["files"], "ranked"), targets, found["parts"], mode,
                                  (usage or {}).get(mode)))
     all_rows = reduce(DataFrame.unionByName, rows)
     return all_rows, E.bench_summary(all_rows)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from codelode.operators.describe import merge_descriptions
-from codelode.operators.extract import file_stats, mine_files, mined_units
+from codelode.operators.extract import FILE_FACTS, file_stats_of, mine_files, mined_units
 from codelode.operators.routes import route_table
 from codelode.sources.corpus import is_minified, list_files
+from codelode.sources.scratch import saved
 
 
 def scanned(files: DataFrame, include=(), exclude=(), unique: bool = False) -> DataFrame:
@@ -20,10 +21,15 @@ def build_map(
     areas: list[tuple[str, str]] = (), descriptions: DataFrame | None = None,
     unique: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """files(repo, path, size, text) -> (units, file stats)."""
+    """files(repo, path, size, text) -> (units, file stats).
+
+    Both tables come from one pass over the files: units are mined with the facts about
+    their file on the first one and saved (without any source text); reading either table
+    afterwards mines nothing again."""
     chosen = scanned(files, include, exclude, unique)
-    mined = mine_files(chosen, areas)
-    units = mined_units(mined, route_table(chosen))
+    rows = saved(
+        mined_units(mine_files(chosen, areas), route_table(chosen), with_file_facts=True), "units")
+    units = rows.drop(*FILE_FACTS)
     if descriptions is not None:
         units = merge_descriptions(units, descriptions)
-    return units, file_stats(mined)
+    return units, file_stats_of(rows)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codelode.sources.scratch import spread
+
 
 def _line(text: str) -> str:
     """SQL for one line of source: {fn}, {cls}, {tbl}, {k}, {sz}, {name} are filled in."""
@@ -184,4 +186,5 @@ SELECT repo, path, text, CAST(length(text) AS bigint) AS size FROM (
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(repo, path, text, size)."""
     sql = CODE_FILES_SQL.replace("{", "{{").replace("}", "}}").replace("FROM part\n", "FROM {part}\n")
-    return spark.sql(sql, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
+    return spark.sql(sql, part=part)

@@ -21,6 +21,7 @@ from codelode.queries.check_sql import split_ctes, stem_ctes, tokens
 from codelode.queries.codebase import code_files
 from codelode.sources import corpus as C
 from codelode.sources import mapstore as M
+from codelode.sources.scratch import saved, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def doc_units(spark: SparkSession, sf_dir: str, one_file_each: bool = False) -> DataFrame:
     """Documents as units: the source is the file (or one file per document)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     file = F.concat("source", F.lit("/"), F.col("doc_id").cast("string")) if one_file_each else (
         F.col("source"))
     return docs.select(
@@ -130,7 +131,7 @@ def rank_files(spark, sf_dir):
 FROM (SELECT doc_id, unnest({tokens("text")}) AS word FROM documents) GROUP BY ALL""")
 def tokens_vocab(spark, sf_dir):
     """How often, and in how many documents, each token occurs."""
-    rows = table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", F.explode(T.tokenize(F.col("text"))).alias("token"))
     per_doc = rows.groupBy("token", "doc_id").agg(F.count("*").alias("c"))
     return per_doc.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
@@ -140,7 +141,7 @@ def tokens_vocab(spark, sf_dir):
 {stem_ctes("vocab")} SELECT word AS token, stem FROM stems""")
 def stem_vocab(spark, sf_dir):
     """Stem of every distinct token."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token")
     ).distinct().select("token", T.stem(F.col("token")).alias("stem"))
 
@@ -149,7 +150,7 @@ def stem_vocab(spark, sf_dir):
  strip_accents(left(text, 200)) AS folded FROM (SELECT doc_id, text, {tokens("text")} AS ws FROM documents)""")
 def fold_text(spark, sf_dir):
     """Folded beginnings of documents, and the stop words left among their tokens (none)."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id",
         F.size(F.array_intersect(T.tokenize(F.col("text")), T.tokenize(
             F.lit("the them with that")))).cast("bigint").alias("unused"),
@@ -187,9 +188,9 @@ def split_tasks(spark, sf_dir):
 FROM (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages)""")
 def minified_files(spark, sf_dir):
     """Which documents and pages would be skipped as minified."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-    pages = table(spark, sf_dir, "pages").select(
+    pages = spread(table(spark, sf_dir, "pages"), "page_id").select(
         F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     return docs.unionByName(pages).select("kind", "id", C.is_minified(F.col("text")).alias("minified"))
 
@@ -250,7 +251,7 @@ def ignored_files(spark, sf_dir):
      "codelode.operators.extras", fromlist=["x"]).TABLE_STOP_WORDS) + """', ' '), lower(x))])) AS tables FROM documents""")
 def tables_mined(spark, sf_dir):
     """What looks like SQL tables in the whole text of every document."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", tables_in(F.col("text"), F.lit(False)).alias("tables"))
 
 
@@ -332,7 +333,7 @@ JOIN (SELECT repo, id, unnest(calls) AS call FROM units) c
  ON c.repo = e.repo AND regexp_replace(c.call, '\\$\\{[^}]*\\}', '*', 'g') = e.key"""))
 def code_callers(spark, sf_dir):
     """Which units call which endpoints."""
-    return R.callers_of(_units_without_routes(spark, sf_dir))
+    return R.callers_of(saved(_units_without_routes(spark, sf_dir), "units"))
 
 
 @query(units_query("""SELECT type, count(*) AS n, count(*) FILTER (comment = '') AS without_description
@@ -504,7 +505,7 @@ LABEL_SQL = """labelled AS (SELECT *, concat_ws(' | ', file, CASE WHEN type = 'p
 FROM labelled""", LABEL_SQL))
 def scan_questions(spark, sf_dir):
     """One question per unit, 60 to a request."""
-    return R.scan_questions(_units_without_routes(spark, sf_dir), project="demo").select(
+    return R.scan_questions(saved(_units_without_routes(spark, sf_dir), "units"), project="demo").select(
         "repo", "id", "batch_no", "q", "instructions")
 
 
@@ -512,7 +513,7 @@ def scan_questions(spark, sf_dir):
 FROM (SELECT *, CAST(floor(k / 60) AS integer) AS batch_no FROM labelled) GROUP BY ALL""", LABEL_SQL))
 def scan_batches(spark, sf_dir):
     """Request bodies: how many questions and how much text each holds."""
-    batches = R.scan_batches(R.scan_questions(_units_without_routes(spark, sf_dir)))
+    batches = R.scan_batches(R.scan_questions(saved(_units_without_routes(spark, sf_dir), "units")))
     head = len(R.SCAN_QUESTION.format(project=""))
     return batches.select(
         "repo", "batch_no", F.size("questions").cast("bigint").alias("questions"),
@@ -600,7 +601,7 @@ def _choice_answers(cands: DataFrame) -> DataFrame:
        "SELECT item AS task_id, rank, file, doc AS doc_id, score, p FROM reranked")
 def reranked_choice(spark, sf_dir):
     """Candidates put in the order of answered probabilities; keyword order where equal."""
-    cands = _prefiltered(spark, sf_dir)
+    cands = saved(_prefiltered(spark, sf_dir), "candidates")
     return R.rerank_choice(cands, _choice_answers(cands)).select(
         "task_id", "rank", "file", F.col("start").cast("bigint").alias("doc_id"), "score", "p")
 
@@ -683,7 +684,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     def words(c: str):
         return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("file"),
         words("text").alias("ws")).where(F.size("ws") >= 8)
     grams = docs.select("file", F.explode(F.array_distinct(F.transform(
@@ -696,12 +697,12 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bench_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = _truth(spark, sf_dir)
+    targets = saved(_truth(spark, sf_dir), "targets")
     tasks = bench_tasks(spark, sf_dir).join(targets.select("repo", "task_id"),
                                             ["repo", "task_id"], "left_semi")
     parts = R.parts(tasks)
     index = R.token_index(doc_units(spark, sf_dir, one_file_each=True))
-    ranked = R.rank_files(R.prefilter(parts, index), by="score")
+    ranked = saved(R.rank_files(R.prefilter(parts, index), by="score"), "ranked")
     return E.bench_rows(ranked, targets, parts, "prefilter")
 
 
