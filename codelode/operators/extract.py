@@ -18,7 +18,14 @@ from codelode.functions import paths as P
 from codelode.functions.hof import bind, bind_as
 from codelode.functions.regex import rx, trim
 from codelode.operators import blocks, comments, extras
-from codelode.operators.rules import GENERIC, LANGUAGES, MATCH_TYPE, by_language, language_columns, matches_sql
+from codelode.operators.routes import file_routes, first_routes
+from codelode.operators.rules import (
+    LANGUAGES,
+    MATCH_TYPE,
+    by_language,
+    language_columns,
+    matches_sql,
+)
 
 # Fixed value: a decorator is forgotten after this many lines.
 MAX_DECORATOR_DISTANCE = 8
@@ -302,7 +309,7 @@ def mine_files(files: DataFrame, areas: list[tuple[str, str]] = ()) -> DataFrame
         "*", *[c.alias(n) for n, c in language_columns(F.col("_lang")).items()],
     ).select(
         "repo", "file", F.nullif("_lang", F.lit("")).alias("lang"), "area",
-        _mined().alias("mined"), "text",
+        _mined().alias("mined"), file_routes(F.col("text")).alias("routes"), "text",
     ).withColumn("text", F.when(F.size("mined.units") == 0, F.col("text")))
 
 
@@ -314,17 +321,25 @@ def file_stats(mined: DataFrame) -> DataFrame:
         F.greatest(F.size("mined.units"), F.lit(1)).alias("n_units"))
 
 
-# Facts about the file that :func:`mined_units` can carry on the first unit of each file.
-FILE_FACTS = {"_lines": "lines", "_header": "header", "_n_units": "n_units"}
+# What :func:`mined_units` can carry beside a unit: facts about its file, on the first unit of
+# the file, and the name under which it may stand in a route table.
+FILE_FACTS = ["_lines", "_header", "_n_units", "_routes"]
+FACTS = [*FILE_FACTS, "_component"]
 
 
 def file_stats_of(units: DataFrame) -> DataFrame:
-    """The file table from units mined ``with_file_facts``; every file has a first unit."""
+    """The file table from units mined ``with_facts``; every file has a first unit."""
     return units.where(F.col("_lines").isNotNull()).select(
         "repo", "file", F.col("_lines").alias("lines"), "lang", "area",
         F.col("_header").alias("header"), F.col("_n_units").alias("n_units"))
 
 
+def route_table_of(units: DataFrame) -> DataFrame:
+    """The route table from units mined ``with_facts``."""
+    return first_routes(units.where(F.col("_routes").isNotNull()).select(
+        "repo", "file", F.col("_routes").alias("routes")))
+
+
 def _whole_file(mined: Column, text: Column, file: Column) -> Column:
     """The single unit of a file in which no rule found one."""
     head = {n: _null(t) for n, t in _HEAD_FIELDS.items()}
@@ -335,18 +350,18 @@ def _whole_file(mined: Column, text: Column, file: Column) -> Column:
         F.regexp_replace(text, "\r\n", "\n").alias("body")))
 
 
-def mined_units(mined: DataFrame, routes: DataFrame | None = None,
-                broadcast_routes: int = 200_000, with_file_facts: bool = False) -> DataFrame:
-    """The unit table (one row per unit). ``routes`` turns components into pages."""
+def mined_units(mined: DataFrame, routes: DataFrame | None = None, *,
+                with_facts: bool = False) -> DataFrame:
+    """The unit table, one row per unit. ``routes`` turns components into pages.
+    ``with_facts`` adds the columns of ``FACTS``, from which the file table and the route
+    table can be taken without reading the source again."""
     m = F.col("mined")
     rows = mined.select(
         "repo", "file", "lang", "area",
         m["n_lines"].alias("_lines"), m["header"].alias("_header"),
-        F.greatest(F.size(m["units"]), F.lit(1)).alias("_n_units"),
+        F.greatest(F.size(m["units"]), F.lit(1)).alias("_n_units"), F.col("routes").alias("_routes"),
         F.posexplode(F.when(F.size(m["units"]) > 0, m["units"]).otherwise(
             _whole_file(m, F.coalesce("text", F.lit("")), F.col("file")))).alias("_nth", "x"))
-    facts = [F.when(F.col("_nth") == 0, F.col(c)).alias(c) for c in FILE_FACTS] if (
-        with_file_facts) else []
     u, body = F.col("x.u"), F.col("x.body")
     lang = F.coalesce(F.col("lang"), F.lit(""))
     jsx = by_language(lang, lambda s: s.jsx, False)
@@ -359,42 +374,47 @@ def mined_units(mined: DataFrame, routes: DataFrame | None = None,
     rest = F.when(u["rest"].isNotNull(), extras.middleware(u["rest"]))
     flat = rows.select(
         "repo", "file", "lang", "area", u.alias("u"), F.col("x.comment").alias("comment"),
-        F.coalesce(component, F.lit(False)).alias("component"),
+        F.when(component, u["def_name"]).alias("_component"),
         *[c.alias(n) for n, c in found.items()],
-        F.when(F.size(rest) > 0, rest).alias("middleware"), *facts)
-    if routes is None:
-        flat = flat.withColumn("route", _null("string"))
-    else:
-        flat = _with_routes(flat, routes, broadcast_routes)
+        F.when(F.size(rest) > 0, rest).alias("middleware"),
+        *[F.when(F.col("_nth") == 0, F.col(c)).alias(c) for c in FILE_FACTS])
     u = F.col("u")
-    type_ = F.when(F.col("route").isNotNull(), F.lit("page")).when(
-        F.col("component"), F.lit("component")).otherwise(u["type"])
     extra = F.struct(
         u["method"].alias("method"), u["path"].alias("path"), u["handler"].alias("handler"),
-        u["parent"].alias("parent"), u["kind"].alias("kind"), F.col("route"),
+        u["parent"].alias("parent"), u["kind"].alias("kind"), _null("string").alias("route"),
         "tables", "calls", "emits", "imports", "middleware").cast(EXTRA_TYPE)
     start = u["start"] + 1
-    return flat.select(
+    type_ = F.when(F.col("_component").isNotNull(), F.lit("component")).otherwise(u["type"])
+    units = flat.select(
         "repo",
         F.concat(F.col("file"), F.lit(":"), start.cast("string"), F.lit(" "), u["name"]).alias("id"),
         "file", "lang", type_.alias("type"), u["name"].alias("name"),
         start.alias("start"), (u["end"] + 1).alias("end"),
-        "comment", F.col("comment").alias("description"), "area", extra.alias("extra"),
-        *(FILE_FACTS if with_file_facts else ()))
-
-
-def _with_routes(flat: DataFrame, routes: DataFrame, broadcast_limit: int) -> DataFrame:
-    """Route of each component. The route table is broadcast only when it is small; else
-    both sides are shuffled, and rows that are no component get keys of their own, spread
-    over all tasks, since they match nothing."""
-    keyed = flat.withColumn("_component", F.when(
-        F.col("component"), F.col("u.def_name")))
-    named = routes.select("repo", F.col("component").alias("_component"), "route")
+        "comment", F.col("comment").alias("description"), "area", extra.alias("extra"), *FACTS)
+    if routes is not None:
+        units = with_pages(units, routes)
+    return units if with_facts else units.drop(*FACTS)
+
+
+def with_pages(units: DataFrame, routes: DataFrame, broadcast_limit: int = 200_000) -> DataFrame:
+    """Components (units ``with_facts``) that a route names become pages. The route table is
+    broadcast only when it is small; else both sides are shuffled, and units that are no
+    component get keys of their own, spread over all tasks, since they match nothing."""
+    named = routes.select("repo", F.col("component").alias("_key"), F.col("route").alias("_route"))
+    keyed = units.withColumn("_key", F.col("_component"))
     if named.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        return keyed.join(F.broadcast(named), ["repo", "_component"], "left").drop("_component")
-    spread = F.concat(F.lit("\u0000"), F.xxhash64("file", F.col("u.start")).cast("string"))
-    keyed = keyed.withColumn("_component", F.coalesce("_component", spread))
-    return keyed.join(named, ["repo", "_component"], "left").drop("_component")
+        named = F.broadcast(named)
+    else:
+        spread = F.concat(F.lit("\u0000"), F.xxhash64("file", "start").cast("string"))
+        keyed = keyed.withColumn("_key", F.coalesce("_component", spread))
+    is_page = F.col("_route").isNotNull()
+    paged = {
+        "type": F.when(is_page, F.lit("page")).otherwise(F.col("type")),
+        "extra": F.when(is_page, F.col("extra").withField("route", F.col("_route"))).otherwise(
+            F.col("extra")),
+    }
+    return keyed.join(named, ["repo", "_key"], "left").select(*[
+        paged[c].alias(c) if c in paged else F.col(c) for c in units.columns])
 
 
 def unit_source(text: Column, start: Column, end: Column, cap: int = 60) -> Column:
@@ -411,5 +431,3 @@ def unit_source(text: Column, start: Column, end: Column, cap: int = 60) -> Colu
 
     return bind(lines, of)
 
-
-__all__ = ["mine_files", "mined_units", "file_stats", "file_stats_of", "unit_source", "GENERIC"]

@@ -89,11 +89,18 @@ def file_routes(text: Column) -> Column:
         found, lambda r: r["component"].isNotNull() & r["route"].isNotNull()))
 
 
+def first_routes(declared: DataFrame) -> DataFrame:
+    """declared(repo, file, routes array) -> routes(repo, component, route). The first
+    declaration in path order wins; ``min_by`` is combined before the shuffle, so a component
+    declared in very many files is no hot key."""
+    rows = declared.select("repo", "file", F.posexplode(F.filter(
+        "routes", lambda r: r["component"].isNotNull())))
+    return rows.groupBy("repo", F.col("col.component").alias("component")).agg(
+        F.min_by("col.route", F.struct("file", "pos")).alias("route"))
+
+
 def route_table(files: DataFrame) -> DataFrame:
-    """files(repo, path, text) -> routes(repo, component, route). The first declaration in
-    path order wins; ``min_by`` is combined before the shuffle, so a component declared
-    in very many files is no hot key."""
+    """files(repo, path, text) -> routes(repo, component, route)."""
     gated = files.where(F.col("text").rlike(rx(ROUTE_GATE)))
-    rows = gated.select("repo", "path", F.posexplode(file_routes(F.col("text"))))
-    return rows.groupBy("repo", F.col("col.component").alias("component")).agg(
-        F.min_by("col.route", F.struct("path", "pos")).alias("route"))
+    return first_routes(gated.select(
+        "repo", F.col("path").alias("file"), file_routes(F.col("text")).alias("routes")))

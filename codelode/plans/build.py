@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from codelode.operators.describe import merge_descriptions
-from codelode.operators.extract import FILE_FACTS, file_stats_of, mine_files, mined_units
-from codelode.operators.routes import route_table
+from codelode.operators.extract import (
+    FACTS,
+    file_stats_of,
+    mine_files,
+    mined_units,
+    route_table_of,
+    with_pages,
+)
 from codelode.sources.corpus import is_minified, list_files
 from codelode.sources.scratch import saved
 
@@ -23,13 +29,12 @@ def build_map(
 ) -> tuple[DataFrame, DataFrame]:
     """files(repo, path, size, text) -> (units, file stats).
 
-    Both tables come from one pass over the files: units are mined with the facts about
-    their file on the first one and saved (without any source text); reading either table
-    afterwards mines nothing again."""
+    The files are read once: units are mined together with the facts about their file and
+    saved, without any source text. The file table and the route table come from the saved
+    rows, and so do the pages, which need the routes of the whole repository."""
     chosen = scanned(files, include, exclude, unique)
-    rows = saved(
-        mined_units(mine_files(chosen, areas), route_table(chosen), with_file_facts=True), "units")
-    units = rows.drop(*FILE_FACTS)
+    rows = saved(mined_units(mine_files(chosen, areas), with_facts=True), "units")
+    units = with_pages(rows, route_table_of(rows)).drop(*FACTS)
     if descriptions is not None:
         units = merge_descriptions(units, descriptions)
     return units, file_stats_of(rows)

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelode.functions import paths as P
 from codelode.functions import text as T
-from codelode.functions.numbers import rounded
 from codelode.operators import describe as D
 from codelode.operators import evaluate as E
 from codelode.operators import extract as X
 from codelode.operators import retrieve as R
-from codelode.operators.extras import tables_in
+from codelode.operators.extras import TABLE_STOP_WORDS, tables_in
 from codelode.operators.routes import route_table
 from codelode.plans.build import build_map, scanned
-from codelode.queries.check_code import FILES, UNITS, files_query, units_query
+from codelode.queries.check_code import files_query, units_query
 from codelode.queries.check_sql import split_ctes, stem_ctes, tokens
 from codelode.queries.codebase import code_files
 from codelode.sources import corpus as C
@@ -247,8 +246,7 @@ def ignored_files(spark, sf_dir):
 
 @query("""SELECT doc_id, list_sort(list_distinct([lower(x) FOR x IN regexp_extract_all(text,
  '(?i)\\b(?:from|join|into|update|table\\s+if\\s+not\\s+exists|table)\\s+[`"\\[]?([A-Za-z_][A-Za-z0-9_]*)\\b', 1)
- IF length(x) > 2 AND NOT list_contains(string_split('""" + " ".join(__import__(
-     "codelode.operators.extras", fromlist=["x"]).TABLE_STOP_WORDS) + """', ' '), lower(x))])) AS tables FROM documents""")
+ IF length(x) > 2 AND NOT list_contains(string_split('""" + " ".join(TABLE_STOP_WORDS) + """', ' '), lower(x))])) AS tables FROM documents""")
 def tables_mined(spark, sf_dir):
     """What looks like SQL tables in the whole text of every document."""
     return spread(table(spark, sf_dir, "documents"), "doc_id").select(
@@ -773,5 +771,3 @@ def commit_targets(spark, sf_dir):
     touched = E.touched_in_map(E.target_filter(E.touched_files(commits)), known)
     return touched.join(commits, ["repo", "hash"]).select("hash", "task", "path")
 
-
-__all__ = ["QUERIES", "CHECKS", "FILES", "UNITS", "rounded"]

@@ -465,7 +465,8 @@ def test_route_join_without_broadcast(spark):
     files = spark.createDataFrame(
         [("r", p, FILES[p]) for p in ("web/Page.jsx", "web/App.js")],
         "repo string, path string, text string")
-    m = X.mine_files(files)
-    a = X.mined_units(m, route_table(files)).orderBy("file", "start").collect()
-    b = X.mined_units(m, route_table(files), broadcast_routes=0).orderBy("file", "start").collect()
-    assert a == b
+    units = X.mined_units(X.mine_files(files), with_facts=True).cache()
+    assert sorted(X.route_table_of(units).collect()) == sorted(route_table(files).collect())
+    a = X.with_pages(units, route_table(files)).orderBy("file", "start").collect()
+    b = X.with_pages(units, route_table(files), 0).orderBy("file", "start").collect()
+    assert a == b and "page" in {u.type for u in a}
