@@ -244,13 +244,13 @@ def ignored_files(spark, sf_dir):
     return C.ignore_filter(files, C.ignore_rules(rules))
 
 
-@query("""SELECT doc_id, list_sort(list_distinct([lower(x) FOR x IN regexp_extract_all(text,
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct([lower(x) FOR x IN regexp_extract_all(text,
  '(?i)\\b(?:from|join|into|update|table\\s+if\\s+not\\s+exists|table)\\s+[`"\\[]?([A-Za-z_][A-Za-z0-9_]*)\\b', 1)
- IF length(x) > 2 AND NOT list_contains(string_split('""" + " ".join(TABLE_STOP_WORDS) + """', ' '), lower(x))])) AS tables FROM documents""")
+ IF length(x) > 2 AND NOT list_contains(string_split('""" + " ".join(TABLE_STOP_WORDS) + """', ' '), lower(x))])), '|') AS tables FROM documents""")
 def tables_mined(spark, sf_dir):
     """What looks like SQL tables in the whole text of every document."""
     return spread(table(spark, sf_dir, "documents"), "doc_id").select(
-        "doc_id", tables_in(F.col("text"), F.lit(False)).alias("tables"))
+        "doc_id", F.array_join(tables_in(F.col("text"), F.lit(False)), "|").alias("tables"))
 
 
 # --------------------------------------------------------------- units of the codebase
