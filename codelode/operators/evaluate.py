@@ -80,10 +80,14 @@ def usable_commits(commits: DataFrame) -> DataFrame:
     body = F.filter(F.transform("body", trim),
                     lambda l: (l != "") & ~l.rlike("(?i)" + rx(TRAILER)))
     task = squeeze(F.array_join(F.concat(F.array("subject"), body), " "))
-    return (
-        commits.where(~F.col("subject").rlike("(?i)" + rx(r"^merge\b")))
-        .withColumn("task", task).where(F.length("task") >= MIN_MESSAGE_LENGTH)
-    )
+    kept = [c for c in commits.columns if c != "repo"]
+    # One array with the row in it, filtered and exploded: a plain filter on ``task`` would be
+    # pushed below the parsing and repeat all of it.
+    row = F.filter(F.array(F.struct(*kept, task.alias("task"))), lambda c: (
+        (F.length(c["task"]) >= MIN_MESSAGE_LENGTH)
+        & ~c["subject"].rlike("(?i)" + rx(r"^merge\b"))))
+    return commits.select("repo", F.explode(row).alias("c")).select(
+        "repo", *[F.col(f"c.{c}").alias(c) for c in [*kept, "task"]])
 
 
 def is_excluded_target(path: Column, out_dir: str = "") -> Column:

@@ -18,7 +18,7 @@ def bench(
 ) -> tuple[DataFrame, DataFrame]:
     """Log blocks(repo, block) -> (rows, summary). ``answers`` maps each mode to the table
     of model answers for it, or None for keyword order."""
-    commits = E.usable_commits(E.parse_commits(blocks))
+    commits = saved(E.usable_commits(E.parse_commits(blocks)), "commits")
     touched = saved(
         E.touched_in_map(E.target_filter(E.touched_files(commits), out_dir), files), "targets")
     tasks = E.commit_tasks(commits, touched)

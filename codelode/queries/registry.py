@@ -765,7 +765,7 @@ def commit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(files_query("SELECT hash, task, path FROM targets JOIN usable USING (hash)", COMMITS_SQL))
 def commit_targets(spark, sf_dir):
     """Usable commits of a log derived from orders, with the source files they touched."""
-    commits = E.usable_commits(E.parse_commits(commit_blocks(spark, sf_dir)))
+    commits = saved(E.usable_commits(E.parse_commits(commit_blocks(spark, sf_dir))), "commits")
     known = scanned(code_files(spark, sf_dir), unique=True).select(
         F.lit("all").alias("repo"), F.col("path").alias("file"))
     touched = E.touched_in_map(E.target_filter(E.touched_files(commits)), known)
