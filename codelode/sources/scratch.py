@@ -8,14 +8,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in tests, a
-    temporary folder of our own, which the setting then names."""
+    """The folder named by ``spark.checkpoint.dir``. Only a session whose executors run inside
+    the driver (``local[..]``, as in tests) may leave it unset: a temporary folder serves then.
+    Elsewhere executors would write to disks that others cannot read, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="codelode-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local[") and (
+                spark.sparkContext.master != "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId,
+                                   tempfile.mkdtemp(prefix="codelode-"))
     return folder.rstrip("/")
 
 
