@@ -31,8 +31,10 @@ SAMPLE_ROWS = 20_000
 SHORTEST, LONGEST = 3, 10
 #: An entry occurs in so many toxic documents, at least, and in that share of them.
 MIN_DOCS, MIN_SHARE = 3, 0.01
+#: Different words stand before an entry, at least that share of the documents it needs.
+MIN_PLACES = 0.6
 #: Least weight (log ratio) of an entry.
-MIN_WEIGHT = 2.5
+MIN_WEIGHT = 3.5
 MOST_ENTRIES = 20_000
 #: Least other documents with an exception phrase, and their least share of all with it.
 EXCEPTION_DOCS, EXCEPTION_SHARE = 3, 0.5
@@ -93,6 +95,17 @@ class Matcher:
                 found[start] = (n, weight)
         return found
 
+    def contexts(self, text: str) -> set[str]:
+        """Each entry that the text hits, with the word before the hit."""
+        out = set()
+        if self.model.weights:
+            for end, (n, _) in self.automaton.iter(text):
+                start = end - n + 1
+                if start == 0 or not text[start - 1].isalpha():
+                    before = re.search(r"([^\W\d_]+)[^\w]+$", text[max(0, start - 60):start])
+                    out.add(f"{text[start:end + 1]} {before[1] if before else ''}")
+        return out
+
     def phrases(self, text: str, start: int) -> list[str]:
         """The hit word with the word before it and with the word after it."""
         word = _WORD.match(text, start)
@@ -176,6 +189,18 @@ def _lexicon(rows: DataFrame, n_toxic: int, n_other: int) -> dict[str, float]:
     found = (counts.where(F.col("toxic") >= least).withColumn("weight", weight)
              .where(F.col("weight") >= MIN_WEIGHT)
              .orderBy(F.desc("toxic"), "term").limit(MOST_ENTRIES).collect())
+    # words of a text that has many copies are frequent too, but always in the same place
+    candidates = Model({r["term"]: r["weight"] for r in found})
+
+    def contexts():
+        matcher = Matcher(candidates)
+        return lambda text: matcher.contexts(fold(text))
+
+    places = (_counted(rows, contexts).where(F.col("toxic") > 0)
+              .groupBy(F.substring_index("term", " ", 1).alias("term")).count()
+              .where(F.col("count") >= max(MIN_DOCS, least * MIN_PLACES)))
+    varied = {r["term"] for r in places.collect()}
+    found = [r for r in found if r["term"] in varied]
     weights: dict[str, float] = {}
     for row in sorted(found, key=lambda r: (len(r["term"]), r["term"])):
         # an entry is left out if a shorter one says it all
