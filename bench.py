@@ -34,6 +34,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("codelode.read.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")

@@ -31,7 +31,6 @@ STOP_WORDS_IT = (
 # Fixed values end.
 
 STOP_WORDS = sorted(set(STOP_WORDS_EN) | set(STOP_WORDS_IT))
-MAX_PARTS = 8
 
 
 @cache
@@ -202,10 +201,10 @@ PART_EDGES = r"^[\s:,;\-–—]+|[\s.:,;]+$"
 # Fixed values end.
 
 
-def split_task(col: Column) -> Column:
+def split_task(col: Column, most: int | None = None) -> Column:
     """Parts of a task: lines, bullets, numbers, connectors, and commas between
     phrases of two words or more. An array with the trimmed text itself when it does
-    not split; at most 8 parts."""
+    not split; the first ``most`` parts, if a limit is given."""
     original = trim(F.coalesce(col, F.lit("")))
     text = F.regexp_replace(original, "(?i)" + rx(TASK_PREFIX), "")
     text = F.regexp_replace(text, rx(TASK_LABELS), "\n")
@@ -237,17 +236,17 @@ def split_task(col: Column) -> Column:
         )
 
     parts = bind(usable, first_of_each)
-    return bind(parts, lambda p: F.when(F.size(p) > 1, F.slice(p, 1, MAX_PARTS)).otherwise(
-        F.array(original)))
+    return bind(parts, lambda p: F.when(
+        F.size(p) > 1, p if most is None else F.slice(p, 1, most)).otherwise(F.array(original)))
 
 
-def task_parts(col: Column, split: str = "heuristic") -> Column:
-    """Non-empty parts of a task; none for a blank task."""
+def task_parts(col: Column, split: str = "heuristic", most: int | None = None) -> Column:
+    """Non-empty parts of a task, ``most`` of them if that is given; none for a blank task."""
     whole = trim(F.coalesce(col, F.lit("")))
     if split == "none":
         parts = F.array(whole)
     elif split == "heuristic":
-        parts = F.transform(split_task(col), trim)
+        parts = F.transform(split_task(col, most), trim)
     else:
         raise ValueError(f"unknown split mode {split!r}")
     return F.filter(parts, lambda p: p != "")

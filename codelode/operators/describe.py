@@ -11,7 +11,6 @@ from codelode.operators.extract import unit_source
 # Request sizes and prices.
 UNITS_PER_REQUEST = 25
 HEADER_LINES = 5
-MAX_UNITS = 500
 DESCRIPTION_MAX = 160
 INPUT_USD_PER_MTOKEN = 1
 OUTPUT_USD_PER_MTOKEN = 5
@@ -19,10 +18,19 @@ CHARS_PER_TOKEN = 4
 # Fixed values end.
 
 
+def _one_per_key(rows: DataFrame) -> DataFrame:
+    """(repo, key, text): one row per key. Tables have no order, so of several texts the smallest
+    one stays, blank ones behind all others; empty texts count as NULL."""
+    ranked = F.struct((trim(F.col("text")) == "").alias("blank"), "text")
+    return rows.groupBy("repo", "key").agg(
+        F.min(F.when(F.col("text") != "", ranked))["text"].alias("text"))
+
+
 def merge_descriptions(units: DataFrame, descriptions: DataFrame) -> DataFrame:
     """descriptions(repo, key, text) by unit id, else by ``file::name``; blank texts leave
-    the description as it is."""
-    given = descriptions.select("repo", "key", F.nullif("text", F.lit("")).alias("_text"))
+    the description as it is. Of several rows for a key the one with the smallest text counts
+    (empty ones come last), so units stay one row each."""
+    given = _one_per_key(descriptions).select("repo", "key", F.col("text").alias("_text"))
     by_id = given.select("repo", F.col("key").alias("id"), F.col("_text").alias("_by_id"))
     by_name = given.select("repo", F.col("key").alias("_name_key"), F.col("_text").alias("_by_name"))
     named = units.withColumn("_name_key", F.concat("file", F.lit("::"), "name"))
@@ -33,16 +41,18 @@ def merge_descriptions(units: DataFrame, descriptions: DataFrame) -> DataFrame:
         merged.alias(c) if c == "description" else F.col(c) for c in units.columns])
 
 
-def missing_descriptions(units: DataFrame, done: DataFrame, cap: int = MAX_UNITS) -> DataFrame:
-    """Units with a blank description and no entry in done(repo, id); the first ``cap`` of
-    each repository in map order."""
-    order = Window.partitionBy("repo").orderBy("file", "start")
+def missing_descriptions(
+    units: DataFrame, done: DataFrame, cap: int | None = None
+) -> DataFrame:
+    """Units with a blank description and no entry in done(repo, id); with ``cap`` only the
+    first so many of each repository, in map order."""
     blank = units.where(trim(F.coalesce("description", F.lit(""))) == "")
-    return (
-        blank.join(done.select("repo", "id"), ["repo", "id"], "left_anti")
-        .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
-        .select(*units.columns)
-    )
+    missing = blank.join(done.select("repo", "id"), ["repo", "id"], "left_anti")
+    if cap is None:
+        return missing.select(*units.columns)
+    order = Window.partitionBy("repo").orderBy("file", "start")
+    return (missing.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap)
+            .select(*units.columns))
 
 
 def request_block(text: Column) -> Column:
@@ -81,13 +91,14 @@ def description_batches(
 
 
 def merge_new_descriptions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old and new (repo, key, text): new texts are squeezed and cut; a key that has a text
-    is never overwritten."""
+    """old and new (repo, key, text) to one row per key: new texts are squeezed and cut; a key
+    that has a text is never overwritten. Of several texts for a key the smallest one stays."""
+    old = _one_per_key(old).withColumn("text", F.coalesce("text", F.lit("")))
     kept = old.where(F.coalesce("text", F.lit("")) != "")
     cleaned = new.select(
         "repo", "key", F.substring(squeeze(F.col("text")), 1, DESCRIPTION_MAX).alias("text")
     ).where(F.col("text") != "")
-    added = cleaned.join(kept.select("repo", "key"), ["repo", "key"], "left_anti")
+    added = _one_per_key(cleaned).join(kept.select("repo", "key"), ["repo", "key"], "left_anti")
     rest = old.join(added.select("repo", "key"), ["repo", "key"], "left_anti")
     return rest.select("repo", "key", "text").unionByName(added)
 

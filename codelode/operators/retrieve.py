@@ -4,11 +4,13 @@ The keyword index is an inverted index with one row per (unit, stem). Scoring jo
 it with the stems of the task parts; the score of a unit for a part is a sum over
 matching stems.
 
-Layout. The side that grows is the index. It is hash-partitioned by unit, so that all
-stems of one unit stand together; when the stems of the task parts are few enough to
-broadcast (checked, not assumed) the join and the sum per (part, unit) then run
-without moving any (part, unit) pair. The last step keeps the best n units per part
-inside each partition before the ranks are shuffled (window group limit).
+Layout. The side that grows is the index. All stems of a unit lie in one partition, whether
+the index is built from units or read from a table bucketed by unit. When the stems of the
+task parts are few enough to broadcast (checked, not assumed), the join filters the index
+where it lies and sums per (part, unit) there; no row of the index is moved. What moves are
+those sums, and not even they when the index is a table bucketed by unit. The last step keeps
+the best n units per part inside each partition before the ranks are shuffled (window group
+limit).
 
 When the task side is too large to broadcast, both sides are joined on
 (repo, stem, salt): a stem that a third of all units share is spread over the salts.
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codelode.functions import text as T
 from codelode.functions.hof import bind, join_present
 from codelode.functions.numbers import rounded
+from codelode.sources.scratch import saved
 
 # Sizes and wording of the ranking requests and results.
 TOP_UNITS = 15
@@ -49,10 +52,11 @@ BROADCAST_TASK_CHARS = 16 * 1024 * 1024
 SALTS = 64
 
 
-def parts(tasks: DataFrame, split: str = "heuristic") -> DataFrame:
-    """tasks(repo, task_id, text) -> parts(repo, task_id, part_no, part), part_no from 1."""
+def parts(tasks: DataFrame, split: str = "heuristic", most: int | None = None) -> DataFrame:
+    """tasks(repo, task_id, text) -> parts(repo, task_id, part_no, part), part_no from 1; at
+    most ``most`` parts of a task, if that is given."""
     return tasks.select(
-        "repo", "task_id", F.posexplode(T.task_parts(F.col("text"), split)).alias("pos", "part")
+        "repo", "task_id", F.posexplode(T.task_parts(F.col("text"), split, most)).alias("pos", "part")
     ).select("repo", "task_id", (F.col("pos") + 1).alias("part_no"), "part")
 
 
@@ -85,7 +89,7 @@ def token_index(units: DataFrame) -> DataFrame:
 
 def write_token_index(units: DataFrame, table: str, buckets: int) -> None:
     """Save the index bucketed by unit, so that every later ranking reads it in the
-    layout that :func:`keyword_scores` wants and shuffles none of it."""
+    layout in which :func:`keyword_scores` moves nothing before the ranks."""
     (token_index(units).write.mode("overwrite")
      .bucketBy(buckets, *UNIT_KEY).sortBy(*UNIT_KEY).saveAsTable(table))
 
@@ -105,8 +109,7 @@ def keyword_scores(
     wanted = part_stems(task_parts)
     keys = [*PART_KEY, "file", "start"]
     if _fits_broadcast(task_parts, broadcast_chars):
-        by_unit = index.repartition(*UNIT_KEY)
-        hits = by_unit.join(F.broadcast(wanted), ["repo", "stem"])
+        hits = index.join(F.broadcast(wanted), ["repo", "stem"])
     else:
         salted = index.withColumn("salt", F.pmod(F.xxhash64("file", "start"), F.lit(salts)))
         spread = wanted.withColumn(
@@ -152,37 +155,18 @@ def _project_clause(project: str) -> str:
     return f" in the project ({project})" if project else ""
 
 
-def number_in_order(
-    df: DataFrame, group: str, order: list[str], alias: str, *,
-    rows_per_task: int = 2_000_000, splitters: int = 256,
-) -> DataFrame:
-    """Consecutive numbers from 1 inside each ``group``, in the given order.
+def number_in_order(df: DataFrame, group: str, order: list[str], alias: str) -> DataFrame:
+    """Consecutive numbers (bigint) from 1 inside each ``group``, in the given order.
 
-    A plain window sorts one group in one task. When a group is larger than
-    ``rows_per_task``, rows are first put into key ranges (ranges end at keys taken from
-    the data by hash, so they are fixed and repeatable), numbered inside each range,
-    and shifted by the number of rows in the ranges before it.
+    Rows are put into key ranges, as many as their size asks for, and saved. They are numbered
+    inside each range and shifted by the number of rows in the ranges before it, so no task
+    sorts a whole group. The counts are one row per range and group.
     """
-    key = [group, *order]
-    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= rows_per_task:
-        return df.withColumn(
-            alias, F.row_number().over(Window.partitionBy(group).orderBy(*order))
-        )
-    bounds = (
-        df.select(*key).orderBy(F.xxhash64(*key), *key).limit(splitters).orderBy(*key).collect()
-    )
-    types = dict(df.dtypes)
-    ends = F.array(*[
-        F.struct(*[F.lit(b[c]).cast(types[c]).alias(c) for c in key]) for b in bounds
-    ])
-    here = F.struct(*key)
-    ranged = df.withColumn("_range", F.size(F.filter(ends, lambda e: e <= here)))
-    counts = ranged.groupBy(group, "_range").count()
+    ranged = saved(df.repartitionByRange(group, *order)
+                   .withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(
-        group, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift")
-    )
+    shifts = ranged.groupBy(group, "_range").count().select(
+        group, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy(group, "_range").orderBy(*order)
     return (
         ranged.withColumn("_inside", F.row_number().over(inside))
@@ -193,7 +177,7 @@ def number_in_order(
 
 
 def scan_questions(
-    units: DataFrame, batch: int = SCAN_BATCH, project: str = "", **numbering
+    units: DataFrame, batch: int = SCAN_BATCH, project: str = ""
 ) -> DataFrame:
     """One yes/no question per unit, in batches of ``batch`` in map order.
 
@@ -201,11 +185,11 @@ def scan_questions(
     the questions of a repository are written once and serve every task.
     """
     head = SCAN_QUESTION.format(project=_project_clause(project))
-    numbered = number_in_order(units, "repo", ["file", "start"], "_n", **numbering)
+    numbered = number_in_order(units, "repo", ["file", "start"], "_n")
     position = F.col("_n") - 1
     return numbered.select(
         *UNIT_KEY, "id",
-        F.floor(position / batch).cast("int").alias("batch_no"),
+        F.expr(f"(_n - 1) div {batch}").alias("batch_no"),
         F.concat(F.lit("q"), (position % batch).cast("string")).alias("q"),
         F.concat(F.lit(head), unit_label()).alias("instructions"),
     )
@@ -249,7 +233,8 @@ def scan_scores(
     p > 0 can come before the rest, and the rest stands in map order; so per part it is
     enough to keep the positive answers plus, with p = 0, the first ``top`` units and the
     first unit of each of the first ``top_files`` files of the repository. Results are the
-    same as those of the full product of parts and units, which is never built.
+    same as those of the full product of parts and units, which is never built; they are
+    complete for at most ``top`` units and ``top_files`` files (see :func:`ranked_scan`).
     """
     keys = [*PART_KEY, "file", "start"]
     known = units.select(*UNIT_KEY)
@@ -274,6 +259,16 @@ def scan_scores(
     return positive.unionByName(rest.select(*keys, "p"))
 
 
+def ranked_scan(
+    task_parts: DataFrame, units: DataFrame, answers: DataFrame,
+    top: int = TOP_UNITS, top_files: int = TOP_FILES,
+) -> tuple[DataFrame, DataFrame]:
+    """Best units and best files per part of a full scan. The two numbers are given once, so
+    that what :func:`scan_scores` keeps is enough for both."""
+    scored = scan_scores(task_parts, units, answers, top, top_files)
+    return rank_units(scored, top), rank_files(scored, top_files)
+
+
 def rank_units(scored: DataFrame, top: int = TOP_UNITS, by: str = "p") -> DataFrame:
     """Best ``top`` units per part, with p to three decimals."""
     ranked = _best(scored, F.col(by), top, "rank")
@@ -376,7 +371,10 @@ def task_cost(usage: DataFrame) -> DataFrame:
 
 def callers_of(units: DataFrame) -> DataFrame:
     """Which units call which endpoints: (repo, path, endpoint, caller). Path variables
-    (``:id``, ``{id}``, ``<id>``, ``${..}``) match each other and queries are ignored."""
+    (``:id``, ``{id}``, ``<id>``, ``${..}``) match each other and queries are ignored.
+
+    A path that very many units call is one join key; both sides are plain shuffles, so
+    adaptive execution splits its partition."""
     def normal(path: Column) -> Column:
         bare = F.regexp_replace(path, r"[?#].*", "")
         holes = F.regexp_replace(bare, r"\$\{[^}]*\}|\{[^}]*\}|<[^>]*>|:\w+", "*")

@@ -63,5 +63,5 @@ def split_ctes(source: str, prefix: str = "") -> str:
 {prefix}firsts AS (SELECT id, min(i) AS i, min_by(p, i) AS p FROM {prefix}rows GROUP BY id, lower(p)),
 {prefix}numbered AS (SELECT id, p, row_number() OVER (PARTITION BY id ORDER BY i) AS part_no, count(*) OVER (PARTITION BY id) AS n FROM {prefix}firsts),
 {prefix}parts AS (
-  SELECT id, part_no, trim(p, {blank}) AS part FROM {prefix}numbered WHERE n > 1 AND part_no <= 8
+  SELECT id, part_no, trim(p, {blank}) AS part FROM {prefix}numbered WHERE n > 1
   UNION ALL SELECT id, 1, whole FROM {prefix}src WHERE whole <> '' AND id NOT IN (SELECT id FROM {prefix}numbered WHERE n > 1))"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codelode.functions import paths as P
 from codelode.functions import text as T
@@ -20,7 +20,7 @@ from codelode.queries.check_sql import split_ctes, stem_ctes, tokens
 from codelode.queries.codebase import code_files
 from codelode.sources import corpus as C
 from codelode.sources import mapstore as M
-from codelode.sources.scratch import saved, spread
+from codelode.sources.scratch import dealt, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,14 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def doc_units(spark: SparkSession, sf_dir: str, one_file_each: bool = False) -> DataFrame:
     """Documents as units: the source is the file (or one file per document)."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    docs = dealt(table(spark, sf_dir, "documents"))
     file = F.concat("source", F.lit("/"), F.col("doc_id").cast("string")) if one_file_each else (
         F.col("source"))
     return docs.select(
         F.regexp_replace("source", "[0-9]+$", "").alias("repo"),
         F.col("doc_id").cast("string").alias("id"), file.alias("file"), F.lit(None).cast("string").alias("lang"), F.lit("file").alias("type"),
-        F.lit("").alias("name"), F.col("doc_id").cast("int").alias("start"),
-        F.col("doc_id").cast("int").alias("end"), F.lit("").alias("comment"),
+        F.lit("").alias("name"), F.col("doc_id").alias("start"), F.col("doc_id").alias("end"), F.lit("").alias("comment"),
         F.col("text").alias("description"), F.col("lang").alias("area"),
         F.lit(None).cast(X.EXTRA_TYPE).alias("extra"))
 
@@ -130,7 +129,7 @@ def rank_files(spark, sf_dir):
 FROM (SELECT doc_id, unnest({tokens("text")}) AS word FROM documents) GROUP BY ALL""")
 def tokens_vocab(spark, sf_dir):
     """How often, and in how many documents, each token occurs."""
-    rows = spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    rows = dealt(table(spark, sf_dir, "documents")).select(
         "doc_id", F.explode(T.tokenize(F.col("text"))).alias("token"))
     per_doc = rows.groupBy("token", "doc_id").agg(F.count("*").alias("c"))
     return per_doc.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
@@ -140,44 +139,51 @@ def tokens_vocab(spark, sf_dir):
 {stem_ctes("vocab")} SELECT word AS token, stem FROM stems""")
 def stem_vocab(spark, sf_dir):
     """Stem of every distinct token."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return dealt(table(spark, sf_dir, "documents")).select(
         F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token")
     ).distinct().select("token", T.stem(F.col("token")).alias("stem"))
 
 
 @query(f"""SELECT doc_id, len(list_intersect(list_distinct(ws), [w FOR w IN {tokens("'the them with that'")} ])) AS unused,
- strip_accents(left(text, 200)) AS folded FROM (SELECT doc_id, text, {tokens("text")} AS ws FROM documents)""")
+ strip_accents(text) AS folded FROM (SELECT doc_id, text, {tokens("text")} AS ws FROM documents)""")
 def fold_text(spark, sf_dir):
-    """Folded beginnings of documents, and the stop words left among their tokens (none)."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    """Folded texts of documents, and the stop words left among their tokens (none)."""
+    return dealt(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.size(F.array_intersect(T.tokenize(F.col("text")), T.tokenize(
             F.lit("the them with that")))).cast("bigint").alias("unused"),
-        T.fold(F.substring("text", 1, 200)).alias("folded"))
+        T.fold(F.col("text")).alias("folded"))
 
 
-USER_TURNS = "SELECT concat(conv_id, '/', turn) AS id, text FROM conversations WHERE role = 'user'"
+TURNS = "SELECT concat(conv_id, '/', turn, '/', role) AS id, text FROM conversations"
+ROLE = "split_part(id, '/', 3) AS role"
 
 
-def _user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
-        F.lit("talk").alias("repo"), F.concat_ws("/", "conv_id", "turn").alias("task_id"), "text")
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation as a task; the role is part of its id."""
+    return dealt(table(spark, sf_dir, "conversations")).select(
+        F.lit("talk").alias("repo"), F.concat_ws("/", "conv_id", "turn", "role").alias("task_id"),
+        "text")
 
 
-@query(f"""SELECT id, regexp_matches(text, '[\\n;•]|,\\s*\\w+\\s+\\w+') OR
+def _role() -> Column:
+    return F.split_part(F.col("task_id"), F.lit("/"), F.lit(3)).alias("role")
+
+
+@query(f"""SELECT id, {ROLE}, regexp_matches(text, '[\\n;•]|,\\s*\\w+\\s+\\w+') OR
  len([w FOR w IN regexp_split_to_array(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '\\s+') IF w <> '']) > 14 AS composite
-FROM ({USER_TURNS})""")
+FROM ({TURNS})""")
 def composite_tasks(spark, sf_dir):
-    """Which user turns look like several tasks."""
-    return _user_turns(spark, sf_dir).select(
-        F.col("task_id").alias("id"), T.looks_composite(F.col("text")).alias("composite"))
+    """Which turns look like several tasks."""
+    return _turns(spark, sf_dir).select(
+        F.col("task_id").alias("id"), _role(), T.looks_composite(F.col("text")).alias("composite"))
 
 
-@query(f"WITH {split_ctes(USER_TURNS)} SELECT id, part_no, part FROM parts")
+@query(f"WITH {split_ctes(TURNS)} SELECT id, {ROLE}, part_no, part FROM parts")
 def split_tasks(spark, sf_dir):
-    """Parts of the user turns."""
-    return R.parts(_user_turns(spark, sf_dir)).select(
-        F.col("task_id").alias("id"), F.col("part_no").cast("bigint").alias("part_no"), "part")
+    """Parts of the turns."""
+    return R.parts(_turns(spark, sf_dir)).select(
+        F.col("task_id").alias("id"), _role(), F.col("part_no").cast("bigint").alias("part_no"), "part")
 
 
 # --------------------------------------------------------------- corpus
@@ -187,9 +193,9 @@ def split_tasks(spark, sf_dir):
 FROM (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages)""")
 def minified_files(spark, sf_dir):
     """Which documents and pages would be skipped as minified."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    docs = dealt(table(spark, sf_dir, "documents")).select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-    pages = spread(table(spark, sf_dir, "pages"), "page_id").select(
+    pages = dealt(table(spark, sf_dir, "pages")).select(
         F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     return docs.unionByName(pages).select("kind", "id", C.is_minified(F.col("text")).alias("minified"))
 
@@ -249,7 +255,7 @@ def ignored_files(spark, sf_dir):
  IF length(x) > 2 AND NOT list_contains(string_split('""" + " ".join(TABLE_STOP_WORDS) + """', ' '), lower(x))])), '|') AS tables FROM documents""")
 def tables_mined(spark, sf_dir):
     """What looks like SQL tables in the whole text of every document."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return dealt(table(spark, sf_dir, "documents")).select(
         "doc_id", F.array_join(tables_in(F.col("text"), F.lit(False)), "|").alias("tables"))
 
 
@@ -397,6 +403,19 @@ FROM part
 """
 
 
+#: The same keys a second and third time, with other texts.
+REPEATED_SQL = f"""
+SELECT repo, key, text FROM ({NAMES_SQL}) x
+UNION ALL SELECT repo, key, concat('More about ', key) FROM ({NAMES_SQL}) y WHERE length(key) % 3 > 0
+UNION ALL SELECT repo, key, '' FROM ({NAMES_SQL}) z
+"""
+
+
+def repeated_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(REPEATED_SQL.replace("FROM part", "FROM {part}"),
+                     part=table(spark, sf_dir, "part"))
+
+
 def part_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(NAMES_SQL.replace("FROM part", "FROM {part}"),
                      part=table(spark, sf_dir, "part"))
@@ -412,22 +431,33 @@ def merge_descriptions(spark, sf_dir):
     return units.select("repo", "id", "description")
 
 
+@query(units_query("""SELECT repo, id, coalesce(nullif(trim(coalesce(a, b)), ''), comment) AS description FROM (
+ SELECT u.repo, u.id, u.comment, x.text AS a, y.text AS b FROM units u
+ LEFT JOIN names x ON x.repo = u.repo AND x.key = u.id
+ LEFT JOIN names y ON y.repo = u.repo AND y.key = u.file || '::' || u.name)""", f"""names AS (
+ SELECT repo, key, coalesce(min(text) FILTER (trim(text) <> ''), min(text) FILTER (text <> '')) AS text
+ FROM ({REPEATED_SQL}) GROUP BY ALL)"""))
+def merge_repeated_descriptions(spark, sf_dir):
+    """Descriptions whose keys come several times: units stay one row each."""
+    units, _ = code_map(spark, sf_dir, descriptions=repeated_descriptions(spark, sf_dir))
+    return units.select("repo", "id", "description")
+
+
 MISSING_SQL = """missing AS (
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file, first_line) AS nr FROM units
-  WHERE comment = '' AND NOT EXISTS (SELECT 1 FROM names x WHERE x.repo = units.repo AND x.key = units.id))
- WHERE nr <= 40)"""
+ SELECT * FROM units
+ WHERE comment = '' AND NOT EXISTS (SELECT 1 FROM names x WHERE x.repo = units.repo AND x.key = units.id))"""
 
 
 def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = part_descriptions(spark, sf_dir).select("repo", F.col("key").alias("id"))
-    return D.missing_descriptions(_units_without_routes(spark, sf_dir), done, 40)
+    return D.missing_descriptions(_units_without_routes(spark, sf_dir), done)
 
 
 @query(units_query("SELECT repo, id, type FROM missing".replace(
     "type", "CASE WHEN type = 'page' THEN 'component' ELSE type END AS type"),
     f"names AS ({NAMES_SQL}), {MISSING_SQL}"))
 def missing_descriptions(spark, sf_dir):
-    """First 40 units of every repository without a description."""
+    """Units without a description."""
     return _missing(spark, sf_dir).select("repo", "id", "type")
 
 
@@ -476,13 +506,13 @@ SELECT concat('r', CAST(p_partkey % 25 AS varchar(20))) AS repo, concat('k', CAS
 
 
 @query(f"""WITH src AS ({NEW_SQL}),
-old AS (SELECT repo, key, old_text AS text FROM src WHERE pk % 2 = 0),
-new AS (SELECT repo, key, left(trim(regexp_replace(new_text, '\\s+', ' ', 'g')), 160) AS text FROM src WHERE pk % 3 = 0),
+old AS (SELECT repo, key, coalesce(min(old_text) FILTER (trim(old_text) <> ''), '') AS text FROM src WHERE pk % 2 = 0 GROUP BY ALL),
+new AS (SELECT repo, key, min(left(trim(regexp_replace(new_text, '\\s+', ' ', 'g')), 160)) AS text FROM src WHERE pk % 3 = 0 GROUP BY ALL),
 kept AS (SELECT repo, key FROM old WHERE text <> ''),
 added AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.repo = n.repo AND k.key = n.key))
 SELECT * FROM added UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM added a WHERE a.repo = o.repo AND a.key = o.key)""")
 def new_descriptions(spark, sf_dir):
-    """New descriptions merged beside old ones, which are never overwritten."""
+    """New descriptions merged beside old ones, which are never overwritten; one row per key."""
     src = spark.sql(NEW_SQL.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
     old = src.where("pk % 2 = 0").select("repo", "key", F.col("old_text").alias("text"))
     new = src.where("pk % 3 = 0").select("repo", "key", F.col("new_text").alias("text"))
@@ -498,7 +528,7 @@ LABEL_SQL = """labelled AS (SELECT *, concat_ws(' | ', file, CASE WHEN type = 'p
  row_number() OVER (PARTITION BY repo ORDER BY file, first_line) - 1 AS k FROM units)"""
 
 
-@query(units_query("""SELECT repo, id, CAST(floor(k / 60) AS integer) AS batch_no, 'q' || (k % 60) AS q,
+@query(units_query("""SELECT repo, id, k // 60 AS batch_no, 'q' || (k % 60) AS q,
  'To carry out the task in `task` in the project (demo), a developer must read or modify this code unit: ' || label AS instructions
 FROM labelled""", LABEL_SQL))
 def scan_questions(spark, sf_dir):
@@ -508,7 +538,7 @@ def scan_questions(spark, sf_dir):
 
 
 @query(units_query("""SELECT repo, batch_no, count(*) AS questions, sum(length(label)) AS chars
-FROM (SELECT *, CAST(floor(k / 60) AS integer) AS batch_no FROM labelled) GROUP BY ALL""", LABEL_SQL))
+FROM (SELECT *, k // 60 AS batch_no FROM labelled) GROUP BY ALL""", LABEL_SQL))
 def scan_batches(spark, sf_dir):
     """Request bodies: how many questions and how much text each holds."""
     batches = R.scan_batches(R.scan_questions(saved(_units_without_routes(spark, sf_dir), "units")))
@@ -529,19 +559,23 @@ def scan_calls(spark, sf_dir):
 
 ANSWERS_SQL = """answers AS (
  SELECT CAST(b.item_id AS varchar) AS item, d.doc_id AS doc, d.source AS file, l.quality * ((d.doc_id * 7 + b.item_id) % 97) / 97.0 AS p
- FROM benchmark b JOIN labels l ON l.doc_id % 5 = b.item_id % 5 JOIN documents d ON d.doc_id = l.doc_id)"""
+ FROM labels l CROSS JOIN generate_series(0, 2) j(j)
+ JOIN benchmark b ON b.item_id = (l.doc_id * 7 + j * 13) % (SELECT count(*) FROM benchmark)
+ JOIN documents d ON d.doc_id = l.doc_id)"""
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Given probabilities: labelled documents for the items with the same key modulo 5."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 5).alias("m"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", (F.col("doc_id") % 5).alias("m"))
+    """Given probabilities: every labelled document for three items, chosen by its key."""
+    items = table(spark, sf_dir, "benchmark").select("item_id")
+    n = items.count()
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", F.explode(F.array(*[
+        (F.col("doc_id") * 7 + j * 13) % n for j in range(3)])).alias("item_id"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     p = F.col("quality") * ((F.col("doc_id") * 7 + F.col("item_id")) % 97) / F.lit(97.0)
-    return labels.join(docs, "doc_id").join(items, "m").select(
+    return labels.join(docs, "doc_id").join(items, "item_id").select(
         F.lit("src").alias("repo"), F.col("item_id").cast("string").alias("task_id"),
         F.lit(1).alias("part_no"), F.col("source").alias("file"),
-        F.col("doc_id").cast("int").alias("start"), p.alias("p"))
+        F.col("doc_id").alias("start"), p.alias("p"))
 
 
 FULL_SCAN_SQL = f"""WITH {ANSWERS_SQL},
@@ -551,16 +585,16 @@ full_scan AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY p DESC, file, doc) AS rank FROM full_scan)"""
 
 
-def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parts = R.parts(bench_tasks(spark, sf_dir), "none")
-    return R.scan_scores(parts, doc_units(spark, sf_dir), _answers(spark, sf_dir))
+    return R.ranked_scan(parts, doc_units(spark, sf_dir), _answers(spark, sf_dir))
 
 
 @query(FULL_SCAN_SQL + """ SELECT item AS task_id, rank, file, doc AS doc_id, floor(p * 1000 + 0.5) / 1000 AS p
 FROM ranked WHERE rank <= 15""")
 def scored_scan(spark, sf_dir):
     """Units of a full scan by given probabilities; unanswered ones count as 0."""
-    return R.rank_units(_scan(spark, sf_dir)).select(
+    return _scan(spark, sf_dir)[0].select(
         "task_id", "rank", "file", F.col("start").cast("bigint").alias("doc_id"), "p")
 
 
@@ -569,7 +603,7 @@ def scored_scan(spark, sf_dir):
 SELECT item AS task_id, rank, file, floor(p * 1000 + 0.5) / 1000 AS p FROM top WHERE rank <= 10""")
 def scored_files(spark, sf_dir):
     """Files of a full scan."""
-    return R.rank_files(_scan(spark, sf_dir)).select("task_id", "rank", "file", "p")
+    return _scan(spark, sf_dir)[1].select("task_id", "rank", "file", "p")
 
 
 @query(f"WITH {ANSWERS_SQL}, {scores_sql('source', WHOLE_ITEMS)} " """
@@ -648,13 +682,13 @@ def no_candidates(spark, sf_dir):
     return R.no_candidate_parts(parts, cands).select("task_id", F.col("part").alias("task"))
 
 
-@query(f"WITH {split_ctes(USER_TURNS)} " """
+@query(f"WITH {split_ctes(TURNS)} " """
 SELECT id AS task_id, count(*) AS calls, CAST(sum(length(part)) AS bigint) AS tokens,
  floor(sum(floor(length(part) / 1e6 * 0.042 * 1e6 + 0.5) / 1e6) * 1e6 + 0.5) / 1e6 AS cost_usd
 FROM parts GROUP BY ALL""")
 def task_cost(spark, sf_dir):
     """Price per task when every part costs a token per character."""
-    usage = R.parts(_user_turns(spark, sf_dir)).withColumn("tokens", F.length("part").cast("bigint"))
+    usage = R.parts(_turns(spark, sf_dir)).withColumn("tokens", F.length("part").cast("bigint"))
     return R.task_cost(usage).select("task_id", "calls", "tokens", "cost_usd")
 
 
@@ -663,7 +697,8 @@ def task_cost(spark, sf_dir):
 BENCH_ITEMS = "SELECT CAST(item_id AS varchar) AS id, text FROM benchmark"
 TRUTH_SQL = """, doc_list AS (SELECT doc_id, source || '/' || doc_id AS file, [w FOR w IN regexp_split_to_array(text, '\\s+') IF w <> ''] AS ws FROM documents),
  grams AS (SELECT file, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT file, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM doc_list)),
- wanted AS (SELECT CAST(item_id AS varchar) AS item, array_to_string([w FOR w IN regexp_split_to_array(text, '\\s+') IF w <> ''][5:12], ' ') AS g FROM benchmark),
+ items AS (SELECT CAST(item_id AS varchar) AS item, [w FOR w IN regexp_split_to_array(text, '\\s+') IF w <> ''] AS ws FROM benchmark),
+ wanted AS (SELECT DISTINCT item, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT item, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM items)),
  targets AS (SELECT DISTINCT item, file FROM wanted JOIN grams USING (g))"""
 BENCH_SQL = f"""WITH {scores_sql("source || '/' || doc_id", split_ctes(BENCH_ITEMS, "split_") + ", parts AS (SELECT id AS item, part_no, part FROM split_parts)")}
 {RANKED_FILES} {TRUTH_SQL},
@@ -678,20 +713,32 @@ BENCH_SQL = f"""WITH {scores_sql("source || '/' || doc_id", split_ctes(BENCH_ITE
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets: documents that hold words 5 to 12 of an item, one after the other."""
+    """Targets: documents that hold eight words in a row of an item. Hashes of the fragments are
+    compared first, and the texts of the few documents that match are looked at again."""
     def words(c: str):
         return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    def fragments(ws: str):
+        return F.transform(F.sequence(F.lit(1), F.size(ws) - 7),
+                           lambda i: F.array_join(F.slice(ws, i, 8), " "))
+
+    def long_enough(df: DataFrame) -> DataFrame:
+        return df.where(F.size("ws") >= 8)
+
+    docs = long_enough(dealt(table(spark, sf_dir, "documents")).select(
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("file"),
-        words("text").alias("ws")).where(F.size("ws") >= 8)
-    grams = docs.select("file", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size("ws") - 7),
-        lambda i: F.array_join(F.slice("ws", i, 8), " ")))).alias("g"))
-    wanted = table(spark, sf_dir, "benchmark").select(
+        words("text").alias("ws")))
+    wanted = saved(long_enough(table(spark, sf_dir, "benchmark").select(
         F.lit("src").alias("repo"), F.col("item_id").cast("string").alias("task_id"),
-        F.array_join(F.slice(words("text"), 5, 8), " ").alias("g"))
-    return grams.join(wanted, "g").select("repo", "task_id", "file").distinct()
+        words("text").alias("ws"))).select(
+        "repo", "task_id", F.explode(F.array_distinct(fragments("ws"))).alias("g"))
+        .withColumn("h", F.xxhash64("g")), "fragments")
+    hashes = docs.select("file", F.explode(F.array_distinct(F.transform(
+        fragments("ws"), lambda g: F.xxhash64(g)))).alias("h"))
+    maybe = saved(hashes.join(wanted, "h"), "maybe")
+    texts = docs.select("file", F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")).alias("t"))
+    holds = F.contains(F.col("t"), F.concat(F.lit(" "), F.col("g"), F.lit(" ")))
+    return texts.join(maybe, "file").where(holds).select("repo", "task_id", "file").distinct()
 
 
 def _bench_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

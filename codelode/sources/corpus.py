@@ -40,12 +40,9 @@ SCHEME = r"^[a-z0-9+.-]+:/*"
 
 def load_files(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
     """files(repo, path, size, text) under a directory. With ``repo`` the directory is one
-    repository; without, its first-level directories are the repositories. Files over the
-    size limit are dropped before their content is read."""
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .where(F.col("length") <= MAX_FILE_BYTES)
-    )
+    repository; without, its first-level directories are the repositories. Nothing is dropped
+    here; a filter on ``size`` reaches the reader, so contents it excludes are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(SCHEME, "/", root.rstrip("/")) + "/"
     local = F.regexp_replace(F.col("path"), SCHEME, "/")
     rel = F.substring(local, F.lit(len(base) + 1), F.length(local))
@@ -83,23 +80,35 @@ def language_gate(files: DataFrame, include: list[str] = ()) -> DataFrame:
     return files.where(P.detect_lang(path).isNotNull() | explicitly_included(path, list(include)))
 
 
-def size_cap(files: DataFrame) -> DataFrame:
-    return files.where(F.col("size") <= MAX_FILE_BYTES)
+def size_cap(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Files of at most ``max_bytes``; :func:`oversized` has the others."""
+    return files.where(F.col("size") <= max_bytes)
+
+
+def oversized(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(repo, path, size) of the files that :func:`size_cap` drops."""
+    return files.where(F.col("size") > max_bytes).select("repo", "path", "size")
 
 
 def dedup_paths(files: DataFrame) -> DataFrame:
-    """One row per path."""
-    return files.dropDuplicates(["repo", "path"])
+    """One row per path. Of several the smallest one by size, then text, stays; tables have no
+    order in which one could come first."""
+    rest = [F.struct(*[c for c in ("size", "text") if c in files.columns],
+                     *[c for c in files.columns if c not in ("repo", "path", "size", "text")])]
+    if files.columns == ["repo", "path"]:
+        return files.distinct()
+    one = files.groupBy("repo", "path").agg(F.min(rest[0]).alias("_f")).select("repo", "path", "_f.*")
+    return one.select(*files.columns)
 
 
 def list_files(
     files: DataFrame, include: list[str] = (), exclude: list[str] = (), out: str = DEFAULT_OUT,
-    unique: bool = False,
+    unique: bool = False, max_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
     """The files to scan. ``unique``: the input already has one row per path, as a file
     listing does, and the shuffle of :func:`dedup_paths` is saved."""
     chosen = size_cap(language_gate(
-        include_filter(exclude_default(files, exclude, out), include), include))
+        include_filter(exclude_default(files, exclude, out), include), include), max_bytes)
     return chosen if unique else dedup_paths(chosen)
 
 
@@ -174,7 +183,7 @@ def ignore_rules(files: DataFrame, name: str = ".gitignore") -> DataFrame:
 
 
 __all__ = [
-    "load_files", "exclude_default", "include_filter", "language_gate", "size_cap", "dedup_paths",
+    "load_files", "oversized", "exclude_default", "include_filter", "language_gate", "size_cap", "dedup_paths",
     "list_files", "is_minified", "explode_lines", "parse_ignore", "ignored", "ignore_filter",
     "ignore_rules",
 ]

@@ -33,10 +33,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows over the cluster when they come from fewer files than it has slots: such
-    a table is small, but the work per row may not be. Larger tables stay where they are."""
-    spark = df.sparkSession
-    if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+#: Session setting: into how many partitions queries deal out a table they read. It is for small
+#: tables that come as one file with one row group, which the reader cannot split.
+READ_PARTITIONS = "codelode.read.partitions"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows as the reader splits them, or dealt out as the session asks for."""
+    n = df.sparkSession.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

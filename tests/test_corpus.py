@@ -91,7 +91,12 @@ def test_load_files(spark, tmp_path):
     (tmp_path / "two").mkdir()
     (tmp_path / "two" / "b.js").write_bytes(b"var a = 1; // \xff\n")
     (tmp_path / "two" / "big.js").write_bytes(b"x" * (1024 * 1024 + 1))
-    got = {(r.repo, r.path, r.size): r.text for r in C.load_files(spark, str(tmp_path)).collect()}
+    files = C.load_files(spark, str(tmp_path))
+    small = C.size_cap(files)
+    got = {(r.repo, r.path, r.size): r.text for r in small.collect()}
+    assert [tuple(r) for r in C.oversized(files).collect()] == [("two", "big.js", 1024 * 1024 + 1)]
+    assert C.list_files(files, max_bytes=1 << 30).count() == 3
+    assert "LessThanOrEqual(length" in small._jdf.queryExecution().executedPlan().toString()
     assert got == {("one", "src/a.py", 18): "def f():\n    pass\n",
                    ("two", "b.js", 16): "var a = 1; // �\n"}
     assert [r.path for r in C.load_files(spark, str(tmp_path / "one"), "x").collect()] == ["src/a.py"]

@@ -123,6 +123,9 @@ def test_merge_new(spark):
     new = spark.createDataFrame([("r", "a", "new"), ("r", "b", "b  b\n c"), ("r", "c", "x" * 200), ("r", "d", " ")], schema)
     got = {r.key: r.text for r in D.merge_new_descriptions(old, new).collect()}
     assert got == {"a": "old", "b": "b b c", "c": "x" * 160}
+    twice = D.merge_new_descriptions(old.union(old).unionByName(spark.createDataFrame(
+        [("r", "e", "z"), ("r", "e", "y"), ("r", "e", "")], schema)), new.union(new)).collect()
+    assert sorted((r.key, r.text) for r in twice) == sorted({**got, "e": "y"}.items())
     usage = spark.createDataFrame([("r", 1000, 100), ("r", 500, 50)],
                                   "repo string, input_tokens bigint, output_tokens bigint")
     cost = D.description_cost(usage).first()

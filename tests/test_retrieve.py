@@ -76,14 +76,22 @@ def test_prefilter(spark, units, options):
     assert got_df.count() == 0
 
 
-@pytest.mark.parametrize("numbering", [{}, {"rows_per_task": 2, "splitters": 3}])
-def test_scan_questions(spark, units, numbering):
-    rows = R.scan_questions(units, 3, "Demo", **numbering).orderBy("file", "start").collect()
+def test_numbering_with_one_large_group(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 100 < 90, "big").otherwise(
+        F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"), F.xxhash64("id").alias("x"))
+    got = R.number_in_order(df, "g", ["x"], "n")
+    want = df.selectExpr("*", "cast(row_number() over (partition by g order by x) as bigint) n")
+    assert got.schema["n"].dataType.simpleString() == "bigint"
+    assert sorted(map(tuple, got.select("g", "x", "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_scan_questions(spark, units):
+    rows = R.scan_questions(units, 3, "Demo").orderBy("file", "start").collect()
     assert [(r.batch_no, r.q) for r in rows] == [(i // 3, f"q{i % 3}") for i in range(8)]
     assert rows[1].instructions.startswith(
         "To carry out the task in `task` in the project (Demo), a developer must read or modify "
         "this code unit: srv/mail.js | ")
-    batches = R.scan_batches(R.scan_questions(units, 3, **numbering)).orderBy("batch_no").collect()
+    batches = R.scan_batches(R.scan_questions(units, 3)).orderBy("batch_no").collect()
     assert [sorted(b.questions) for b in batches] == [["q0", "q1", "q2"], ["q0", "q1", "q2"], ["q0", "q1"]]
     calls = R.scan_calls(R.parts(task(spark, "fix the order list")), units, 3).first()
     assert calls.calls == 3
@@ -174,9 +182,15 @@ def test_schema(units):
 
 
 def test_stored_index(spark, units):
-    R.write_token_index(units, "unit_stems", 4)
+    R.write_token_index(units, "unit_stems", 7)
     parts = R.parts(task(spark, "close the order list"))
     stored = R.prefilter(parts, spark.table("unit_stems"))
     fresh = R.prefilter(parts, R.token_index(units))
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, fresh.collect()))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan(stored).splitlines() if "Exchange hashpartitioning" in x]
+    assert moved and all("task_id" in x and "start" not in x for x in moved)
+    # of a fresh index only the sums per part and unit move, not its stems
+    assert not [x for x in plan(fresh).splitlines() if "Exchange hashpartitioning" in x and "stem" in x]
+    assert "BroadcastHashJoin" in plan(fresh)
     spark.sql("drop table unit_stems")

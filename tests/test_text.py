@@ -100,10 +100,11 @@ def test_looks_composite(spark, value, expected):
     ("BE: rename the supplier field FE: rename the supplier label",
      ["rename the supplier field", "rename the supplier label"]),
     ("", [""]),
-    (";".join(f"part number {i}" for i in range(12)), [f"part number {i}" for i in range(8)]),
+    (";".join(f"part number {i}" for i in range(12)), [f"part number {i}" for i in range(12)]),
 ])
 def test_split_task(spark, value, expected):
     assert one(spark, value, T.split_task) == expected
+    assert one(spark, value, lambda c: T.split_task(c, 2)) == expected[:2]
 
 
 def test_task_parts(spark):
