@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codelode.functions.hof import bind, last_index
 from codelode.functions.numbers import rounded
+from codelode.operators.retrieve import cost
 from codelode.functions.paths import basename
 from codelode.functions.regex import rx, squeeze, trim
 
@@ -152,23 +153,32 @@ def bench_rows(
     ranked: DataFrame, targets: DataFrame, task_parts: DataFrame, mode: str,
     usage: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per task and mode: number of parts, rank of the first hit, coverage, and the
-    calls, tokens and price from usage(repo, task_id, calls, tokens, cost_usd)."""
+    """One row per task and mode: number of targets and parts, rank of the first hit, coverage,
+    and calls, tokens and price from usage(repo, task_id, calls, tokens, cost_usd[, error]). A
+    price that is not given follows from the tokens. A task with an error counts as not found
+    and as free."""
     n_parts = task_parts.groupBy(*TASK_KEY).agg(F.count("*").alias("parts"))
+    n_targets = targets.groupBy(*TASK_KEY).agg(F.count("*").alias("targets"))
     rows = (
         first_hit_rank(union_files(ranked), targets)
         .join(coverage_at_k(ranked, targets), TASK_KEY)
+        .join(n_targets, TASK_KEY)
         .join(n_parts, TASK_KEY, "left")
     )
-    if usage is not None:
+    if usage is None:
+        spent = {"calls": "bigint", "tokens": "bigint", "cost_usd": "double"}
+        rows = rows.withColumns({c: F.lit(0).cast(t) for c, t in spent.items()})
+    else:
         rows = rows.join(usage, TASK_KEY, "left")
-    columns = {"calls": "bigint", "tokens": "bigint", "cost_usd": "double"}
-    filled = [
-        F.coalesce(F.col(c) if usage is not None else F.lit(None).cast(t), F.lit(0).cast(t)).alias(c)
-        for c, t in columns.items()]
+    if "error" not in rows.columns:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    price = rounded(F.coalesce(F.nullif("cost_usd", F.lit(0.0)), cost(F.col("tokens"))), 6)
+    rows = rows.withColumn("cost_usd", price)
+    counted = ("parts", "rank", "coverage1", "coverage3", "calls", "tokens", "cost_usd")
     return rows.select(
-        *TASK_KEY, F.lit(mode).alias("mode"), F.coalesce("parts", F.lit(0)).alias("parts"), "rank",
-        "coverage1", "coverage3", *filled)
+        *TASK_KEY, F.lit(mode).alias("mode"), "targets",
+        *[F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0))).otherwise(F.lit(0))
+          .cast(rows.schema[c].dataType).alias(c) for c in counted], "error")
 
 
 def bench_summary(rows: DataFrame) -> DataFrame:
@@ -178,7 +188,7 @@ def bench_summary(rows: DataFrame) -> DataFrame:
         hit = F.count_if((F.col("rank") >= 1) & (F.col("rank") <= k))
         return rounded(F.lit(100) * hit / F.count("*")).cast("int").alias(f"top{k}")
 
-    failed = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+    failed = F.col("error").isNotNull()
     return rows.groupBy("mode").agg(
         F.count("*").alias("commits"), top(1), top(3), top(5),
         rounded(F.avg("calls"), 1).alias("calls"),

@@ -356,6 +356,15 @@ def no_candidate_parts(task_parts: DataFrame, candidates: DataFrame) -> DataFram
         "note", F.lit(NOTE_NO_CANDIDATE))
 
 
+def parts_without_candidates(task_parts: DataFrame, index: DataFrame) -> DataFrame:
+    """The same from the index, without scores: the wanted stems are looked up in it, and a part
+    that has none of those found shares no keyword with any unit."""
+    wanted = part_stems(task_parts)
+    stems = wanted.select("repo", "stem").distinct()
+    found = index.select("repo", "stem").join(stems, ["repo", "stem"], "left_semi").distinct()
+    return no_candidate_parts(task_parts, wanted.join(found, ["repo", "stem"], "left_semi"))
+
+
 def cost(tokens: Column) -> Column:
     """Price in USD of a number of input tokens."""
     return rounded(tokens / F.lit(1e6) * F.lit(PRICE_PER_MTOKEN_USD), 6)

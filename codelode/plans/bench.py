@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from codelode.operators import evaluate as E
+from codelode.operators.retrieve import token_index
 from codelode.plans.find import find
 from codelode.sources.scratch import saved
 
@@ -17,16 +18,25 @@ def bench(
     out_dir: str = "",
 ) -> tuple[DataFrame, DataFrame]:
     """Log blocks(repo, block) -> (rows, summary). ``answers`` maps each mode to the table
-    of model answers for it, or None for keyword order."""
+    of model answers for it, or None for keyword order. Calls, tokens and prices are those of
+    the parts, unless ``usage`` gives them."""
     commits = saved(E.usable_commits(E.parse_commits(blocks)), "commits")
     touched = saved(
         E.touched_in_map(E.target_filter(E.touched_files(commits), out_dir), files), "targets")
     tasks = E.commit_tasks(commits, touched)
     targets = touched.select("repo", F.col("hash").alias("task_id"), F.col("path").alias("file"))
+    index = saved(token_index(units), "stems")
     rows = []
     for mode, given in answers.items():
-        found = find(tasks, units, mode=mode, split=split, answers=given)
+        found = find(tasks, units, mode=mode, split=split, answers=given, index=index)
         rows.append(E.bench_rows(saved(found["files"], "ranked"), targets, found["parts"], mode,
-                                 (usage or {}).get(mode)))
+                                 (usage or {}).get(mode) or _spent(found["parts"])))
     all_rows = reduce(DataFrame.unionByName, rows)
     return all_rows, E.bench_summary(all_rows)
+
+
+def _spent(parts: DataFrame) -> DataFrame:
+    """usage(repo, task_id, calls, tokens, cost_usd) from the parts of a search."""
+    return parts.groupBy("repo", "task_id").agg(
+        F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"),
+        F.sum("cost_usd").alias("cost_usd"))

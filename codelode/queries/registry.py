@@ -15,6 +15,7 @@ from codelode.operators import retrieve as R
 from codelode.operators.extras import TABLE_STOP_WORDS, tables_in
 from codelode.operators.routes import route_table
 from codelode.plans.build import build_map, scanned
+from codelode.plans.find import find
 from codelode.queries.check_code import files_query, units_query
 from codelode.queries.check_sql import split_ctes, stem_ctes, tokens
 from codelode.queries.codebase import code_files
@@ -678,8 +679,107 @@ def no_candidates(spark, sf_dir):
         F.lit("src").alias("repo"), F.col("c_custkey").cast("string").alias("task_id"),
         text.alias("text"))
     parts = R.parts(tasks, "none")
-    cands = R.prefilter(parts, R.token_index(doc_units(spark, sf_dir)), 1)
-    return R.no_candidate_parts(parts, cands).select("task_id", F.col("part").alias("task"))
+    lost = R.parts_without_candidates(parts, R.token_index(doc_units(spark, sf_dir)))
+    return lost.select("task_id", F.col("part").alias("task"))
+
+
+# --------------------------------------------------------------- searches, end to end
+
+FIND_TASKS = """SELECT CAST(item_id AS varchar) AS id, text FROM benchmark
+ UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation"""
+FIND_SQL = f"""WITH {scores_sql('source', split_ctes(FIND_TASKS, "split_") + ", parts AS (SELECT id AS item, part_no, part FROM split_parts)")}
+{RANKED_FILES},
+ asked AS (SELECT *, EXISTS (SELECT 1 FROM scored s WHERE s.item = p.item AND s.part_no = p.part_no) AS has_any,
+  part_no % 3 > 0 AS answered FROM parts p)"""
+
+
+def _find_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(
+        F.lit("src").alias("repo"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+        .alias("task_id"), F.col("n_name").alias("text"))
+    return bench_tasks(spark, sf_dir).unionByName(nations)
+
+
+def _find_usage(parts: DataFrame) -> DataFrame:
+    return parts.select(*R.PART_KEY, (F.length("part") * 10).cast("bigint").alias("tokens"))
+
+
+def _find_prefilter(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Two parts of three are answered: a probability for most candidates by their keyword
+    rank, a confidence and a probability of none by the number of the part."""
+    tasks, units = _find_tasks(spark, sf_dir), doc_units(spark, sf_dir)
+    index = saved(R.token_index(units), "stems")
+    parts = R.parts(tasks)
+    asked = parts.where(F.col("part_no") % 3 > 0)
+    cands = saved(R.prefilter(asked, index), "candidates").where(F.col("rank") % 7 != 0)
+    by_rank = cands.select(
+        *R.PART_KEY, F.concat(F.lit("u"), F.col("rank").cast("string")).alias("k"),
+        (((F.col("rank") * 37) % 101) / F.lit(101.0)).alias("p"))
+    more = [asked.select(*R.PART_KEY, F.lit(k).alias("k"), p.alias("p")) for k, p in (
+        ("none", F.lit(1.0) / (F.col("part_no") + 2)), ("confidence", F.col("part_no") / F.lit(64.0)))]
+    answers = by_rank.unionByName(more[0]).unionByName(more[1])
+    return find(tasks, units, mode="prefilter", answers=answers, usage=_find_usage(parts), index=index)
+
+
+@query(FIND_SQL + """ SELECT item AS task_id, part_no, part,
+ CASE WHEN NOT has_any THEN 'No unit shares a keyword with the task' WHEN NOT answered THEN 'keyword order only' END AS note,
+ CASE WHEN has_any AND answered THEN 1 ELSE 0 END::bigint AS calls,
+ CASE WHEN has_any AND answered THEN length(part) * 10 ELSE 0 END::bigint AS tokens,
+ CASE WHEN has_any AND answered THEN floor(length(part) * 10 / 1e6 * 0.042 * 1e6 + 0.5) / 1e6 ELSE 0 END AS cost_usd,
+ CASE WHEN has_any AND answered THEN part_no / 64.0 END AS confidence,
+ CASE WHEN has_any AND answered THEN floor(1.0 / (part_no + 2) * 1000 + 0.5) / 1000 END AS none FROM asked""")
+def find_prefilter(spark, sf_dir):
+    """Parts of a search among candidates: how each was ranked and what it took."""
+    return _find_prefilter(spark, sf_dir)["parts"].select(
+        "task_id", F.col("part_no").cast("bigint").alias("part_no"), "part", "note", "calls",
+        "tokens", "cost_usd", "confidence", "none")
+
+
+@query(FIND_SQL + """, cands AS (SELECT *, CASE WHEN rank % 7 = 0 THEN 0 ELSE ((rank * 37) % 101) / 101.0 END AS p0
+  FROM scored WHERE rank <= 40),
+ placed AS (SELECT item, part_no, file, doc, score, CASE WHEN part_no % 3 > 0 THEN floor(p0 * 1000 + 0.5) / 1000 END AS p,
+  row_number() OVER (PARTITION BY item, part_no ORDER BY CASE WHEN part_no % 3 > 0 THEN p0 ELSE 0 END DESC, rank) AS rank FROM cands)
+SELECT item AS task_id, part_no, rank, file, doc AS doc_id, left(d.text, 120) AS description, score, p
+FROM placed JOIN documents d ON d.doc_id = placed.doc WHERE rank <= 15""")
+def find_prefilter_units(spark, sf_dir):
+    """The best units of that search."""
+    return _find_prefilter(spark, sf_dir)["units"].select(
+        "task_id", F.col("part_no").cast("bigint").alias("part_no"), "rank", "file",
+        F.col("line").alias("doc_id"), "description", "score", "p")
+
+
+def _find_scan(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    tasks, units = _find_tasks(spark, sf_dir), doc_units(spark, sf_dir)
+    return find(tasks, units, answers=_answers(spark, sf_dir), usage=_find_usage(R.parts(tasks)))
+
+
+SCANNED_SQL = FIND_SQL + f""", {ANSWERS_SQL},
+ reached AS (SELECT p.*, p.part_no = 1 AND EXISTS (SELECT 1 FROM answers a WHERE a.item = p.item) AS given FROM parts p)"""
+
+
+@query(SCANNED_SQL + """ SELECT item AS task_id, part_no, CASE WHEN NOT given THEN 'keyword order only' END AS note,
+ CASE WHEN given THEN CAST(ceil((SELECT count(*) FROM documents) / 60.0) AS bigint) ELSE 0 END AS calls,
+ CASE WHEN given THEN length(part) * 10 ELSE 0 END::bigint AS tokens,
+ CASE WHEN given THEN floor(length(part) * 10 / 1e6 * 0.042 * 1e6 + 0.5) / 1e6 ELSE 0 END AS cost_usd FROM reached""")
+def find_scan(spark, sf_dir):
+    """Parts of a full scan: how each was ranked and what it took."""
+    return _find_scan(spark, sf_dir)["parts"].select(
+        "task_id", F.col("part_no").cast("bigint").alias("part_no"), "note", "calls", "tokens",
+        "cost_usd")
+
+
+@query(SCANNED_SQL + """, full_scan AS (SELECT r.item, d.source AS file, d.doc_id AS doc, coalesce(a.p, 0) AS p
+  FROM reached r CROSS JOIN documents d LEFT JOIN answers a ON a.item = r.item AND a.doc = d.doc_id WHERE r.given),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY p DESC, file, doc) AS rank FROM full_scan),
+ best AS (SELECT item, file, min(rank) AS r, max(p) AS p FROM placed GROUP BY ALL),
+ top AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY r) AS rank FROM best)
+SELECT item AS task_id, 1 AS part_no, rank, file, NULL AS score, floor(p * 1000 + 0.5) / 1000 AS p FROM top WHERE rank <= 10
+UNION ALL SELECT f.item, f.part_no, f.rank, f.file, f.score, NULL FROM files_ranked f JOIN reached r USING (item, part_no)
+ WHERE NOT r.given AND f.rank <= 10""")
+def find_scan_files(spark, sf_dir):
+    """The best files of that scan; keyword order where there are no answers."""
+    return _find_scan(spark, sf_dir)["files"].select(
+        "task_id", F.col("part_no").cast("bigint").alias("part_no"), "rank", "file", "score", "p")
 
 
 @query(f"WITH {split_ctes(TURNS)} " """
@@ -741,14 +841,22 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join(maybe, "file").where(holds).select("repo", "task_id", "file").distinct()
 
 
-def _bench_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bench_usage(parts: DataFrame) -> DataFrame:
+    """What the searches took: a call per part, tokens by length, no price; some failed."""
+    failed = F.col("task_id").cast("bigint") % 10 == 4
+    return parts.groupBy("repo", "task_id").agg(
+        F.count("*").alias("calls"), F.sum(F.length("part").cast("bigint") * 3).alias("tokens")
+    ).select("*", F.lit(0.0).alias("cost_usd"), F.when(failed, "no answer").alias("error"))
+
+
+def _bench_rows(spark: SparkSession, sf_dir: str, used: bool = False) -> DataFrame:
     targets = saved(_truth(spark, sf_dir), "targets")
     tasks = bench_tasks(spark, sf_dir).join(targets.select("repo", "task_id"),
                                             ["repo", "task_id"], "left_semi")
     parts = R.parts(tasks)
     index = R.token_index(doc_units(spark, sf_dir, one_file_each=True))
     ranked = saved(R.rank_files(R.prefilter(parts, index), by="score"), "ranked")
-    return E.bench_rows(ranked, targets, parts, "prefilter")
+    return E.bench_rows(ranked, targets, parts, "prefilter", _bench_usage(parts) if used else None)
 
 
 @query(BENCH_SQL + " SELECT task_id, 'prefilter' AS mode, parts, rank, coverage1, coverage3 FROM bench_rows")
@@ -770,6 +878,36 @@ def hit_rate(spark, sf_dir):
         "mode", "commits", "top1", "top3", "top5", "coverage_top3")
 
 
+SPENT_SQL = """, spent AS (SELECT item, count(*) AS calls, sum(length(part) * 3)::bigint AS tokens FROM parts GROUP BY ALL),
+ n_targets AS (SELECT item, count(*) AS targets FROM targets GROUP BY ALL),
+ full_rows AS (SELECT task_id, targets, CAST(task_id AS bigint) % 10 <> 4 AS ok, parts, rank, coverage1, coverage3, calls, tokens,
+  floor(tokens / 1e6 * 0.042 * 1e6 + 0.5) / 1e6 AS cost_usd
+  FROM bench_rows b JOIN spent s ON s.item = b.task_id JOIN n_targets n ON n.item = b.task_id)"""
+
+
+@query(BENCH_SQL + SPENT_SQL + """ SELECT task_id, targets, CASE WHEN ok THEN parts ELSE 0 END AS parts, CASE WHEN ok THEN rank ELSE 0 END AS rank,
+ CASE WHEN ok THEN coverage1 ELSE 0 END AS coverage1, CASE WHEN ok THEN coverage3 ELSE 0 END AS coverage3,
+ CASE WHEN ok THEN calls ELSE 0 END AS calls, CASE WHEN ok THEN tokens ELSE 0 END AS tokens,
+ CASE WHEN ok THEN cost_usd ELSE 0 END AS cost_usd, CASE WHEN NOT ok THEN 'no answer' END AS error FROM full_rows""")
+def bench_table(spark, sf_dir):
+    """Evaluation rows with targets, calls, tokens, prices from tokens, and failed searches."""
+    return _bench_rows(spark, sf_dir, True).select(
+        "task_id", "targets", "parts", F.col("rank").cast("bigint").alias("rank"), "coverage1",
+        "coverage3", "calls", "tokens", "cost_usd", "error")
+
+
+@query(BENCH_SQL + SPENT_SQL + """ SELECT count(*) AS commits,
+ CAST(floor(100 * count(*) FILTER (ok AND rank = 1) / count(*) + 0.5) AS integer) AS top1,
+ floor(avg(CASE WHEN ok THEN calls ELSE 0 END) * 10 + 0.5) / 10 AS calls,
+ CAST(floor(avg(CASE WHEN ok THEN tokens ELSE 0 END) + 0.5) AS bigint) AS tokens,
+ floor(sum(CASE WHEN ok THEN cost_usd ELSE 0 END) * 1e4 + 0.5) / 1e4 AS cost_usd,
+ count(*) FILTER (NOT ok) AS errors FROM full_rows""")
+def bench_totals(spark, sf_dir):
+    """Their summary: hits, mean calls and tokens, total price, errors."""
+    return E.bench_summary(_bench_rows(spark, sf_dir, True)).select(
+        "commits", "top1", "calls", "tokens", "cost_usd", "errors")
+
+
 def _log_sql(agg: str, lineitem: str, part: str, orders: str) -> str:
     """Blocks of a commit log: an order is a commit, its parts are the touched files."""
     return f"""
