@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,9 +20,10 @@ from codelode.plans.find import find
 from codelode.queries.check_code import files_query, units_query
 from codelode.queries.check_sql import split_ctes, stem_ctes, tokens
 from codelode.queries.codebase import code_files
+from codelode.queries.languages import FIELDS, found_sql, more_files
 from codelode.sources import corpus as C
 from codelode.sources import mapstore as M
-from codelode.sources.scratch import dealt, saved
+from codelode.sources.scratch import dealt, saved, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -292,6 +294,34 @@ def code_units(spark, sf_dir):
     return flat_units(code_map(spark, sf_dir)[0])
 
 
+@query(found_sql())
+def code_units_more(spark, sf_dir):
+    """Units of files in the other languages, with class prefixes, route objects and imports."""
+    units, _ = build_map(more_files(spark, sf_dir), unique=True)
+    return flat_units(units).select("repo", "file", *FIELDS)
+
+
+@query(units_query(f"SELECT {UNIT_COLUMNS} FROM units"))
+def map_round_trip(spark, sf_dir):
+    """All units of the derived codebase, written as a map and loaded again."""
+    path = f"{shared_folder(spark)}/codelode/map-{uuid.uuid4().hex}"
+    M.write_map(*code_map(spark, sf_dir), path, project="demo")
+    units, _ = M.load_map(spark, path)
+    return flat_units(units)
+
+
+@query(files_query("""SELECT 'repo=' || repo AS repo, sum(length(text) + 1)::bigint AS chars,
+ sum(length(text) - length(replace(text, chr(10), '')) + 1)::bigint AS line_ends FROM files GROUP BY ALL"""))
+def load_corpus(spark, sf_dir):
+    """The derived codebase written as text, a folder per repository, and read as a corpus."""
+    path = f"{shared_folder(spark)}/codelode/corpus-{uuid.uuid4().hex}"
+    code_files(spark, sf_dir).select("repo", "text").write.partitionBy("repo").text(path)
+    ends = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return C.load_files(spark, path).where(F.endswith("path", F.lit(".txt"))).groupBy("repo").agg(
+        F.sum(F.length("text").cast("bigint")).alias("chars"),
+        F.sum(ends.cast("bigint")).alias("line_ends"))
+
+
 @query(units_query("""SELECT repo, path, CAST(pos AS bigint) AS pos, line, CAST(ind AS bigint) AS indent
 FROM lines"""))
 def code_lines(spark, sf_dir):
