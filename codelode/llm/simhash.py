@@ -25,6 +25,8 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 BLOCKS = tuple(range(0, 64, 16))
+#: Fingerprints whose variants one task makes.
+PRINTS_PER_TASK = 20_000
 
 
 def _signed(value: int) -> int:
@@ -97,9 +99,11 @@ def _meeting(x: Column, y: Column) -> Column:
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b) of different values of ``fp`` that differ in at most ``radius`` bits."""
+    """Pairs (a, b) of different values of ``fp`` that differ in at most ``radius`` bits. The
+    narrow table of fingerprints is dealt out first, because each one makes 196 rows."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"radius must be 0 to {RADIUS}")
+    prints = prints.repartition(-(-prints.count() // PRINTS_PER_TASK) or 1, "fp")
     one, two = (_variants(prints).select(F.col("fp").alias(n), F.col("variant").alias(f"v{n}"))
                 for n in "ab")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
