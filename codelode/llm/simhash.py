@@ -107,7 +107,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     one, two = (_variants(prints).select(F.col("fp").alias(n), F.col("variant").alias(f"v{n}"))
                 for n in "ab")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return one.join(two, (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & near
+    # sizes are estimated before the explode, so a broadcast must be ruled out
+    return one.hint("merge").join(two, (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & near
                     & (F.col("va") == _meeting(F.col("a"), F.col("b")))).select("a", "b")
 
 
