@@ -8,8 +8,9 @@ Inside roles and texts ``\`` is written ``\s``, ``#`` ``\h`` and ``<`` ``\l``, i
 ``\c``, so that no text can hold a mark; reading back undoes it. The loss mask covers the texts of the
 assistant.
 
-A conversation becomes one row, because its output is one string. Up to there work is split: events
-fold per message, long runs of deltas and long conversations in stretches that are joined later.
+Events are shuffled once, by conversation and block of ``STRETCH`` messages: a long conversation is
+split over many tasks. There they fold to messages and these are rendered. Only the blocks' strings
+are shuffled again, because a conversation's output is one string.
 """
 
 from __future__ import annotations
@@ -37,8 +38,16 @@ def unescape(text: Column) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[1]), F.lit(p[0])), reversed(ROLE_ESCAPES), text)
 
 
+def blocked(events: DataFrame) -> DataFrame:
+    """Events dealt out by conversation and ``block``, a stretch of its messages."""
+    if "block" in events.columns:
+        return events
+    return events.withColumn("block", F.expr(f"message div {STRETCH}")).repartition(
+        "conv_id", "block")
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, message, part, role, text) of ``events`` (conv_id, message, part,
+    """Final messages (conv_id, block, message, part, role, text) of ``events`` (conv_id, message, part,
     seq, kind, role, text).
 
     A message is named by (message, part). Its text is that of its last event that is no delta, and
@@ -46,7 +55,8 @@ def fold(events: DataFrame) -> DataFrame:
     one given. Null texts and roles count as empty or not given, an unknown or null kind as a
     message. Equal events count as often as they occur.
     """
-    key = ["conv_id", "message", "part"]
+    events = blocked(events)
+    key = ["conv_id", "block", "message", "part"]
     text = F.coalesce(F.col("text"), F.lit(""))
     order = F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
     delta = F.coalesce(F.col("kind") == "delta", F.lit(False))
@@ -79,12 +89,12 @@ def render(messages: DataFrame) -> DataFrame:
     mask = F.when(F.col("role") == "assistant", F.struct(
         F.char_length("__head").alias("start"), F.char_length("__body").alias("chars")))
     turn = (messages.withColumn("__head", head).withColumn("__body", body)
-            .select("conv_id", F.expr(f"message div {STRETCH}").alias("__stretch"), F.struct(
+            .select("conv_id", "block", F.struct(
                 "message", "part", F.concat("__head", "__body", F.lit(END)).alias("turn"),
                 mask.alias("loss")).alias("__turn")))
-    part = (turn.groupBy("conv_id", "__stretch")
+    part = (turn.groupBy("conv_id", "block")
             .agg(F.sort_array(F.collect_list("__turn")).alias("t"))
-            .select("conv_id", F.struct("__stretch", F.concat_ws("", "t.turn").alias("turns"),
+            .select("conv_id", F.struct("block", F.concat_ws("", "t.turn").alias("turns"),
                                         F.col("t.loss").alias("loss")).alias("p")))
     return (part.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
             .select("conv_id", F.concat_ws("", "p.turns").alias("formatted"),
@@ -114,10 +124,10 @@ def parse(formatted: DataFrame) -> DataFrame:
 def row_events(rows: DataFrame) -> DataFrame:
     """Rows of (conv_id, turn, role, text) as events, each the only one of its message. Rows with
     the same turn are messages of their own, by role and text."""
-    same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return rows.select("conv_id", F.col("turn").cast("long").alias("message"),
-                       F.row_number().over(same).alias("part"), F.col("turn").cast("long").alias("seq"),
-                       F.lit("message").alias("kind"), "role", "text")
+    same = Window.partitionBy("conv_id", "block", "message").orderBy("role", "text")
+    turns = blocked(rows.select("conv_id", F.col("turn").cast("long").alias("message"), "role", "text"))
+    return turns.select("conv_id", "block", "message", F.row_number().over(same).alias("part"),
+                        F.col("message").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:

@@ -590,7 +590,10 @@ def test_chat_report(spark):
     assert got[-7].loss_sha256 == hashlib.sha256(rb"\### Assistant: </turn> ok").hexdigest()
     nothing = chat.chat_report(df.where("false"))
     assert [r.conv_id for r in nothing.collect()] == [-7]
-    assert "Python" not in nothing._jdf.queryExecution().executedPlan().toString()
+    plan = nothing._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    first = plan[plan.index("== Initial Plan =="):] if "== Initial Plan ==" in plan else plan
+    assert first.count("Exchange hashpartitioning(conv_id") == 2
 
 
 # ------------------------------------------------------------------ pipeline
