@@ -848,9 +848,11 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     def words(c: str):
         return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
-    def fragments(ws: str):
-        return F.transform(F.sequence(F.lit(1), F.size(ws) - 7),
-                           lambda i: F.array_join(F.slice(ws, i, 8), " "))
+    def each(ws: str, make):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(ws) - 7), make))
+
+    def hashed(i: Column) -> Column:
+        return F.xxhash64(*[F.element_at("ws", i + k) for k in range(8)])
 
     def long_enough(df: DataFrame) -> DataFrame:
         return df.where(F.size("ws") >= 8)
@@ -861,10 +863,10 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = saved(long_enough(table(spark, sf_dir, "benchmark").select(
         F.lit("src").alias("repo"), F.col("item_id").cast("string").alias("task_id"),
         words("text").alias("ws"))).select(
-        "repo", "task_id", F.explode(F.array_distinct(fragments("ws"))).alias("g"))
-        .withColumn("h", F.xxhash64("g")), "fragments")
-    hashes = docs.select("file", F.explode(F.array_distinct(F.transform(
-        fragments("ws"), lambda g: F.xxhash64(g)))).alias("h"))
+        "repo", "task_id", F.explode(each("ws", lambda i: F.struct(
+            F.array_join(F.slice("ws", i, 8), " ").alias("g"), hashed(i).alias("h")))).alias("w"))
+        .select("repo", "task_id", "w.*"), "fragments")
+    hashes = docs.select("file", F.explode(each("ws", hashed)).alias("h"))
     maybe = saved(hashes.join(wanted, "h"), "maybe")
     texts = docs.select("file", F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")).alias("t"))
     holds = F.contains(F.col("t"), F.concat(F.lit(" "), F.col("g"), F.lit(" ")))
