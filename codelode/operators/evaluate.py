@@ -18,11 +18,14 @@ TRAILER = (
     r"^(co-authored-by|claude-session|signed-off-by|reviewed-by|acked-by|tested-by|reported-by"
     r"|suggested-by|helped-by|cc|change-id|refs?|see-also|fixes|closes):"
 )
-LOCKFILES = (
-    "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml bun.lockb cargo.lock "
-    "poetry.lock pipfile.lock gemfile.lock composer.lock go.sum"
-).split()
-EXCLUDED_EXTENSIONS = ".md .markdown .rst .txt .json .yml .yaml .lock .toml .ini .cfg".split()
+LOCKFILES = [
+    "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb",
+    "cargo.lock", "poetry.lock", "pipfile.lock", "gemfile.lock", "composer.lock", "go.sum",
+]
+EXCLUDED_EXTENSIONS = [
+    ".md", ".markdown", ".rst", ".txt", ".json", ".yml", ".yaml", ".lock", ".toml", ".ini",
+    ".cfg",
+]
 DOC_FOLDER = r"(^|/)docs?/"
 # Fixed values end.
 

@@ -15,20 +15,18 @@ from codelode.functions.hof import bind
 from codelode.functions.regex import trim
 
 # What is never scanned, and the size limits of source text.
-DEFAULT_EXCLUDES = (
-    ".git .hg .svn node_modules bower_components dist build out "
-    "coverage vendor __pycache__ .venv venv target .next "
-    ".nuxt .cache .idea .vscode .pytest_cache .mypy_cache .tox "
-    "*.min.js *.min.css *.map *.bundle.js "
-    "package-lock.json yarn.lock pnpm-lock.yaml composer.lock Cargo.lock "
-    "Gemfile.lock poetry.lock Pipfile.lock go.sum "
-    "*.png *.jpg *.jpeg *.gif *.ico *.svg *.webp *.bmp *.tif *.tiff "
-    "*.pdf *.zip *.gz *.tar *.tgz *.7z *.rar *.bz2 *.xz "
-    "*.woff *.woff2 *.ttf *.eot *.otf "
-    "*.mp3 *.mp4 *.mov *.avi *.wav *.ogg *.webm "
-    "*.exe *.dll *.so *.dylib *.class *.jar *.war *.pyc *.pyo "
-    "*.wasm *.bin *.db *.sqlite *.sqlite3 *.o *.a *.obj *.lib"
-).split()
+DEFAULT_EXCLUDES = [
+    ".git", ".hg", ".svn", "node_modules", "bower_components", "dist", "build", "out",
+    "coverage", "vendor", "__pycache__", ".venv", "venv", "target", ".next", ".nuxt", ".cache",
+    ".idea", ".vscode", ".pytest_cache", ".mypy_cache", ".tox", "*.min.js", "*.min.css",
+    "*.map", "*.bundle.js", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock",
+    "Cargo.lock", "Gemfile.lock", "poetry.lock", "Pipfile.lock", "go.sum", "*.png", "*.jpg",
+    "*.jpeg", "*.gif", "*.ico", "*.svg", "*.webp", "*.bmp", "*.tif", "*.tiff", "*.pdf", "*.zip",
+    "*.gz", "*.tar", "*.tgz", "*.7z", "*.rar", "*.bz2", "*.xz", "*.woff", "*.woff2", "*.ttf",
+    "*.eot", "*.otf", "*.mp3", "*.mp4", "*.mov", "*.avi", "*.wav", "*.ogg", "*.webm", "*.exe",
+    "*.dll", "*.so", "*.dylib", "*.class", "*.jar", "*.war", "*.pyc", "*.pyo", "*.wasm",
+    "*.bin", "*.db", "*.sqlite", "*.sqlite3", "*.o", "*.a", "*.obj", "*.lib",
+]
 MAX_FILE_BYTES = 1024 * 1024
 MINIFIED_LINE = 2000
 MINIFIED_MEAN = 300
