@@ -568,16 +568,15 @@ def scan_questions(spark, sf_dir):
         "repo", "id", "batch_no", "q", "instructions")
 
 
-@query(units_query("""SELECT repo, batch_no, count(*) AS questions, sum(length(label)) AS chars
-FROM (SELECT *, k // 60 AS batch_no FROM labelled) GROUP BY ALL""", LABEL_SQL))
+@query(units_query("""SELECT repo, k // 60 AS batch_no, 'q' || (k % 60) AS q, count(*) OVER (PARTITION BY repo, k // 60) AS questions,
+ 'To carry out the task in `task`, a developer must read or modify this code unit: ' || label AS question
+FROM labelled""", LABEL_SQL))
 def scan_batches(spark, sf_dir):
-    """Request bodies: how many questions and how much text each holds."""
+    """Request bodies: the questions each holds, with their text."""
     batches = R.scan_batches(R.scan_questions(saved(_units_without_routes(spark, sf_dir), "units")))
-    head = len(R.SCAN_QUESTION.format(project=""))
     return batches.select(
         "repo", "batch_no", F.size("questions").cast("bigint").alias("questions"),
-        F.aggregate(F.map_values("questions"), F.lit(0).cast("bigint"),
-                    lambda a, v: a + F.length(v) - head).alias("chars"))
+        F.explode("questions").alias("q", "question"))
 
 
 @query("""SELECT CAST(item_id AS varchar) AS task_id, CAST(ceil((SELECT count(*) FROM documents) / 60.0) AS bigint) AS calls
@@ -670,17 +669,19 @@ def reranked_choice(spark, sf_dir):
 
 
 @query(f"WITH {scores_sql('source', WHOLE_ITEMS)} " """
-SELECT s.item AS task_id, count(*) AS candidates, sum(length(left(d.text, 220))) AS chars
-FROM scored s JOIN documents d ON d.doc_id = s.doc WHERE s.rank <= 40 GROUP BY ALL""")
+SELECT s.item AS task_id, 'u' || s.rank AS k, s.file, left(d.text, 220) AS does
+FROM scored s JOIN documents d ON d.doc_id = s.doc WHERE s.rank <= 40
+UNION ALL SELECT DISTINCT item, 'none', 'None of these units is the right place for the task', NULL FROM scored""")
 def choice_criteria(spark, sf_dir):
-    """Criteria of the choice question per task: number of candidates, described text."""
+    """Criteria of the choice question per task: each candidate with its text, and none."""
     units = doc_units(spark, sf_dir)
     criteria = R.choice_criteria(_prefiltered(spark, sf_dir), units)
-    entries = F.map_values(F.map_filter("criteria", lambda k, v: k != "none"))
-    does = F.transform(entries, lambda v: F.get_json_object(v, "$.does"))
-    return criteria.select(
-        "task_id", F.size(entries).cast("bigint").alias("candidates"),
-        F.aggregate(does, F.lit(0).cast("bigint"), lambda a, s: a + F.length(s)).alias("chars"))
+    entry = criteria.select("task_id", F.explode("criteria").alias("k", "v"))
+    plain = F.col("k") == "none"
+    return entry.select(
+        "task_id", "k", F.when(plain, F.col("v")).otherwise(
+            F.get_json_object("v", "$.file")).alias("file"),
+        F.when(~plain, F.get_json_object("v", "$.does")).alias("does"))
 
 
 @query(f"WITH {scores_sql('source', WHOLE_ITEMS)} "
