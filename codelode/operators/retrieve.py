@@ -13,7 +13,8 @@ the best n units per part inside each partition before the ranks are shuffled (w
 limit).
 
 When the task side is too large to broadcast, both sides are joined on
-(repo, stem, salt): a stem that a third of all units share is spread over the salts.
+(repo, stem, salt): a stem that very many units share gets as many salts as its rows ask for,
+so it is spread over tasks, and no other stem is repeated.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ PART_KEY = ["repo", "task_id", "part_no"]
 
 # Task text up to this many characters is broadcast; above it the salted join is used.
 BROADCAST_TASK_CHARS = 16 * 1024 * 1024
-SALTS = 64
+#: Rows of one join key that go to one task; a key with more is dealt out by a salt.
+ROWS_PER_SALT = 1_000_000
 
 
 def parts(tasks: DataFrame, split: str = "heuristic", most: int | None = None) -> DataFrame:
@@ -101,9 +103,30 @@ def _fits_broadcast(task_parts: DataFrame, limit: int) -> bool:
     return (total or 0) <= limit
 
 
+def salted(
+    large: DataFrame, other: DataFrame, keys: list[str], spread_by: list[str],
+    rows: int = ROWS_PER_SALT, salts: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys`` and ``salt``. A key with more than ``rows`` rows in
+    ``large`` gets a salt for each ``rows`` of them: its rows in ``large`` are dealt out by a
+    hash of ``spread_by``, its rows in ``other`` are repeated per salt. Other keys have one
+    salt. Rows are counted before anything is moved, and only the counts of large keys are
+    kept. ``salts`` gives every key that many instead."""
+    if salts is None:
+        counts = large.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows)
+        hot = saved(counts.select(*keys, F.ceil(F.col("_rows") / rows).alias("_salts")), "salts")
+        large, other = large.join(hot, keys, "left"), other.join(hot, keys, "left")
+        n = F.coalesce("_salts", F.lit(1)).cast("bigint")
+    else:
+        n = F.lit(salts).cast("bigint")
+    dealt = large.withColumn("salt", F.pmod(F.xxhash64(*spread_by), n))
+    repeated = other.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    return dealt.drop("_salts"), repeated.drop("_salts")
+
+
 def keyword_scores(
     task_parts: DataFrame, index: DataFrame, *,
-    broadcast_chars: int = BROADCAST_TASK_CHARS, salts: int = SALTS,
+    broadcast_chars: int = BROADCAST_TASK_CHARS, salts: int | None = None,
 ) -> DataFrame:
     """Score of every (part, unit) with at least one stem in common."""
     wanted = part_stems(task_parts)
@@ -111,11 +134,8 @@ def keyword_scores(
     if _fits_broadcast(task_parts, broadcast_chars):
         hits = index.join(F.broadcast(wanted), ["repo", "stem"])
     else:
-        salted = index.withColumn("salt", F.pmod(F.xxhash64("file", "start"), F.lit(salts)))
-        spread = wanted.withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
-        )
-        hits = salted.join(spread, ["repo", "stem", "salt"])
+        dealt, spread = salted(index, wanted, ["repo", "stem"], ["file", "start"], salts=salts)
+        hits = dealt.join(spread, ["repo", "stem", "salt"])
     return hits.groupBy(*keys).agg(F.sum("weight").alias("score"))
 
 
@@ -378,12 +398,11 @@ def task_cost(usage: DataFrame) -> DataFrame:
         rounded(F.sum(cost(F.col("tokens"))), 6).alias("cost_usd"))
 
 
-def callers_of(units: DataFrame) -> DataFrame:
+def callers_of(units: DataFrame, rows: int = ROWS_PER_SALT) -> DataFrame:
     """Which units call which endpoints: (repo, path, endpoint, caller). Path variables
     (``:id``, ``{id}``, ``<id>``, ``${..}``) match each other and queries are ignored.
 
-    A path that very many units call is one join key; both sides are plain shuffles, so
-    adaptive execution splits its partition."""
+    A path that very many units call is one join key, which is dealt out by a salt."""
     def normal(path: Column) -> Column:
         bare = F.regexp_replace(path, r"[?#].*", "")
         holes = F.regexp_replace(bare, r"\$\{[^}]*\}|\{[^}]*\}|<[^>]*>|:\w+", "*")
@@ -395,6 +414,8 @@ def callers_of(units: DataFrame) -> DataFrame:
     calls = units.select(
         "repo", F.col("id").alias("caller"), F.explode("extra.calls").alias("call")
     ).select("repo", "caller", "call", normal(F.col("call")).alias("key"))
-    return ends.join(calls, ["repo", "key"]).select("repo", "path", "endpoint", "caller", "call")
+    dealt, spread = salted(calls, ends, ["repo", "key"], ["caller", "call"], rows)
+    return spread.join(dealt, ["repo", "key", "salt"]).select(
+        "repo", "path", "endpoint", "caller", "call")
 
 

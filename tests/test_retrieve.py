@@ -61,7 +61,7 @@ def brute_scores(spark, units, text):
     return sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_chars": 0, "salts": 3}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_chars": 0, "salts": 3}, {"broadcast_chars": 0}])
 def test_prefilter(spark, units, options):
     text = "close the order list; and then sum the stock lines"
     parts = R.parts(task(spark, text))
@@ -170,6 +170,31 @@ def test_callers(units):
     assert got == {("/api/orders", "web/OrderList.js"), ("/api/orders/:id/close", "web/OrderList.js")}
 
 
+def test_a_key_with_most_rows_is_dealt_out(spark):
+    large = spark.range(4000).select(
+        F.when(F.col("id") % 10 < 8, "big").when(F.col("id") % 10 == 8, F.concat(
+            F.lit("k"), (F.col("id") % 97).cast("string"))).alias("key"), "id")
+    other = spark.createDataFrame([("big", 1), ("big", 2), ("k5", 3), ("none", 4)], "key string, n int")
+    dealt, spread = R.salted(large, other, ["key"], ["id"], 100)
+    sizes = {(r.key, r.salt): r["count"] for r in dealt.groupBy("key", "salt").count().collect()}
+    assert sum(k == "big" for k, _ in sizes) == 32 and max(
+        n for (k, _), n in sizes.items() if k) < 200
+    assert {r.key: r["count"] for r in spread.groupBy("key").count().collect()} == {
+        "big": 64, "k5": 1, "none": 1}
+    got = dealt.join(spread, ["key", "salt"]).select("key", "id", "n")
+    want = large.join(other, "key").select("key", "id", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_callers_of_one_busy_path(spark):
+    ends = [unit("srv/home.js", "endpoint", "GET /", n, "Home.", path="/") for n in (1, 2)]
+    pages = [unit(f"web/p{n}.js", "page", f"P{n}", 1, "Page.", calls=["/"]) for n in range(60)]
+    units = spark.createDataFrame([*ends, *pages], UNIT_SCHEMA)
+    got = [tuple(r) for r in R.callers_of(units, rows=7).collect()]
+    assert len(got) == len(set(got)) == 120
+    assert sorted(got) == sorted(map(tuple, R.callers_of(units).collect()))
+
+
 def test_apply_answers(spark):
     q = spark.createDataFrame([("r", "t", 1, "a.js", 1), ("r", "t", 1, "b.js", 1)],
                               "repo string, task_id string, part_no int, file string, start int")
