@@ -1,6 +1,6 @@
 """Sharding by a two-pass external shuffle, with DataFrame functions only.
 
-Pass one scatters records over memory-sized buckets by a seeded hash of their id. Pass two puts a
+Pass one scatters records over memory-sized buckets by a seeded hash of their id and text. Pass two puts a
 bucket's records into one array, in a fixed order, and shuffles it; Spark's ``shuffle`` is the
 Fisher-Yates shuffle with a seed. Bucket ``i`` is partition ``i`` and has one array, so a task that
 runs again after a loss shuffles alike. The buckets in order are a random permutation of all
@@ -31,17 +31,16 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 42,
           text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``shard`` and ``slot`` (place in the shard, from 0).
 
-    Rows with a null id are scattered by their text, a null text counts as empty. Equal rows are
-    all kept; they go to one bucket, so ids should rarely repeat. Fewer rows than shards leave
-    shards empty, an empty table gives no rows. Columns of ``docs`` named ``shard`` or ``slot`` are
-    replaced. Columns must be of types that can be sorted (no maps).
+    Rows are scattered by id and text, so one id (or null) may have any number of texts; a null
+    text counts as empty. Rows that are equal in both are all kept, in one bucket. Fewer rows than
+    shards leave shards empty, an empty table gives no rows. Columns of ``docs`` named ``shard`` or
+    ``slot`` are replaced. Columns must be of types that can be sorted (no maps).
     """
     docs = docs.drop("shard", "slot")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = docs.agg(F.sum(record_bytes(F.col(text_col)))).first()[0] or 0
     n_buckets = max(1, math.ceil(size / bucket_bytes))
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), text)).otherwise(
-        F.xxhash64(F.lit(seed), F.col(id_col)))
+    key = F.xxhash64(F.lit(seed), F.col(id_col), text)
     bucket = F.pmod(key, F.lit(n_buckets)).cast("int")
     counts = saved(docs.groupBy(bucket.alias("__bucket")).agg(F.count("*").alias("__n")), "buckets")
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
