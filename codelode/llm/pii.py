@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -115,6 +116,17 @@ def _scored(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, SCORES[kind] + CONTEXT_BONUS * any(w in near for w in CONTEXT[kind]))
 
 
+def _covered(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the given places cover, as places in order that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def spans(text: str | None) -> list[Span]:
     """All spans of a text by kind and start, in code points, ends exclusive."""
     if not text:
@@ -123,14 +135,15 @@ def spans(text: str | None) -> list[Span]:
     found = [Span(*s, _scored(text, *s)) for s in base]
     if not _DIGIT.search(text):
         return found
-    taken = [(s, e) for _, s, e in base]
+    taken = _covered((s, e) for _, s, e in base)
     for kind, pattern, check in (
             ("iban", _IBAN, lambda m: mod97(m.replace(" ", ""))),
             ("local_phone", _LOCAL_PHONE, lambda m: True), ("ssn", _SSN, lambda m: True)):
         for start, end in _matches(pattern, text, check):
             score = _scored(text, kind, start, end)
-            if score >= THRESHOLD and not any(s < end and start < e for s, e in taken):
-                taken.append((start, end))
+            at = bisect_left(taken, (end,))  # the places before it begin left of the end
+            if score >= THRESHOLD and (at == 0 or taken[at - 1][1] <= start):
+                taken.insert(at, (start, end))
                 found.append(Span(kind, start, end, score))
     return found
 

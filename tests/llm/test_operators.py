@@ -424,6 +424,21 @@ def test_pii_further_kinds():
     assert pii.luhn("79927398713") and not pii.luhn("79927398710")
 
 
+def test_pii_spans_do_not_overlap_base_spans():
+    rnd = random.Random(9)
+    bits = ["tel ", "ssn ", "555-123-4567", "123-45-6789", "+49 30 1234567", "4111 1111 1111 1111", " ",
+            "GB82 WEST 1234 5698 7654 32", "10.0.0.1", "a.b@c.de", "(555) 123-4567", ", "]
+    for _ in range(300):
+        got = pii.spans("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 14))))
+        more = [s for s in got if s.kind not in pii.BASE]
+        for i, x in enumerate(got):
+            assert not any(y is not x and x.start < y.end and y.start < x.end
+                           for y in more), (i, got)
+    assert any(s.kind == "ssn" for s in pii.spans("ssn 123-45-6789"))
+    many = pii.spans("ssn 123-45-6789, tel 555-123-4567, " * 20_000)
+    assert len(many) == 40_000
+
+
 def test_pii_report(edges, edge_rows, docs, empty):
     for df, rows in ((edges, [r[:2] for r in edge_rows]), (docs, [(r.doc_id, r.text) for r in docs.collect()])):
         got = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256)
