@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle, with DataFrame functions only.
 
-Pass one scatters records over memory-sized buckets by a seeded hash of their id and text. Pass two puts a
-bucket's records into one array, in a fixed order, and shuffles it; Spark's ``shuffle`` is the
+Pass one scatters records over memory-sized buckets by a seeded hash of their id and text. Pass two
+puts a bucket's records into one array, in a fixed order, and shuffles it; Spark's ``shuffle`` is the
 Fisher-Yates shuffle with a seed. Bucket ``i`` is partition ``i`` and has one array, so a task that
 runs again after a loss shuffles alike. The buckets in order are a random permutation of all
 records, which is cut into shards whose row counts differ by one at most.
