@@ -289,6 +289,59 @@ def test_drop_near_duplicates(spark, edges, edge_rows):
     assert Counter(r.doc_id for r in out.collect()) == Counter(set(groups))
 
 
+def brute_overlap_components(rows):
+    def shingles(text):
+        words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        x, y = sets[i], sets[j]
+        if x == y or 5 * len(x & y) >= 4 * len(x | y):
+            group = [group[i] if g == group[j] else g for g in group]
+    least = {}
+    for (d, _), g in zip(rows, group, strict=True):
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+    return [least.get(g) for g in group]
+
+
+def near_copies(seed=12):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(4000)]
+    rows = []
+    for base in range(25):
+        text = rnd.choices(words, k=rnd.choice([6, 30, 90, 200]))
+        rows.append(text)
+        for _ in range(7):
+            copy = list(text)
+            for _ in range(rnd.randint(1, max(1, len(text) // 40))):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            copy = copy[rnd.randint(0, 3):] + rnd.choices(words, k=rnd.randint(0, 3))
+            rows.append(copy)
+            text = copy if base % 2 else text  # chains and stars
+    boiler = rnd.choices(words, k=40)  # the same 40 words in texts that differ otherwise
+    rows += [boiler + rnd.choices(words, k=rnd.randint(2, 60)) for _ in range(40)]
+    rnd.shuffle(rows)
+    return [(i, " ".join(r), "en", "a") for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("order", [(20_000, 200_000), (10, 3)])
+def test_overlapping_matches_brute_force(spark, edge_rows, empty, monkeypatch, order):
+    monkeypatch.setattr(simhash, "ORDER_DOCS", order[0])
+    monkeypatch.setattr(simhash, "ORDER_SHINGLES", order[1])
+    for rows in (edge_rows, near_copies()):
+        want = brute_overlap_components([r[:2] for r in rows])
+        df = frame(spark, rows).repartition(3).cache()
+        got = Counter((r.doc_id, r.component_id) for r in simhash.overlapping(df).collect())
+        assert got == Counter(zip((r[0] for r in rows), want, strict=True))
+        left = corpus_pipeline.near_dedup(spark, df, "")
+        assert left.columns == df.columns
+        assert Counter(r.doc_id for r in left.collect()) == Counter(set(want))
+    assert simhash.overlapping(empty).count() == 0
+
+
 # ------------------------------------------------------------------ 5 exact duplicates
 
 
