@@ -9,6 +9,7 @@ sequences per gap becomes smallest, or opens a new one for it if that is smaller
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ LONG = 0.4
 #: Pieces that are packed together.
 GROUP_ROWS = 50_000
 #: Same ids as byte_bpe_50k.json, from a faster library; the tests compare both.
+#: Added tokens are read from the JSON.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -39,15 +41,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def _encoder(path: str):
-    """The byte-level vocabulary as an encoder. Control strings in texts are ordinary text."""
+    """The byte-level vocabulary as an encoder. Added tokens of the JSON vocabulary beside it are
+    found inside texts, as by ``tokenizers`` (also with ``add_special_tokens=False``)."""
     import public_tokenizers
     import tiktoken
 
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                 special_tokens={})
-    return encoding.encode_ordinary
+                                 special_tokens=added)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -546,6 +546,17 @@ def test_packing(spark, docs, edges, edge_rows, empty):
     assert whole.agg(F.max(F.size("ids"))).first()[0] <= 1024
 
 
+def test_packing_ids_are_those_of_the_call_without_special_tokens_added(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n \n<|endoftext|>  c", "<|endoftext|", "x  <|endoftext|>"]
+    rows = packing.packed(frame(spark, [(i, t, "", "") for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.ids for r in rows} == {
+        i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert 50256 in next(r.ids for r in rows if r.doc_id == 0)
+
+
 def test_piece_bounds():
     assert packing.piece_bounds(1) == [(0, 1)] and packing.piece_bounds(1024) == [(0, 1024)]
     assert packing.piece_bounds(1025) == [(0, 1), (1, 1024)]
