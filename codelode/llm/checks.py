@@ -119,3 +119,60 @@ select conv_id, count(*) as n_turns,
   sum(4 + role_chars + 2 + text_chars + 9)::bigint as formatted_chars
 from longer group by conv_id
 """
+
+_FIELD = "case when {0} is null then '-' else strlen({0}::varchar) || ':' || {0}::varchar end"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in (
+    "doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+CHECKS["op13_merkle"] = f"""
+with recursive docs as (
+  select doc_id, lang, {_LEAF.format("text")} as leaf,
+    {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+      as changed,
+    list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''),
+      lambda c: ascii(c)::bigint)), lambda crc, byte: list_reduce(
+        [xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))) as crc
+  from documents),
+leaves as (
+  select row_number() over () as r, *, dense_rank() over (order by lang nulls first) - 1 as tree,
+    row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos,
+    xor(crc, 4294967295) % 3 = 0 as tampered from docs),
+low(level, tree, pos, digest) as (
+  select 0, tree, pos, leaf from leaves
+  union all
+  select level + 1, tree, pos // 8, sha256(string_agg(digest, '' order by pos))
+  from (select *, count(*) over (partition by tree) as n from low)
+  where n > 1 group by level, tree, pos // 8),
+heights as (select tree, max(level) as height from low group by tree),
+subroots as (select tree, height, digest from low join heights using (tree) where level = height),
+top(level, pos, digest) as (
+  select 0, tree, digest from subroots
+  union all
+  select level + 1, pos // 8, sha256(string_agg(digest, '' order by pos))
+  from (select *, count(*) over () as n from top) where n > 1 group by level, pos // 8),
+steps as (
+  select r, level, own_pos % 8 as place, list(digest order by l.pos) as run
+  from (select r, tree, level, pos // (8 ** level)::bigint as own_pos
+        from leaves join heights using (tree), generate_series(0, height - 1) as g(level)) o
+  join low l using (level, tree) where l.pos // 8 = own_pos // 8 group by r, level, own_pos
+  union all
+  select r, height + level, own_pos % 8, list(digest order by t.pos)
+  from (select r, height, level, tree // (8 ** level)::bigint as own_pos
+        from leaves join heights using (tree),
+          generate_series(0, (select max(level) from top) - 1) as g(level)) o
+  join top t using (level) where t.pos // 8 = own_pos // 8 group by r, height, level, own_pos),
+fold(r, level, own) as (
+  select r, 0, case when tampered and changed is not null then changed else leaf end from leaves
+  union all
+  select r, level + 1, sha256(array_to_string(run[:place], '') || own
+    || array_to_string(run[place + 2:], ''))
+  from fold join steps using (r, level)),
+folded as (select r, arg_max(own, level) as folded_root from fold group by r),
+proofs as (
+  select r, string_agg(array_to_string(run[:place], '') || array_to_string(run[place + 2:], ''), ''
+    order by level) as proof from steps group by r)
+select doc_id, leaf, subroots.digest as subroot, t.digest as root,
+  sha256(coalesce(proof, '')) as proof_sha256, folded_root, folded_root = t.digest as verified
+from leaves join subroots using (tree) join folded using (r) left join proofs using (r),
+  (select digest from top order by level desc limit 1) t
+"""

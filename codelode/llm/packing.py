@@ -8,8 +8,6 @@ sequences per gap becomes smallest, or opens a new one for it if that is smaller
 
 from __future__ import annotations
 
-import base64
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from codelode.llm.common import with_text_columns
+from codelode.llm.tokens import byte_encoder
 from codelode.sources.scratch import saved
 
 CAPACITY = 1024
@@ -29,31 +28,6 @@ END_ID = 2
 LONG = 0.4
 #: Pieces that are packed together.
 GROUP_ROWS = 50_000
-#: Same ids as byte_bpe_50k.json, from a faster library; the tests compare both.
-#: Added tokens are read from the JSON.
-VOCABULARY = "byte_bpe_50k.tiktoken"
-
-
-def vocabulary_path(name: str = VOCABULARY) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def _encoder(path: str):
-    """The byte-level vocabulary as an encoder. Added tokens of the JSON vocabulary beside it are
-    found inside texts, as by ``tokenizers`` (also with ``add_special_tokens=False``)."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as file:
-        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                 special_tokens=added)
-    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -68,7 +42,7 @@ def tokenized(docs: DataFrame, text_col: str = "text", path: str | None = None,
     """``docs`` with ``pieces``: an array of (piece, start, length, ids_crc32, ids). A null text
     counts as empty, which is one piece with the end id alone. ``ids`` is null unless asked for."""
     def make():
-        encode = _encoder(path or vocabulary_path())
+        encode = byte_encoder(path)
 
         def pieces(text: str | None) -> list[dict]:
             ids = np.array([*encode(text or ""), end_id], dtype="<u4")

@@ -8,8 +8,6 @@ shuffled on the variant (48 bits and the block), pairs that collide are verified
 pair counts at one agreed variant only, so no pair is seen twice.
 
 Equal fingerprints are one node from the start; copies never form pairs.
-
-``overlapping`` links by the overlap of 5-word shingles instead; the pipeline takes that rule.
 """
 
 from __future__ import annotations
@@ -181,154 +179,3 @@ def near_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         "component_id")
-
-
-# ---------------------------------------------------------------- near duplicates by word overlap
-#
-# Two sets of shingles with a Jaccard similarity of 0.8 or more share one within their prefixes: the
-# first n - ceil(0.8 n) + 1 of n in any order common to all sets. So no pair is missed, whatever the
-# order; rare shingles first keeps the candidates few, and shares seen in a sample tell which are not.
-
-#: Words of a shingle and least similarity, as a fraction.
-OVERLAP_SHINGLE = 5
-SIMILAR = (4, 5)
-#: Documents that shingle frequencies are taken from, and most frequent shingles that are kept. Both
-#: change the number of candidates only, never the result.
-ORDER_DOCS = 20_000
-ORDER_SHINGLES = 200_000
-
-
-def _least_size(n: int) -> int:
-    """Fewest elements of a set that is similar to one of ``n``; also what both must share."""
-    return -(-n * SIMILAR[0] // SIMILAR[1])
-
-
-def _enough(shared: Column, a: Column, b: Column) -> Column:
-    """Whether sets of ``a`` and ``b`` elements with ``shared`` common ones are similar."""
-    return shared * (SIMILAR[0] + SIMILAR[1]) >= (a + b) * SIMILAR[0]
-
-
-def _shingle_set(text: str | None):
-    import numpy as np
-
-    return np.unique(np.array(shingle_hashes(text, OVERLAP_SHINGLE), dtype="<u8").view("<i8"))
-
-
-def _frequent(docs: DataFrame, text_col: str):
-    """The frequent shingles of a sample, sorted, and their counts."""
-    import numpy as np
-
-    deal = max(1, docs.count() // ORDER_DOCS)
-    sample = docs.select(F.col(text_col).alias("__t")).where(
-        F.pmod(F.xxhash64(F.lit("order"), "__t"), F.lit(deal)) == 0)
-    sets = with_text_columns(sample, "__t", lambda: lambda texts: {
-        "s": [_shingle_set(t) for t in texts]}, "s array<long>", ("__t",))
-    top = (sets.select(F.explode("s").alias("s")).groupBy("s").count().where("count > 1")
-           .orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES).orderBy("s").toPandas())
-    return top["s"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
-
-
-def _prefixes(docs: DataFrame, text_col: str, drop: tuple[str, ...]) -> DataFrame:
-    """``docs`` with ``fingerprint`` (16 bytes that name the set of shingles), ``size`` and
-    ``prefix``."""
-    known, counts = _frequent(docs, text_col)
-
-    def make():
-        import numpy as np
-        import xxhash
-
-        def one(text: str | None):
-            own = _shingle_set(text)
-            n = len(own)
-            if not n:
-                return b"", 0, own
-            count = np.zeros(n, dtype=np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                count = np.where(known[at] == own, counts[at], 0)
-            first = own[np.lexsort((own, count))[:n - _least_size(n) + 1]]
-            return xxhash.xxh3_128_digest(own.tobytes()), n, first
-
-        def columns(texts):
-            made = [one(t) for t in texts]
-            return {"fingerprint": [m[0] for m in made], "size": [m[1] for m in made],
-                    "prefix": [m[2] for m in made]}
-
-        return columns
-
-    return with_text_columns(docs, text_col, make,
-                             "fingerprint binary, size int, prefix array<long>", drop)
-
-
-def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, id_col: str,
-             text_col: str) -> DataFrame:
-    """The ``pairs(a, b)`` of numbers whose sets of shingles are similar. Only texts that are in a
-    pair become sets again."""
-    nodes = pairs.select(F.col("a").alias("number")).union(pairs.select("b")).distinct()
-    wanted = saved(nodes.join(prints, "number").select(
-        "number", F.col("one.h").alias("__h"), F.col("one.id").alias("__id")), "wanted")
-    texts = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).join(
-        bounded(wanted), F.col("__i").eqNullSafe(F.col("__id"))
-        & (row_hash(F.col("__t")) == F.col("__h"))).select("number", "__t")
-    sets = with_text_columns(texts, "__t", lambda: lambda texts: {
-        "s": [_shingle_set(t) for t in texts]}, "s array<long>", ("__t",))
-    sets = saved(sets.dropDuplicates(["number"]), "sets")
-    both = pairs.join(sets.select(F.col("number").alias("a"), F.col("s").alias("x")), "a").join(
-        sets.select(F.col("number").alias("b"), F.col("s").alias("y")), "b")
-    return saved(both.where(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")))
-                 .select("a", "b"), "similar")
-
-
-def _pairs(x: dict[str, Column], y: dict[str, Column], rows: DataFrame) -> DataFrame:
-    """The different pairs (a, b) of ``rows`` whose sizes and places in the prefix allow similarity.
-    The bound by places holds at the first shingle of a similar pair, so none of these is lost."""
-    left = F.least(x["size"] - x["place"], y["size"] - y["place"])
-    return rows.where(_enough(left, x["size"], y["size"])).select(
-        F.least(x["number"], y["number"]).alias("a"),
-        F.greatest(x["number"], y["number"]).alias("b")).distinct()
-
-
-def overlapping(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Like ``near_duplicates``, for links between texts whose sets of 5-word shingles have a
-    Jaccard similarity of 0.8 or more. ``fingerprint`` is the name of the set (binary).
-
-    Equal sets are one node. Of the holders of a shingle each is first compared with one of them; what
-    is linked by then need not be compared pair by pair, only across the groups that are left.
-    """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__t"),
-                       row_hash(F.col(text_col)).alias("row_hash"))
-    rows = saved(_prefixes(rows, "__t", ("__t",)), "prefixes")
-    prints = saved(rows.groupBy(F.col("fingerprint").alias("fp")).agg(
-        F.min(id_col).alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
-        F.min(F.struct(F.col("row_hash").alias("h"), F.col(id_col).alias("id"))).alias("one"))
-        .withColumn("number", F.monotonically_increasing_id()), "prints")
-    held = prints.select("number", "size", F.posexplode("prefix").alias("place", "shingle"))
-    holders = Window.partitionBy("shingle")
-    first = F.min(F.struct("number", "size", "place")).over(holders)
-    held = saved(held.withColumn("first", first).withColumn("n", F.count("*").over(holders))
-                 .where("n > 1").drop("n"), "held")
-    fields = ("number", "size", "place")
-    own = {f: F.col(f) for f in fields}
-    tried = saved(_pairs(own, {f: F.col(f"first.{f}") for f in fields},
-                         held.where(F.col("number") != F.col("first.number"))), "tried")
-    linked = _similar(tried, prints, docs, id_col, text_col)
-    groups = components(linked)
-    held = held.drop("first").join(bounded(groups), F.col("number") == F.col("node"), "left").withColumn(
-        "group", F.coalesce("component", "number")).select("shingle", *fields, "group")
-    held = saved(held.withColumn("low", F.min("group").over(holders))
-                 .withColumn("high", F.max("group").over(holders))
-                 .where("low < high").drop("low", "high"), "across")
-    other = held.select("shingle", *[F.col(f).alias(f"o_{f}") for f in fields],
-                        F.col("group").alias("o_group"))
-    across = held.hint("merge").join(other, "shingle").where(
-        (F.col("number") < F.col("o_number")) & (F.col("group") != F.col("o_group")))
-    more = saved(_pairs(own, {f: F.col(f"o_{f}") for f in fields}, across)
-                 .join(tried, ["a", "b"], "left_anti"), "more")
-    found = components(linked.union(_similar(more, prints, docs, id_col, text_col)))
-    return _named(rows.drop("size", "prefix"), prints.select("fp", "least", "number"), found)
-
-
-def drop_overlapping(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one left of each group of ``overlapping``, as in
-    ``drop_near_duplicates``."""
-    return keep_first(docs, overlapping(docs, id_col, text_col), id_col, text_col)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codelode.llm import (
-    chat, components, exact, language, mixing, packing, pii, quality, shards, simhash, toxicity,
+    chat, components, exact, language, mixing, packing, pii, quality, shards, simhash, tokens, toxicity,
 )
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -289,24 +289,6 @@ def test_drop_near_duplicates(spark, edges, edge_rows):
     assert Counter(r.doc_id for r in out.collect()) == Counter(set(groups))
 
 
-def brute_overlap_components(rows):
-    def shingles(text):
-        words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    sets = [shingles(t) for _, t in rows]
-    group = list(range(len(rows)))
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        x, y = sets[i], sets[j]
-        if x == y or 5 * len(x & y) >= 4 * len(x | y):
-            group = [group[i] if g == group[j] else g for g in group]
-    least = {}
-    for (d, _), g in zip(rows, group, strict=True):
-        if d is not None:
-            least[g] = min(d, least.get(g, d))
-    return [least.get(g) for g in group]
-
-
 def near_copies(seed=12):
     rnd = random.Random(seed)
     words = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(4000)]
@@ -327,19 +309,13 @@ def near_copies(seed=12):
     return [(i, " ".join(r), "en", "a") for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("order", [(20_000, 200_000), (10, 3)])
-def test_overlapping_matches_brute_force(spark, edge_rows, empty, monkeypatch, order):
-    monkeypatch.setattr(simhash, "ORDER_DOCS", order[0])
-    monkeypatch.setattr(simhash, "ORDER_SHINGLES", order[1])
-    for rows in (edge_rows, near_copies()):
-        want = brute_overlap_components([r[:2] for r in rows])
-        df = frame(spark, rows).repartition(3).cache()
-        got = Counter((r.doc_id, r.component_id) for r in simhash.overlapping(df).collect())
-        assert got == Counter(zip((r[0] for r in rows), want, strict=True))
-        left = corpus_pipeline.near_dedup(spark, df, "")
-        assert left.columns == df.columns
-        assert Counter(r.doc_id for r in left.collect()) == Counter(set(want))
-    assert simhash.overlapping(empty).count() == 0
+def test_near_dedup_of_near_copies(spark):
+    rows = near_copies()
+    groups = brute_components([r[0] for r in rows], [brute_print(r[1]) for r in rows])
+    df = frame(spark, rows).repartition(3).cache()
+    left = corpus_pipeline.near_dedup(spark, df, "")
+    assert left.columns == df.columns and len(set(groups)) < len(rows)
+    assert Counter(r.doc_id for r in left.collect()) == Counter(set(groups))
 
 
 # ------------------------------------------------------------------ 5 exact duplicates
@@ -512,8 +488,7 @@ def test_pii_report(edges, edge_rows, docs, empty):
 def check_packing(rows, texts):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
     want = Counter()
     for i, t in texts:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
@@ -549,7 +524,7 @@ def test_packing(spark, docs, edges, edge_rows, empty):
 def test_packing_ids_are_those_of_the_call_without_special_tokens_added(spark):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
     texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n \n<|endoftext|>  c", "<|endoftext|", "x  <|endoftext|>"]
     rows = packing.packed(frame(spark, [(i, t, "", "") for i, t in enumerate(texts)])).collect()
     assert {r.doc_id: r.ids for r in rows} == {
@@ -557,6 +532,25 @@ def test_packing_ids_are_those_of_the_call_without_special_tokens_added(spark):
     assert 50256 in next(r.ids for r in rows if r.doc_id == 0)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\u00a0", "a", "1", "!"])
+def test_packing_of_very_long_runs(run):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
+    text = f"a<|endoftext|>{run * 2_000_000}<|endoftext|>b"
+    encode, plain = tokens.byte_encoder(), tokens.byte_encoder(plain=True)
+    assert encode(text) == tok.encode(text, add_special_tokens=False).ids
+    tok.encode_special_tokens = True
+    assert plain(text) == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_a_very_long_row(spark):
+    rows = [(1, " " * 1_200_000, "", ""), (2, "a b", "", "")]
+    got = packing.packing_report(frame(spark, rows)).groupBy("doc_id").agg(
+        F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {1: 1_200_001, 2: 3}
+
+
 def test_piece_bounds():
     assert packing.piece_bounds(1) == [(0, 1)] and packing.piece_bounds(1024) == [(0, 1024)]
     assert packing.piece_bounds(1025) == [(0, 1), (1, 1024)]
