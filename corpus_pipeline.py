@@ -24,9 +24,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5-word shingles, similarity 0.8) the row with the smallest
-    id stays."""
-    return simhash.drop_overlapping(docs)
+    """Of each group of near duplicates (fingerprints of 3-word shingles, at most 3 bits apart) the row
+    with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
