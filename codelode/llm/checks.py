@@ -176,3 +176,21 @@ select doc_id, leaf, subroots.digest as subroot, t.digest as root,
 from leaves join subroots using (tree) join folded using (r) left join proofs using (r),
   (select digest from top order by level desc limit 1) t
 """
+
+CHECKS["op11_embeddings"] = """
+with recursive given as (
+  select row_number() over () as r, vec_id, embedding::double[] as v from embeddings),
+units as (
+  select r, vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from given
+  where v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0),
+links as (
+  select x.r as a, y.r as b from units x, units y
+  where x.r <> y.r and len(x.v) = len(y.v) and x.norm > 0 and y.norm > 0
+    and list_dot_product(x.v, y.v) / x.norm / y.norm >= 0.9),
+reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(other, vec_id)) as component_id,
+  vec_id = least(vec_id, coalesce(other, vec_id)) as kept
+from given left join (select a, count(*) as n from links group by a) l on l.a = r
+  left join (select reach.a, min(vec_id) as other from reach join given g on g.r = reach.b group by reach.a) m
+    on m.a = r
+"""

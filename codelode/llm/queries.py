@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from codelode.llm import (
-    align, chat, exact, language, merkle, mixing, packing, pii, quality, shards, simhash, toxicity,
+    align, chat, exact, language, lattice, merkle, mixing, packing, pii, quality, shards, simhash,
+    toxicity,
 )
 from codelode.llm.checks import CHECKS as OPERATOR_CHECKS
 
@@ -31,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": _over(packing.packing_report, "documents"),
     "op9_language": _over(language.language_report, "documents"),
     "op10_chat": _over(chat.chat_report, "conversations"),
+    "op11_embeddings": _over(lattice.vector_report, "embeddings"),
     "op12_alignment": _over(align.alignment_report, "documents"),
     "op13_merkle": _over(merkle.manifest_report, "documents"),
     "pipeline": corpus_pipeline.run,
