@@ -22,13 +22,23 @@ measured as (
   from parts where len(ws) > 0),
 judged as (
   select r, chars, row_number() over (partition by r, line order by i) > 1 as again,
-    (n > 8 and not regexp_matches(line, '[.!?…。:;]')) or symbols * 10 > chars
+    (n > 8 and not regexp_matches(line, '[.!?…:;‼‽⁇⁈⁉。！？：；．｡।॥؟۔؛։።፣፤፧។៕៖၊။།༎᠃᠉\x{0e01}-\x{0edf}]')) or symbols * 10 > chars
     or (shouts >= 3 and shouts * 4 >= n) or (bars >= 3 and bars * 6 >= n)
     or contains(low, 'all rights reserved') or contains(low, 'licensed under')
     or contains(low, 'released under the') or contains(low, 'privacy policy')
     or contains(low, 'terms of use') or contains(low, 'terms of service')
     or contains(low, 'cookie policy') or contains(low, 'enable javascript')
-    or contains(low, 'subscribe to our newsletter') or contains(low, 'click here') as fails
+    or contains(low, 'subscribe to our newsletter') or contains(low, 'click here')
+    or contains(low, 'tous droits réservés') or contains(low, 'politique de confidentialité')
+    or contains(low, 'conditions d''utilisation') or contains(low, 'mentions légales')
+    or contains(low, 'activez javascript') or contains(low, 'cliquez ici')
+    or contains(low, 'alle rechte vorbehalten') or contains(low, 'datenschutzerklärung')
+    or contains(low, 'nutzungsbedingungen') or contains(low, 'allgemeine geschäftsbedingungen')
+    or contains(low, 'javascript aktivieren') or contains(low, 'klicken sie hier')
+    or contains(low, 'hier klicken') or contains(low, 'todos los derechos reservados')
+    or contains(low, 'política de privacidad') or contains(low, 'términos de uso')
+    or contains(low, 'condiciones de uso') or contains(low, 'aviso legal')
+    or contains(low, 'active javascript') or contains(low, 'haga clic aquí') as fails
   from measured),
 by_doc as (
   select r, sum(chars) as chars, sum(case when again then 1 else 0 end) as dups,
@@ -73,26 +83,42 @@ shares(round, source, size, weight, target, full_) as (
         from shares)
   where more = 1),
 targets as (
-  select source, size as source_size, target from shares
+  select coalesce('s' || source, 'null') as src, size as source_size, target from shares
   where round = (select max(round) from shares)),
+weighed as (
+  select doc_id, size, coalesce('s' || source, 'null') as src,
+    ceil(least(size, 200) / 20.0)::bigint as weight from sized),
+levels as (
+  select src, weight, sum(size)::bigint as words from weighed where weight > 0 group by src, weight),
+rates as (
+  select src, weight,
+    target - (3 * coalesce(sum(words) over (partition by src order by weight desc
+      rows between unbounded preceding and 1 preceding), 0))::double as wanted,
+    (sum(words * weight) over (partition by src order by weight desc
+      rows between current row and unbounded following))::double as weighted
+  from levels join targets using (src)),
+rate as (
+  select src, max_by(wanted / weighted, weight) as rate from rates
+  where wanted / weighted * weight <= 3 group by src),
+expected as (
+  select w.*, source_size, target, case when weight = 0 then 0::double when rate is null then 3::double
+    else least(3::double, rate * weight) end as expected
+  from weighed w join targets using (src) left join rate using (src)),
 odds as (
-  select s.doc_id, s.source, s.size, source_size, target,
-    case when source_size > 0 then floor(target / source_size) else 0 end as whole,
-    case when source_size > 0 then target / source_size - floor(target / source_size) else 0 end
-      as chance,
+  select *, floor(expected) as whole, expected - floor(expected) as chance,
     (('0x' || substr(md5('7:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5)
-      / 4503599627370496.0 as u
-  from sized s join targets t on s.source is not distinct from t.source),
+      / 4503599627370496.0 as u,
+    target - sum(floor(expected) * size) over (partition by src) as rest
+  from expected),
 placed as (
-  select *, target - (whole * source_size) as rest,
-    coalesce(sum(size) over (partition by source
+  select *, coalesce(sum(size) over (partition by src
       order by (u / (1 - u)) / (chance / (1 - chance)), doc_id, size
       rows between unbounded preceding and 1 preceding), 0) as before
   from odds where chance > 0
-  union all select *, 0, 0 from odds where not chance > 0)
+  union all select *, 0 from odds where not chance > 0)
 select doc_id, size, source_size, target,
   (whole * size + case when chance > 0 and before + size / 2.0 <= rest then size else 0 end)::bigint
-    as taken
+    as taken, weight, chance
 from placed
 """
 

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
-A source's target fixes how many copies of each of its documents are expected. The whole part is
-certain. The rest is an inclusion probability: documents are ranked by the odds of a fixed random
-number divided by the odds of inclusion, and the first ones are taken until the words still wanted
-are reached (to the nearest document). That is a sample of fixed size, in words, with unequal
-probabilities.
+A source's target fixes how many copies of its documents are expected in all; a document's share goes by
+its weight, which is the number of its words up to a length, in steps: a few words say little. No
+document is expected more often than a bound, so the rate per weight rises until the target is met. The
+whole part of what is expected is certain. The rest is an inclusion probability: documents are ranked by
+the odds of a fixed random number divided by the odds of inclusion, and the first ones are taken until
+the words still wanted are reached (to the nearest document). That is a sample of fixed size, in words,
+with unequal probabilities.
 
 No source is sorted in one task: ranks are cut into cells, cells are summed before the shuffle, and
 only the cell in which the wanted words run out is put in order. What is kept of that is one row
@@ -22,16 +24,23 @@ from codelode.sources.scratch import saved
 MOST_COPIES = 3
 #: Weights of the sources in order, from the first again after the last.
 WEIGHTS = (1, 2, 3)
-#: Parts that the ranks of a source are cut into.
-CELLS = 4096
+#: Words from which a document has the full weight, and words of a step of weight.
+FULL_WORDS, STEP_WORDS = 200, 20
+#: Parts that the ranks of a source are cut into, at least, and documents of one, about.
+CELLS, CELL_ROWS = 4096, 2000
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def word_weight(size: Column) -> Column:
+    """Weight of a document by its words: 0 without any, 1 to 10 in steps."""
+    return F.ceil(F.least(size, F.lit(FULL_WORDS)) / float(STEP_WORDS)).cast("long")
+
+
 def source_targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
-    """Targets of ``sizes(source, source_size, weighted)``: the weights, in the order of the
+    """Targets of ``sizes(source, source_size)``: the weights, in the order of the
     sources' code points with null last, share all words; a source gets ``most`` times its size at
     most and the rest is shared among the others by weight. The sources that hit the bound are the
     first ones by size per weight, so the share of the others follows from running sums. One row
@@ -59,16 +68,33 @@ def source_targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
                     (most * F.col("source_size")).cast("double")).otherwise(
         (F.col("weight") * F.col("first.left")).cast("double")
         / F.col("first.weights").cast("double"))
-    return placed.select("source", "source_size", "weighted", target.alias("target"))
+    return placed.select("source", "source_size", target.alias("target"))
+
+
+def rates(sources: DataFrame, sized: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """``sources`` with ``rate``, the copies expected per unit of weight: the heaviest documents are at
+    the bound and the others share the rest of the target by weight. Null where all are at the bound.
+    Weights are few whole numbers, so a source has few rows here."""
+    levels = saved(sized.where(F.col("__weight") > 0).groupBy("__source", "__weight").agg(
+        F.sum("__size").alias("words")), "weights")
+    targets = sources.select(F.col("source").alias("__s"), "target")
+    heavy = Window.partitionBy("__source").orderBy(F.desc("__weight"))
+    above = F.coalesce(F.sum("words").over(heavy.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum(F.col("words") * F.col("__weight")).over(
+        heavy.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    tried = (levels.join(bounded(targets), F.col("__source").eqNullSafe(F.col("__s")))
+             .withColumn("rate", (F.col("target") - (most * above).cast("double")) / below.cast("double"))
+             .where(F.col("rate") * F.col("__weight") <= most))
+    best = tried.groupBy(F.col("__source").alias("__r")).agg(F.max_by("rate", "__weight").alias("rate"))
+    return sources.join(bounded(saved(best, "rates")), F.col("source").eqNullSafe(F.col("__r")), "left").drop("__r")
 
 
 def _ranked(docs: DataFrame, sources: DataFrame, seed: int, most: int) -> DataFrame:
     """Certain copies, inclusion probability, rank and cell of each document."""
-    joined = docs.join(sources.select(F.col("source").alias("__key"), "source_size", "weighted",
-                                      "target"), F.col("__source").eqNullSafe(F.col("__key")))
-    expected = F.when(F.col("weighted") > 0, F.least(
-        F.lit(float(most)), F.col("target") * F.col("__weight") / F.col("weighted"))).otherwise(
-        F.lit(0.0))
+    joined = docs.join(sources.select(F.col("source").alias("__key"), "source_size", "rate", "target",
+                                      "cells"), F.col("__source").eqNullSafe(F.col("__key")))
+    expected = F.when(F.col("__weight") == 0, 0.0).when(F.col("rate").isNull(), float(most)).otherwise(
+        F.least(F.lit(float(most)), F.col("rate") * F.col("__weight")))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("__id").cast("string"),
                                                                   F.lit("null"))))
     random = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
@@ -82,25 +108,26 @@ def _ranked(docs: DataFrame, sources: DataFrame, seed: int, most: int) -> DataFr
             .withColumn("__random", random)
             .withColumn("__rank", F.when(chance > 0, (F.col("__random") / (1 - F.col("__random")))
                                          / (chance / (1 - chance))))
-            .withColumn("__cell", F.floor(scaled / (1 + scaled) * CELLS).cast("int")))
+            .withColumn("__cell", F.floor(scaled / (1 + scaled) * F.col("cells")).cast("int")))
 
 
 def _prepared(docs: DataFrame, id_col: str, source_col: str, text_col: str,
               weight_col: str | None) -> DataFrame:
-    return docs.withColumns({
-        "__id": F.col(id_col), "__source": F.col(source_col),
-        "__size": n_words(F.col(text_col)),
-        "__weight": (F.coalesce(F.col(weight_col), F.lit(0)) if weight_col else F.lit(1))
-        .cast("double")})
+    size = n_words(F.col(text_col))
+    weight = word_weight(size) if weight_col is None else F.when(size > 0, F.greatest(
+        F.coalesce(F.col(weight_col), F.lit(0)), F.lit(0))).otherwise(0)
+    return docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": size,
+                             "__weight": weight.cast("long")})
 
 
 def mixture(sized: DataFrame, seed: int = 7, most: int = MOST_COPIES) -> DataFrame:
     """One row per source with what decides on its documents: size, target, the cell in which its
     words run out (``cut_cell``) and the last document taken there (``cut``)."""
-    sizes = sized.groupBy(F.col("__source").alias("source")).agg(
-        F.sum("__size").alias("source_size"),
-        F.sum(F.col("__size") * F.col("__weight")).alias("weighted"))
-    sources = saved(source_targets(saved(sizes, "source-sizes"), most), "targets")
+    sizes = saved(sized.groupBy(F.col("__source").alias("source")).agg(
+        F.sum("__size").alias("source_size"), F.count("*").alias("rows")), "source-sizes")
+    cells = max(CELLS, (sizes.agg(F.max("rows")).first()[0] or 0) // CELL_ROWS)
+    targets = saved(source_targets(sizes.drop("rows"), most), "targets")
+    sources = saved(rates(targets, sized, most).withColumn("cells", F.lit(cells)), "sources")
     ranked = _ranked(sized, bounded(sources), seed, most)
     cells = saved(ranked.groupBy(F.col("__key").alias("source"), F.coalesce("__cell", F.lit(-1)).alias("cell")).agg(
         F.sum(F.when(F.col("__rank").isNotNull(), F.col("__size")).otherwise(0)).alias("words"),
@@ -138,8 +165,9 @@ def mix(docs: DataFrame, plan: DataFrame | None = None, seed: int = 7, most: int
     these names.
 
     A null text has no words; documents without words take nothing but keep their row. Null is a
-    source of its own, the last one. ``weight_col`` makes documents of a source unequal (null: 0);
-    without it all have the same chance. Equal ids draw the same random number, so repeated rows
+    source of its own, the last one. A document's weight is that of its words (``word_weight``), or
+    ``weight_col``, which holds few different whole numbers (null: 0). If all documents with a weight
+    are taken as often as the bound allows, a source can stay below its target. Equal ids draw the same random number, so repeated rows
     are taken alike. A source without words has target 0. Reruns agree: the random numbers are
     digests of the ids. An empty table gives no rows.
     """
@@ -155,7 +183,7 @@ def mix(docs: DataFrame, plan: DataFrame | None = None, seed: int = 7, most: int
 
 
 def _decided(sized: DataFrame, plan: DataFrame, seed: int, most: int) -> DataFrame:
-    ranked = _ranked(sized, bounded(plan.select("source", "source_size", "weighted", "target")),
+    ranked = _ranked(sized, bounded(plan.select("source", "source_size", "rate", "target", "cells")),
                      seed, most)
     cuts = plan.select(F.col("source").alias("__p"), "cut_cell", "cut")
     at = F.struct("__rank", "__id", "__size")
@@ -178,4 +206,5 @@ def mix_report(docs: DataFrame, seed: int = 7) -> DataFrame:
     decided = _decided(sized, mixture(sized, seed), seed, MOST_COPIES)
     return decided.select(
         F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target",
-        (F.col("copies") * F.col("__size")).alias("taken"))
+        (F.col("copies") * F.col("__size")).alias("taken"), F.col("__weight").alias("weight"),
+        F.col("__chance").alias("chance"))

@@ -3,8 +3,9 @@ text is rejected.
 
 Rules of a line with at least one word:
 
-* punctuation: it has a sentence mark, if it is longer than a heading; symbols are few; words that
-  shout (end in two exclamation marks) are few;
+* punctuation: it has a sentence mark of any script, if it is longer than a heading (scripts that
+  write no such marks need none); symbols are few; words that shout (end in two exclamation marks)
+  are few;
 * navigation: separators are few among its words;
 * boilerplate: it has none of a list of phrases.
 """
@@ -27,10 +28,21 @@ WORDS_PER_SHOUT = 4
 WORDS_PER_SEPARATOR = 6
 #: A document is rejected if more than this share of its words' characters goes.
 MOST_LOST = 0.5
+#: Marks that end or part sentences, by script.
+MARKS = (".!?…:;‼‽⁇⁈⁉" "。！？：；．｡" "।॥" "؟۔؛" "։" "።፣፤፧" "។៕៖" "၊။" "།༎" "᠃᠉")
+#: First and last letters of scripts without such marks (Thai, Lao).
+MARKLESS = ("\u0e01", "\u0edf")
 #: Fixed values, in lower case.
-PHRASES = ("all rights reserved", "licensed under", "released under the", "privacy policy",
-           "terms of use", "terms of service", "cookie policy", "enable javascript",
-           "subscribe to our newsletter", "click here")
+PHRASES = (
+    "all rights reserved", "licensed under", "released under the", "privacy policy",
+    "terms of use", "terms of service", "cookie policy", "enable javascript",
+    "subscribe to our newsletter", "click here",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation",
+    "mentions légales", "activez javascript", "cliquez ici",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen",
+    "allgemeine geschäftsbedingungen", "javascript aktivieren", "klicken sie hier", "hier klicken",
+    "todos los derechos reservados", "política de privacidad", "términos de uso",
+    "condiciones de uso", "aviso legal", "active javascript", "haga clic aquí")
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ("|", "»", "›", "·", "•", "/", ">")
 MIN_WORDS, WINDOW, MOST_REPEATED = 10, 5, 20
@@ -38,7 +50,7 @@ COLUMNS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
            "lost_chars long, base_failed boolean, kept boolean")
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_MARK = re.compile(r"[.!?…。:;]")
+_MARK = re.compile(f"[{re.escape(MARKS)}{MARKLESS[0]}-{MARKLESS[1]}]")
 
 
 def n_symbols(text: str) -> int:

@@ -196,7 +196,7 @@ def test_mixing(spark, edges, edge_rows, empty):
 def test_mixing_with_weights_and_clashing_columns(spark):
     rows = [(i, "a b c d e f g h", "en", "s" if i < 400 else "t") for i in range(500)]
     df = frame(spark, rows).withColumn("size", F.lit("mine")).withColumn(
-        "w", F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0))
+        "w", F.when(F.col("doc_id") % 2 == 0, 3).otherwise(1))
     out = mixing.mix(df, weight_col="w")
     got = out.collect()
     words = Counter()
