@@ -121,13 +121,37 @@ def parse(formatted: DataFrame) -> DataFrame:
             x["piece"], x["loss"]["start"] + 1, x["loss"]["chars"]))).alias("loss"))).alias("turns"))
 
 
-def row_events(rows: DataFrame) -> DataFrame:
-    """Rows of (conv_id, turn, role, text) as events, each the only one of its message. Rows with
-    the same turn are messages of their own, by role and text."""
+#: Most deltas of a text that a row is told in.
+DELTAS = 4
+
+
+def row_events(rows: DataFrame, seed: int = 10) -> DataFrame:
+    """Rows of (conv_id, turn, role, text) as the log of a service that writes as it goes: a draft, a
+    delta to it, an edit, then it is regenerated and its text streamed in up to ``DELTAS`` pieces,
+    cut at seeded places. Events arrive in a seeded random order. Rows with the same turn are messages of
+    their own, by role and text."""
     same = Window.partitionBy("conv_id", "block", "message").orderBy("role", "text")
-    turns = blocked(rows.select("conv_id", F.col("turn").cast("long").alias("message"), "role", "text"))
-    return turns.select("conv_id", "block", "message", F.row_number().over(same).alias("part"),
-                        F.col("message").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    turns = blocked(rows.select("conv_id", F.col("turn").cast("long").alias("message"), "role",
+                                F.coalesce("text", F.lit("")).alias("text")))
+    turns = turns.withColumn("part", F.row_number().over(same))
+    chars = F.char_length("text")
+    cuts = F.array_sort(F.array(F.lit(0), *[
+        F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "text"), chars + 1).cast("int") for i in range(DELTAS - 1)],
+        chars))
+    event = lambda seq, kind, role, text: F.struct(
+        F.lit(seq).cast("long").alias("seq") if isinstance(seq, int) else seq.cast("long").alias("seq"),
+        kind.alias("kind"), role.alias("role"), text.alias("text"))
+    none, role = F.lit(None).cast("string"), F.col("role")
+    begun = F.array(
+        event(0, F.lit("message"), role, F.concat(F.lit("draft: "), F.left("text", F.lit(16)))),
+        event(1, F.lit("delta"), none, F.lit(" ...")),
+        event(2, F.lit("edit"), none, F.left("text", F.lit(8))))
+    streamed = F.transform(F.slice("cuts", 1, DELTAS), lambda at, i: event(
+        i + 3, F.when(i == 0, "regenerate").otherwise("delta"), F.when(i == 0, role),
+        F.substring("text", at + 1, F.get(F.col("cuts"), i + 1) - at)))
+    told = turns.withColumn("cuts", cuts).select("conv_id", "block", "message", "part", F.explode(
+        F.shuffle(F.concat(begun, streamed), seed)).alias("e"))
+    return told.select("conv_id", "block", "message", "part", "e.*")
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
