@@ -7,7 +7,8 @@ Hits inside exception phrases (two words that are mostly harmless together) don'
 weights, by itself and normalised by length, goes through a logistic function.
 
 Lexicon, exceptions and the logistic function are learned from labelled rows: from all of them up to
-``SAMPLE_ROWS``, beyond that from a share chosen by a hash of the id.
+``SAMPLE_ROWS``, beyond that from a share chosen by a hash of id and text. What is learned has no other
+bound than that sample.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codelode.llm.common import with_text_columns
+from codelode.llm.common import bounded, with_text_columns
 from codelode.sources.scratch import saved
 
 #: Labelled rows that are learned from, about.
@@ -35,7 +36,6 @@ MIN_DOCS, MIN_SHARE = 3, 0.01
 MIN_PLACES = 0.6
 #: Least weight (log ratio) of an entry.
 MIN_WEIGHT = 3.5
-MOST_ENTRIES = 20_000
 #: Least other documents with an exception phrase, and their least share of all with it.
 EXCEPTION_DOCS, EXCEPTION_SHARE = 3, 0.5
 #: Words added to a text's length, so that one hit in a short text isn't everything.
@@ -59,6 +59,18 @@ def fold(text: str) -> str:
     return text.translate(_TABLE) if _ODD.search(text) else text.replace("l", "i")
 
 
+def word_before(text: str, start: int) -> str:
+    """The word before a place, however far; nothing where a digit or underscore comes first, or
+    where only letters lie between."""
+    gap = start
+    while gap and not (text[gap - 1].isalnum() or text[gap - 1] == "_"):
+        gap -= 1
+    word = gap
+    while word and text[word - 1].isalpha():
+        word -= 1
+    return text[word:gap] if gap < start else ""
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
@@ -102,8 +114,7 @@ class Matcher:
             for end, (n, _) in self.automaton.iter(text):
                 start = end - n + 1
                 if start == 0 or not text[start - 1].isalpha():
-                    before = re.search(r"([^\W\d_]+)[^\w]+$", text[max(0, start - 60):start])
-                    out.add(f"{text[start:end + 1]} {before[1] if before else ''}")
+                    out.add(f"{text[start:end + 1]} {word_before(text, start)}")
         return out
 
     def phrases(self, text: str, start: int) -> list[str]:
@@ -111,9 +122,9 @@ class Matcher:
         word = _WORD.match(text, start)
         if not word:
             return []
-        before = re.search(r"([^\W\d_]+)[^\w]+$", text[max(0, start - 60):start])
+        before = word_before(text, start)
         after = re.compile(r"[^\w]+([^\W\d_]+)").match(text, word.end())
-        return ([f"{before[1]} {word[0]}"] if before else []) + (
+        return ([f"{before} {word[0]}"] if before else []) + (
             [f"{word[0]} {after[1]}"] if after else [])
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -137,16 +148,18 @@ class Matcher:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of labelled rows that are not held out; ``rows`` of them, about. Labels of one
-    document that differ count as toxic; null labels don't count."""
+    """(text, toxic) of labelled rows that are not held out; ``rows`` of them, about, however often
+    an id occurs: rows with one id and text are drawn together. Labels of one id that differ count as
+    toxic; null labels don't count."""
     own = (labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
            .groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    own = saved(own, "labels")
-    share = min(1.0, rows / max(1, own.count()))
-    drawn = own.where(F.pmod(F.xxhash64(F.lit("toxicity"), "__id"), F.lit(1 << 30))
-                      < int(share * (1 << 30)) + (share == 1.0))
-    return saved(docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
-                 .select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "sample")
+    own = bounded(saved(own, "labels"))
+    labelled = docs.join(own, F.col("doc_id") == F.col("__id"))
+    share = min(1.0, rows / max(1, labelled.select("doc_id").count()))
+    text = F.coalesce("text", F.lit(""))
+    drawn = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id", text), F.lit(1 << 30)) < (
+        int(share * (1 << 30)) + (share == 1.0))
+    return saved(labelled.where(drawn).select(text.alias("text"), "toxic"), "sample")
 
 
 def _counted(rows: DataFrame, make) -> DataFrame:
@@ -187,8 +200,7 @@ def _lexicon(rows: DataFrame, n_toxic: int, n_other: int) -> dict[str, float]:
               - F.log((F.col("other") + 0.5) / (n_other + 1.0)))
     least = max(MIN_DOCS, math.ceil(MIN_SHARE * n_toxic))
     found = (counts.where(F.col("toxic") >= least).withColumn("weight", weight)
-             .where(F.col("weight") >= MIN_WEIGHT)
-             .orderBy(F.desc("toxic"), "term").limit(MOST_ENTRIES).collect())
+             .where(F.col("weight") >= MIN_WEIGHT).collect())
     # words of a text that has many copies are frequent too, but always in the same place
     candidates = Model({r["term"]: r["weight"] for r in found})
 
@@ -244,8 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     harmless = (F.col("other") >= EXCEPTION_DOCS) & (
         F.col("other") > EXCEPTION_SHARE * (F.col("other") + F.col("toxic")))
-    model.exceptions = {r["term"] for r in _counted(rows, phrases).where(harmless)
-                        .orderBy(F.desc("other"), "term").limit(MOST_ENTRIES).collect()}
+    model.exceptions = {r["term"] for r in _counted(rows, phrases).where(harmless).collect()}
 
     def features():
         matcher = Matcher(model)
