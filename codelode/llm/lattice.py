@@ -12,7 +12,7 @@ or none. Only members of the others are looked at, first against the other centr
 copies, equal or nearly so, may hold any share of the rows without its pairs being made.
 
 Cost: a ball makes TABLES * (PROBES + 2) narrow rows. Two unrelated vectors share a cell with
-probability 1 / (4 pi SCALE^2)^4, and are told apart by 128 sign bits before any vector is moved. Larger
+probability 1 / (4 pi SCALE^2)^4, and are told apart by 256 sign bits before any vector is moved. Larger
 tables want a larger scale, and more tables to keep the recall: both are arguments.
 """
 
@@ -39,7 +39,7 @@ SEED = 11
 #: Rounds of looking for balls, and the scale of their cells.
 BALL_ROUNDS, BALL_SCALE = 3, 0.5
 #: Sign bits of a vector. A linked pair differs in more than the bound below with odds under 1e-8.
-BITS, SIGMAS = 128, 6.0
+BITS, SIGMAS = 256, 6.0
 #: Angles are sure to this much.
 SURE = 1e-7
 VECTORS_AT_ONCE = 1024
