@@ -29,36 +29,40 @@ def bind_as(type_: str, value: Column, body: Callable[[Column], Column]) -> Colu
     return F.aggregate(F.array(value), start, lambda _, v: body(v).cast(type_))
 
 
+def _first_found(tiers: Sequence[int], within: Callable[[Column], Column]) -> Column:
+    """The first of ``within(n)``, an int, for growing ``n`` that is not NULL. A longer stretch is
+    looked at only when the shorter ones have nothing. It is a fold over the lengths, so that
+    ``within`` stands once in the plan."""
+    return F.aggregate(
+        F.array(*[F.lit(n) for n in tiers]), F.lit(None).cast("int"),
+        lambda found, n: F.when(found.isNotNull(), found).otherwise(within(n).cast("int")))
+
+
 def first_index(
-    arr: Column, start: Column, tiers: Sequence[int], hit: Callable[[Column], Column]
+    arr: Column, start: Column, tiers: Sequence[int], hit: Callable[[Column], Column],
+    most: Column | None = None,
 ) -> Column:
     """Offset (0-based, from ``start``) of the first element at or after the 0-based
-    position ``start`` for which ``hit`` is true, within ``tiers[-1]`` elements; NULL
-    if there is none.
-
-    The tiers are growing look-ahead lengths: ``coalesce`` is lazy, so a longer
-    stretch is looked at only when the shorter one has no hit.
-    """
-    def within(n: int) -> Column:
-        flags = F.transform(F.slice(arr, start + 1, F.lit(n)), hit)
-        return F.nullif(F.array_position(flags, F.lit(True)), F.lit(0).cast("bigint"))
+    position ``start`` for which ``hit`` is true, within ``tiers[-1]`` elements (and ``most``);
+    NULL if there is none. The tiers are growing look-ahead lengths."""
+    def within(n: Column) -> Column:
+        flags = F.transform(F.slice(arr, start + 1, n if most is None else F.least(n, most)), hit)
+        return F.nullif(F.array_position(flags, F.lit(True)), F.lit(0).cast("bigint")) - 1
 
-    return (F.coalesce(*[within(n) for n in tiers]) - 1).cast("int")
+    return _first_found(tiers, within)
 
 
 def last_index(
-    arr: Column, end: Column, tiers: Sequence[int | None], hit: Callable[[Column], Column]
+    arr: Column, end: Column, tiers: Sequence[int], hit: Callable[[Column], Column]
 ) -> Column:
     """0-based position of the last element at or before the 0-based position ``end``
-    for which ``hit`` is true; NULL if none. A tier of ``None`` looks back to the
-    start of the array."""
-    def within(n: int | None) -> Column:
-        first = F.lit(0) if n is None else F.greatest(F.lit(0), end - (n - 1))
+    for which ``hit`` is true, within ``tiers[-1]`` elements; NULL if none."""
+    def within(n: Column) -> Column:
+        first = F.greatest(F.lit(0), end - (n - 1))
         flags = F.reverse(F.transform(F.slice(arr, first + 1, end - first + 1), hit))
-        return F.nullif(F.array_position(flags, F.lit(True)), F.lit(0).cast("bigint"))
+        return end + 1 - F.nullif(F.array_position(flags, F.lit(True)), F.lit(0).cast("bigint"))
 
-    found = F.coalesce(*[within(n) for n in tiers])
-    return F.when(end >= 0, (end - found + 1).cast("int"))
+    return F.when(end >= 0, _first_found(tiers, within))
 
 
 def distinct_sorted(arr: Column) -> Column:

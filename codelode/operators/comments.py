@@ -12,12 +12,9 @@ from pyspark.sql import Column, functions as F
 
 from codelode.functions.hof import bind, first_index, last_index
 from codelode.functions.regex import rx, squeeze, trim
+from codelode.operators.limits import Limits, lines_of, stretches
 
-# What is cleaned out of comments, and how far they reach.
-COMMENT_MAX = 240
-BLOCK_COMMENT_LINES = 60
-SIGNATURE_LINES = 12
-DOCSTRING_LINES = 30
+# What is cleaned out of comments.
 DECORATION = r"^[\s=\-*#/~_+|:.]*$"
 TAG_LINE = (
     r"^(@\w|eslint-|prettier-|noqa|type:\s|pylint:|istanbul\s|ts-ignore|ts-expect-error|@ts-)"
@@ -27,10 +24,10 @@ SIGNATURE_END = r":\s*(#.*)?$"
 # Fixed values end.
 
 def join_comment(parts: Column) -> Column:
-    """One line of text: empty, decorative and tag lines dropped, spaces squeezed, cut."""
+    """One line of text: empty, decorative and tag lines dropped, spaces squeezed."""
     trimmed = F.transform(parts, trim)
     kept = F.filter(trimmed, lambda x: (x != "") & ~x.rlike(rx(DECORATION)) & ~x.rlike(rx(TAG_LINE)))
-    return F.substring(squeeze(F.array_join(kept, " ")), 1, COMMENT_MAX)
+    return squeeze(F.array_join(kept, " "))
 
 
 def _drop_end(s: Column, ending: Column) -> Column:
@@ -69,29 +66,29 @@ def _closed_on_line(t: Column, open_: Column, close: Column) -> Column:
     )
 
 
-def _block_above(lines: Column, last: Column, pair: Column) -> Column:
+def _block_above(lines: Column, last: Column, pair: Column, limit: int | None) -> Column:
     open_, close = pair["open"], pair["close"]
     t = F.get(lines, last)["t"]
-    opener = last_index(lines, last - 1, [6, BLOCK_COMMENT_LINES - 1],
+    opener = last_index(lines, last - 1, stretches(None if limit is None else limit - 1, 6),
                         lambda m: F.startswith(m["t"], open_))
     first = F.when(_closed_on_line(t, open_, close), last).otherwise(opener)
     return F.when(F.endswith(t, close), bind(first, lambda k: F.when(
         k.isNotNull(), join_comment(_block_texts(lines, k, last, open_, close)))))
 
 
-def comment_above(lines: Column, pos: Column, pairs: Column) -> Column:
-    """Comment right above line ``pos``: a run of line comments, or a block comment whose
-    last line is right above. Decorator lines between are skipped."""
+def comment_above(lines: Column, pos: Column, pairs: Column, limit: int | None) -> Column:
+    """Comment right above line ``pos``: a run of line comments, or a block comment of at most
+    ``limit`` lines whose last line is right above. Decorator lines between are skipped."""
     anchor = F.coalesce(
-        last_index(lines, pos - 1, [2, 16, None], lambda m: ~m["dec"]), F.lit(-1))
+        last_index(lines, pos - 1, stretches(None, 2), lambda m: ~m["dec"]), F.lit(-1))
 
     def at(j: Column) -> Column:
         stop = F.coalesce(last_index(
-            lines, j, [4, 32, None], lambda m: ~m["cmt"] | F.startswith(m["t"], F.lit("#!"))),
+            lines, j, stretches(None, 4), lambda m: ~m["cmt"] | F.startswith(m["t"], F.lit("#!"))),
             F.lit(-1))
 
         def from_run(k: Column) -> Column:
-            blocks = F.transform(pairs, lambda p: _block_above(lines, j, p))
+            blocks = F.transform(pairs, lambda p: _block_above(lines, j, p, limit))
             return (
                 F.when(k < j, join_comment(_line_texts(lines, k + 1, j)))
                 .when(j < 0, F.lit(""))
@@ -104,20 +101,21 @@ def comment_above(lines: Column, pos: Column, pairs: Column) -> Column:
     return bind(anchor, at)
 
 
-def docstring_below(lines: Column, pos: Column, pairs: Column) -> Column:
+def docstring_below(lines: Column, pos: Column, pairs: Column, limits: Limits) -> Column:
     """Docstring under the signature that starts at ``pos``; empty when there is none."""
     n = F.size(lines)
-    limit = F.least(n - 1, pos + SIGNATURE_LINES)
-    colon = first_index(lines, pos, [1, SIGNATURE_LINES + 1],
+    signature = lines_of(limits.signature_lines)
+    limit = F.least(n - 1, pos + signature)
+    colon = first_index(lines, pos, stretches(signature + 1, 1),
                         lambda m: m["l"].rlike(rx(SIGNATURE_END)))
 
     def body_of(j: Column, pair: Column) -> Column:
         open_, close = pair["open"], pair["close"]
         t = F.get(lines, j)["t"]
         rest = F.substring(t, F.length(open_) + 1, F.length(t))
-        closing = first_index(lines, j + 1, [4, DOCSTRING_LINES],
+        closing = first_index(lines, j + 1, stretches(limits.docstring_lines, 4),
                               lambda m: F.endswith(m["t"], close))
-        reach = F.least(n - 1, j + DOCSTRING_LINES)
+        reach = F.least(n - 1, j + lines_of(limits.docstring_lines))
         last = F.coalesce(j + 1 + closing, reach)
         inner = F.transform(
             F.slice(lines, j + 2, F.greatest(last - j, F.lit(0))), lambda m: m["t"])
@@ -130,7 +128,7 @@ def docstring_below(lines: Column, pos: Column, pairs: Column) -> Column:
 
     def after_colon(c: Column) -> Column:
         start = pos + c + 1
-        first = first_index(lines, start, [2, SIGNATURE_LINES], lambda m: m["t"] != "") + start
+        first = first_index(lines, start, stretches(limits.signature_lines, 2), lambda m: m["t"] != "") + start
         return bind(first, lambda j: F.when(j <= limit, F.coalesce(F.get(F.filter(
             F.transform(pairs, lambda p: body_of(j, p)),
             lambda d: d.isNotNull()), F.lit(0)), F.lit(""))))
@@ -138,10 +136,10 @@ def docstring_below(lines: Column, pos: Column, pairs: Column) -> Column:
     return F.coalesce(bind(colon, after_colon), F.lit(""))
 
 
-def file_header(lines: Column, pairs: Column) -> Column:
+def file_header(lines: Column, pairs: Column, limit: int | None) -> Column:
     """Comment block at the top of the file, after blank lines and a shebang."""
     n = F.size(lines)
-    begin = first_index(lines, F.lit(0), [4, 64, 2**30],
+    begin = first_index(lines, F.lit(0), stretches(None, 4),
                         lambda m: (m["t"] != "") & ~F.startswith(m["l"], F.lit("#!")))
 
     def block(i: Column, pair: Column) -> Column:
@@ -151,7 +149,7 @@ def file_header(lines: Column, pairs: Column) -> Column:
             F.endswith(t, close) & (F.length(t) > F.length(open_))
             & (F.length(t) >= F.length(open_) + F.length(close))
         )
-        closing = first_index(lines, i + 1, [8, BLOCK_COMMENT_LINES - 1],
+        closing = first_index(lines, i + 1, stretches(None if limit is None else limit - 1, 8),
                               lambda m: F.endswith(m["t"], close)) + i + 1
         last = F.when(same_line, i).otherwise(closing)
         return F.when(F.startswith(t, open_), bind(last, lambda j: F.when(
@@ -159,7 +157,7 @@ def file_header(lines: Column, pairs: Column) -> Column:
                 join_comment(_block_texts(lines, i, j, open_, close)))))
 
     def at(i: Column) -> Column:
-        run = F.coalesce(first_index(lines, i, [8, 2**30], lambda m: ~m["cmt"]), n - i)
+        run = F.coalesce(first_index(lines, i, stretches(None, 8), lambda m: ~m["cmt"]), n - i)
         blocks = F.transform(pairs, lambda p: block(i, p))
         return F.when(i.isNull(), F.lit("")).when(
             F.get(lines, i)["cmt"], join_comment(_line_texts(lines, i, i + run - 1))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codelode.functions.hof import bind, last_index
 from codelode.functions.numbers import rounded
+from codelode.operators.limits import stretches
 from codelode.operators.retrieve import cost
 from codelode.functions.paths import basename
 from codelode.functions.regex import rx, squeeze, trim
@@ -41,12 +42,6 @@ def read_commit_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
         trim(F.col("block")) != "")
 
 
-def log_blocks(logs: DataFrame) -> DataFrame:
-    """logs(repo, log) -> blocks(repo, block)."""
-    return logs.select("repo", F.explode(F.split("log", r"(?:^|\n)@@")).alias("block")).where(
-        trim(F.col("block")) != "")
-
-
 def parse_commits(blocks: DataFrame) -> DataFrame:
     """blocks(repo, block) -> commits(repo, hash, subject, body, files). The files are the
     trailing lines without white space; the body is what stands before them."""
@@ -57,11 +52,11 @@ def parse_commits(blocks: DataFrame) -> DataFrame:
         return trim(line).rlike(rx(r"^\S+$")) & ~F.startswith(trim(line), F.lit("@@"))
 
     def cut(lines: Column) -> Column:
-        last = F.coalesce(last_index(lines, F.size(lines) - 1, [4, None],
+        last = F.coalesce(last_index(lines, F.size(lines) - 1, stretches(None, 4),
                                      lambda m: trim(m) != ""), F.lit(-1))
 
         def at(end: Column) -> Column:
-            stop = F.coalesce(last_index(lines, end, [16, None], lambda m: ~path_like(m)), F.lit(-1))
+            stop = F.coalesce(last_index(lines, end, stretches(None, 16), lambda m: ~path_like(m)), F.lit(-1))
             return bind(stop, lambda s: F.struct(
                 F.transform(F.slice(lines, s + 2, F.greatest(end - s, F.lit(0))), trim).alias("files"),
                 F.slice(lines, F.lit(1), s + 1).alias("body")))
@@ -202,7 +197,7 @@ def bench_summary(rows: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "read_commit_log", "log_blocks", "parse_commits", "usable_commits", "target_filter",
+    "read_commit_log", "parse_commits", "usable_commits", "target_filter",
     "touched_files", "touched_in_map", "commit_tasks", "union_files", "first_hit_rank",
     "coverage_at_k", "bench_rows", "bench_summary",
 ]

@@ -18,6 +18,7 @@ from codelode.functions import paths as P
 from codelode.functions.hof import bind, bind_as
 from codelode.functions.regex import rx, trim
 from codelode.operators import blocks, comments, extras
+from codelode.operators.limits import Limits, lines_of
 from codelode.operators.routes import file_routes, first_routes
 from codelode.operators.rules import (
     LANGUAGES,
@@ -27,9 +28,6 @@ from codelode.operators.rules import (
     matches_sql,
 )
 
-# Fixed value: a decorator is forgotten after this many lines.
-MAX_DECORATOR_DISTANCE = 8
-
 DECORATED: dict[str, list[str]] = {}
 for _name, _spec in LANGUAGES.items():
     if _spec.decorator:
@@ -43,7 +41,7 @@ EXTRA_TYPE = (
 _HEAD_FIELDS = {
     "start": "int", "end": "int", "type": "string", "name": "string", "def_name": "string",
     "method": "string", "path": "string", "handler": "string", "parent": "string",
-    "kind": "string", "rest": "string", "is_def": "boolean",
+    "kind": "string", "rest": "string", "is_def": "boolean", "cut": "boolean",
 }
 _HEAD_TYPE = "struct<" + ",".join(f"{n}:{t}" for n, t in _HEAD_FIELDS.items()) + ">"
 _PENDING_TYPE = "struct<line:int,job:boolean,method:string,path:string>"
@@ -90,7 +88,7 @@ def _null(type_: str) -> Column:
     return F.lit(None).cast(type_)
 
 
-def unit_heads(lines: Column, brackets: Column) -> Column:
+def unit_heads(lines: Column, brackets: Column, limits: Limits) -> Column:
     """Accepted units of one file, in line order: array of heads (see ``_HEAD_FIELDS``),
     lines 0-based."""
     candidates = F.filter(
@@ -127,7 +125,8 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
             broken = F.exists(between, lambda m: (m["t"] != "") & ~m["cmt"] & ~m["dec"] & (
                 F.size(F.coalesce(m["m"], F.array().cast(MATCH_TYPE))) == 0))
             return F.when(
-                p.isNotNull() & (pos - p["line"] <= MAX_DECORATOR_DISTANCE), F.when(~broken, p))
+                p.isNotNull() & (pos - p["line"] <= lines_of(limits.decorator_lines)),
+                F.when(~broken, p))
 
         before = F.struct(
             F.slice(acc["scopes"], F.lit(1), depth).alias("scopes"),
@@ -166,7 +165,7 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
 
         def unit(end: Column, **fields) -> Column:
             values = {n: fields.get(n, _null(t)) for n, t in _HEAD_FIELDS.items()}
-            values |= {"start": pos, "end": end}
+            values |= {"start": pos, "end": end["end"], "cut": end["cut"]}
             return _struct(_HEAD_TYPE, values)
 
         unmatched = new_state(pending=F.when(c["cmt"] | c["dec"], pending).otherwise(
@@ -189,8 +188,8 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
 
             scope = _struct(_SCOPE_TYPE, {
                 "name": r["name"], "indent": indent, "start": pos,
-                "end": blocks.scope_end(lines, pos, end, indent),
-                "member": blocks.member_indent(lines, pos, end, indent)})
+                "end": blocks.scope_end(lines, pos, end["end"], indent),
+                "member": blocks.member_indent(lines, pos, end["end"], indent)})
             deeper = F.concat(b["scopes"], F.array(scope))
             as_scope = new_state(scopes=deeper)
 
@@ -200,7 +199,7 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
                 pending["method"].isNotNull() | pending["path"].isNotNull())
             full_path = extras.join_path(b["prefix"], pending["path"])
             verb = F.coalesce(pending["method"], F.lit("ANY"))
-            end_here = F.greatest(acc["last_top"], end)
+            end_here = F.greatest(acc["last_top"], end["end"])
             as_def = new_state(
                 head=unit(
                     end, is_def=F.lit(True), def_name=r["name"],
@@ -224,7 +223,8 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
             )
 
         needs_end = bind(
-            blocks.block_end(lines, brackets, pos, indent, F.col("_block")), with_end)
+            blocks.block_end(lines, brackets, pos, indent, F.col("_block"), limits.block_lines),
+            with_end)
         return (
             F.when(r.isNull(), unmatched).when(r["kind"] == "prefix", prefixed)
             .when(r["kind"] == "decorator", decorated).otherwise(needs_end)
@@ -257,17 +257,22 @@ def unit_heads(lines: Column, brackets: Column) -> Column:
     return fold(candidates, start, [256, 16])["out"]
 
 
-def _comment_of(lines: Column, u: Column) -> Column:
+def _comment_of(lines: Column, u: Column, limits: Limits) -> Column:
     pairs = F.col("_pairs")
-    above = comments.comment_above(lines, u["start"], pairs)
+    above = comments.comment_above(lines, u["start"], pairs, limits.comment_lines)
     below = F.when(F.col("_docstring") & u["is_def"],
-                   comments.docstring_below(lines, u["start"], pairs))
+                   comments.docstring_below(lines, u["start"], pairs, limits))
     return F.coalesce(F.nullif(below, F.lit("")), above)
 
 
+def _short(text: Column, limits: Limits) -> Column:
+    return text if limits.comment_chars is None else F.substring(text, 1, limits.comment_chars)
+
+
 @cache
-def _mined() -> Column:
-    """struct(n_lines, header, units) of one file; units carry their comment and body.
+def _mined(limits: Limits) -> Column:
+    """struct(n_lines, header, units) of one file; units carry their comment and body, and whether
+    a limit cut either.
 
     Over the columns that :func:`mine_files` puts beside the text. It depends on nothing
     else, so it is built once per process."""
@@ -280,23 +285,27 @@ def _mined() -> Column:
             return F.array_join(F.transform(own, lambda m: m["l"]), "\n")
 
         def with_heads(heads: Column) -> Column:
-            units = F.transform(heads, lambda u: F.struct(
-                u.alias("u"), _comment_of(lines, u).alias("comment"), body(u).alias("body")))
+            units = F.transform(heads, lambda u: bind(_comment_of(lines, u, limits), lambda c: F.struct(
+                u.alias("u"), _short(c, limits).alias("comment"),
+                (u["cut"] | (F.length(c) > lines_of(limits.comment_chars))).alias("cut"),
+                body(u).alias("body"))))
+            header = comments.file_header(lines, F.col("_pairs"), limits.comment_lines)
             return F.struct(
-                F.size(lines).alias("n_lines"),
-                comments.file_header(lines, F.col("_pairs")).alias("header"),
+                F.size(lines).alias("n_lines"), _short(header, limits).alias("header"),
                 units.alias("units"))
 
-        return bind(brackets, lambda br: bind(unit_heads(lines, br), with_heads))
+        return bind(brackets, lambda br: bind(unit_heads(lines, br, limits), with_heads))
 
     matched = F.expr(matches_sql("_lang", "_lines", "_ascii"))
     return bind(matched, lambda found: bind(
         line_array(F.col("_lines"), F.col("_lang"), found), with_lines))
 
 
-def mine_files(files: DataFrame, areas: list[tuple[str, str]] = ()) -> DataFrame:
+def mine_files(files: DataFrame, areas: list[tuple[str, str]] = (),
+               limits: Limits = Limits()) -> DataFrame:
     """files(repo, path, text[, lang]) -> one row per file with its mined units. Both the unit
-    table and the file table come from it; save it when both are wanted."""
+    table and the file table come from it; save it when both are wanted. ``limits`` is how far
+    blocks and comments reach; units that a limit cut say so."""
     lang = F.col("lang") if "lang" in files.columns else P.detect_lang(F.col("path"))
     text = F.coalesce(F.col("text"), F.lit(""))
     return files.select(
@@ -309,7 +318,7 @@ def mine_files(files: DataFrame, areas: list[tuple[str, str]] = ()) -> DataFrame
         "*", *[c.alias(n) for n, c in language_columns(F.col("_lang")).items()],
     ).select(
         "repo", "file", F.nullif("_lang", F.lit("")).alias("lang"), "area",
-        _mined().alias("mined"), file_routes(F.col("text")).alias("routes"), "text",
+        _mined(limits).alias("mined"), file_routes(F.col("text"), limits).alias("routes"), "text",
     ).withColumn("text", F.when(F.size("mined.units") == 0, F.col("text")))
 
 
@@ -346,7 +355,7 @@ def _whole_file(mined: Column, text: Column, file: Column) -> Column:
     head |= {"start": F.lit(0), "end": F.greatest(mined["n_lines"] - 1, F.lit(0)),
              "type": F.lit("file"), "name": F.substring_index(file, "/", -1)}
     return F.array(F.struct(
-        _struct(_HEAD_TYPE, head).alias("u"), mined["header"].alias("comment"),
+        _struct(_HEAD_TYPE, head).alias("u"), mined["header"].alias("comment"), F.lit(False).alias("cut"),
         F.regexp_replace(text, "\r\n", "\n").alias("body")))
 
 
@@ -374,7 +383,7 @@ def mined_units(mined: DataFrame, routes: DataFrame | None = None, *,
     rest = F.when(u["rest"].isNotNull(), extras.middleware(u["rest"]))
     flat = rows.select(
         "repo", "file", "lang", "area", u.alias("u"), F.col("x.comment").alias("comment"),
-        F.when(component, u["def_name"]).alias("_component"),
+        F.col("x.cut").alias("cut"), F.when(component, u["def_name"]).alias("_component"),
         *[c.alias(n) for n, c in found.items()],
         F.when(F.size(rest) > 0, rest).alias("middleware"),
         *[F.when(F.col("_nth") == 0, F.col(c)).alias(c) for c in FILE_FACTS])
@@ -390,7 +399,8 @@ def mined_units(mined: DataFrame, routes: DataFrame | None = None, *,
         F.concat(F.col("file"), F.lit(":"), start.cast("string"), F.lit(" "), u["name"]).alias("id"),
         "file", "lang", type_.alias("type"), u["name"].alias("name"),
         start.alias("start"), (u["end"] + 1).alias("end"),
-        "comment", F.col("comment").alias("description"), "area", extra.alias("extra"), *FACTS)
+        "comment", F.col("comment").alias("description"), "area", extra.alias("extra"), "cut",
+        *FACTS)
     if routes is not None:
         units = with_pages(units, routes)
     return units if with_facts else units.drop(*FACTS)

@@ -10,7 +10,7 @@ task parts are few enough to broadcast (checked, not assumed), the join filters
 where it lies and sums per (part, unit) there; no row of the index is moved. What moves are
 those sums, and not even they when the index is a table bucketed by unit. The last step keeps
 the best n units per part inside each partition before the ranks are shuffled (window group
-limit).
+limit). Searches over a large index build few of the pairs (``early_stop``).
 
 When the task side is too large to broadcast, both sides are joined on
 (repo, stem, salt): a stem that very many units share gets as many salts as its rows ask for,
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codelode.functions import text as T
 from codelode.functions.hof import bind, join_present
 from codelode.functions.numbers import rounded
+from codelode.operators import early_stop
+from codelode.operators.early_stop import PART_KEY, UNIT_KEY
 from codelode.sources.scratch import saved
 
 # Sizes and wording of the ranking requests and results.
@@ -45,13 +47,12 @@ CHOICE_QUESTION = (
 )
 # Fixed values end.
 
-UNIT_KEY = ["repo", "file", "start"]
-PART_KEY = ["repo", "task_id", "part_no"]
-
 # Task text up to this many characters is broadcast; above it the salted join is used.
 BROADCAST_TASK_CHARS = 16 * 1024 * 1024
 #: Rows of one join key that go to one task; a key with more is dealt out by a salt.
 ROWS_PER_SALT = 1_000_000
+#: Rows of an index from which searches stop early. Below, summing all pairs takes less time.
+EARLY_ROWS = 50_000_000
 
 
 def parts(tasks: DataFrame, split: str = "heuristic", most: int | None = None) -> DataFrame:
@@ -145,9 +146,31 @@ def _best(df: DataFrame, by: Column, n: int, rank: str) -> DataFrame:
     return df.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)
 
 
-def prefilter(task_parts: DataFrame, index: DataFrame, n: int = CANDIDATES, **options) -> DataFrame:
-    """Best n units per part by keyword score: adds ``score`` and ``rank``."""
-    return _best(keyword_scores(task_parts, index, **options), F.col("score"), n, "rank")
+def prefilter(
+    task_parts: DataFrame, index: DataFrame, n: int = CANDIDATES, *,
+    broadcast_chars: int = BROADCAST_TASK_CHARS, salts: int | None = None, early: bool = False,
+) -> DataFrame:
+    """Best n units per part by keyword score: adds ``score`` and ``rank``.
+
+    ``early``: pairs that cannot be among the best n are not built (see ``early_stop``), if the task
+    side can be broadcast. ``index`` is then read twice and must be stored. It takes more jobs, and pays
+    for large indexes; results are the same."""
+    firsts = task_parts.groupBy("repo", "part").agg(F.min(F.struct("task_id", "part_no")).alias("_f")).select(
+        "repo", "_f.task_id", "_f.part_no", "part")
+    # messages and requests repeat: equal parts of a repository are scored once
+    repeats = task_parts.count() > firsts.count()
+    scored_parts = saved(firsts, "parts") if repeats else task_parts
+    if early and _fits_broadcast(scored_parts, broadcast_chars):
+        scored, _ = early_stop.candidates(part_stems(scored_parts), index, n)
+    else:
+        scored = keyword_scores(scored_parts, index, broadcast_chars=broadcast_chars, salts=salts)
+    best = _best(scored, F.col("score"), n, "rank")
+    if not repeats:
+        return best
+    named = scored_parts.withColumnsRenamed({"task_id": "_task", "part_no": "_part"})
+    best = best.withColumnsRenamed({"task_id": "_task", "part_no": "_part"})
+    return (task_parts.join(named, ["repo", "part"]).join(best, ["repo", "_task", "_part"])
+            .select(*PART_KEY, "file", "start", "score", "rank"))
 
 
 def unit_label() -> Column:
@@ -398,24 +421,55 @@ def task_cost(usage: DataFrame) -> DataFrame:
         rounded(F.sum(cost(F.col("tokens"))), 6).alias("cost_usd"))
 
 
+#: Variable segments of a path: ``:id``, ``{id}``, ``<id>``, ``${..}``.
+PATH_VARIABLE = r"\$\{[^}]*\}|\{[^}]*\}|<[^>]*>|:\w+"
+
+
+def path_segments(path: Column) -> Column:
+    """Segments of a path, variables as ``*``. Queries and a slash at the end are left out."""
+    bare = F.regexp_replace(path, r"[?#].*", "")
+    return F.split(F.regexp_replace(
+        F.regexp_replace(bare, PATH_VARIABLE, "*"), r"(?<=.)/+$", ""), "/", -1)
+
+
+def _resolved(paths: DataFrame, templates: DataFrame, rows: int) -> DataFrame:
+    """paths(repo, call) and templates(repo, key, mask, n) -> (repo, call, key): the template that
+    each path meets, the most specific one (literal segments count from the left).
+
+    A template's mask says which of its segments are variable. A repository has few different masks
+    for a length, so a path is tried once per mask: its segments under the mask become ``*``, and what
+    comes out is looked up among the templates. No path meets a template it does not match.
+    """
+    masks = templates.select("repo", "n", "mask").distinct()
+    split = paths.withColumn("segs", path_segments(F.col("call"))).withColumn("n", F.size("segs"))
+    dealt, spread = salted(split, masks, ["repo", "n"], ["call"], rows)
+    masked = F.transform("segs", lambda s, i: F.when(
+        F.substring("mask", i + 1, F.lit(1)) == "1", F.lit("*")).otherwise(s))
+    tried = dealt.join(spread, ["repo", "n", "salt"]).select(
+        "repo", "call", "mask", F.array_join(masked, "/").alias("key"))
+    met = tried.join(templates.select("repo", "mask", "key").distinct(), ["repo", "mask", "key"], "left_semi")
+    return met.groupBy("repo", "call").agg(F.min_by("key", "mask").alias("key"))
+
+
 def callers_of(units: DataFrame, rows: int = ROWS_PER_SALT) -> DataFrame:
-    """Which units call which endpoints: (repo, path, endpoint, caller). Path variables
-    (``:id``, ``{id}``, ``<id>``, ``${..}``) match each other and queries are ignored.
+    """Which units call which endpoints: (repo, path, endpoint, caller, call). A call meets an
+    endpoint whose path has as many segments, each equal to the call's or variable (``:id``, ``{id}``,
+    ``<id>``, ``${..}``): ``/users/42`` and ``/users/${id}`` meet ``/users/:id``. Of several paths the
+    most specific one is met, as a router would choose. Queries are ignored.
 
     A path that very many units call is one join key, which is dealt out by a salt."""
-    def normal(path: Column) -> Column:
-        bare = F.regexp_replace(path, r"[?#].*", "")
-        holes = F.regexp_replace(bare, r"\$\{[^}]*\}|\{[^}]*\}|<[^>]*>|:\w+", "*")
-        return F.regexp_replace(holes, r"(?<=.)/+$", "")
-
-    ends = units.where((F.col("type") == "endpoint") & F.col("extra.path").isNotNull()).select(
+    variable = lambda s: F.when(s == "*", F.lit("1")).otherwise(F.lit("0"))
+    ends = saved(units.where((F.col("type") == "endpoint") & F.col("extra.path").isNotNull()).select(
         "repo", F.col("extra.path").alias("path"), F.col("id").alias("endpoint"),
-        normal(F.col("extra.path")).alias("key"))
-    calls = units.select(
-        "repo", F.col("id").alias("caller"), F.explode("extra.calls").alias("call")
-    ).select("repo", "caller", "call", normal(F.col("call")).alias("key"))
-    dealt, spread = salted(calls, ends, ["repo", "key"], ["caller", "call"], rows)
-    return spread.join(dealt, ["repo", "key", "salt"]).select(
+        path_segments(F.col("extra.path")).alias("segs")).select(
+        "repo", "path", "endpoint", F.array_join("segs", "/").alias("key"),
+        F.array_join(F.transform("segs", variable), "").alias("mask"), F.size("segs").alias("n")), "endpoints")
+    calls = saved(units.select(
+        "repo", F.col("id").alias("caller"), F.explode("extra.calls").alias("call")), "calls")
+    met = saved(_resolved(calls.select("repo", "call").distinct(), ends, rows), "resolved")
+    dealt, spread = salted(met, ends.select("repo", "path", "endpoint", "key"), ["repo", "key"], ["call"], rows)
+    targets = saved(dealt.join(spread, ["repo", "key", "salt"]).select(
+        "repo", "call", "path", "endpoint"), "targets")
+    dealt, spread = salted(calls, targets, ["repo", "call"], ["caller"], rows)
+    return dealt.join(spread, ["repo", "call", "salt"]).select(
         "repo", "path", "endpoint", "caller", "call")
-
-

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.functions.hof import bind
 from codelode.functions.regex import rx
+from codelode.operators.limits import Limits, lines_of
 
 # Forms of a route declaration.
 ROUTE_GATE = r"<Route\b|\bpath\s*:"
@@ -21,7 +22,6 @@ ROUTE_OBJECT_REVERSED = (
     r"\{[^{}]*?\b(?:element\s*:\s*<(\w+)[^{}]*?|(?:component|Component)\s*:\s*(\w+)[^{}]*?)"
     r"""\bpath\s*:\s*['"`]([^'"`]+)['"`]"""
 )
-UNCLOSED_TAG = 500
 # Fixed values end.
 
 ROUTE_TYPE = "array<struct<component:string,route:string>>"
@@ -56,13 +56,13 @@ def _tag_attributes(rest: Column) -> Column:
         lambda a: F.when(a["done"], a["text"])))
 
 
-def _from_tags(text: Column) -> Column:
+def _from_tags(text: Column, unclosed: int | None) -> Column:
     def of(pieces: Column) -> Column:
         def one(piece: Column, i: Column) -> Column:
             # A tag usually closes before the next one starts; if not, read on.
             rest = F.array_join(F.slice(pieces, i + 2, F.size(pieces)), "<Route")
             attrs = F.coalesce(_tag_attributes(piece), _tag_attributes(rest),
-                               F.substring(rest, 1, UNCLOSED_TAG))
+                               F.substring(rest, 1, lines_of(unclosed)))
             return bind(attrs, lambda a: F.struct(
                 F.coalesce(*[_first_group(a, p, [1]) for p in TAG_COMPONENT]).alias("component"),
                 _first_group(a, TAG_PATH, [1, 2]).alias("route")))
@@ -79,10 +79,11 @@ def _from_objects(text: Column, pattern: str, name: list[int], route: int) -> Co
         _first_group(m, pattern, [route]).alias("route")))
 
 
-def file_routes(text: Column) -> Column:
-    """Routes declared in one file, in order of precedence; NULL for most files."""
+def file_routes(text: Column, limits: Limits = Limits()) -> Column:
+    """Routes declared in one file, in order of precedence; NULL for most files. A tag reaches to its
+    end, however long it is; one that never ends is read up to a limit."""
     found = F.concat(
-        _from_tags(text).cast(ROUTE_TYPE),
+        _from_tags(text, limits.unclosed_tag_chars).cast(ROUTE_TYPE),
         _from_objects(text, ROUTE_OBJECT, [2, 3], 1).cast(ROUTE_TYPE),
         _from_objects(text, ROUTE_OBJECT_REVERSED, [1, 2], 3).cast(ROUTE_TYPE))
     return F.when(text.rlike(rx(ROUTE_GATE)), F.filter(

@@ -13,6 +13,7 @@ from codelode.operators.extract import (
     route_table_of,
     with_pages,
 )
+from codelode.operators.limits import Limits
 from codelode.sources.corpus import is_minified, list_files
 from codelode.sources.scratch import saved
 
@@ -25,15 +26,16 @@ def scanned(files: DataFrame, include=(), exclude=(), unique: bool = False) -> D
 def build_map(
     files: DataFrame, *, include: list[str] = (), exclude: list[str] = (),
     areas: list[tuple[str, str]] = (), descriptions: DataFrame | None = None,
-    unique: bool = False,
+    unique: bool = False, limits: Limits = Limits(),
 ) -> tuple[DataFrame, DataFrame]:
-    """files(repo, path, size, text) -> (units, file stats).
+    """files(repo, path, size, text) -> (units, file stats). ``limits`` is how far blocks and
+    comments reach.
 
     The files are read once: units are mined together with the facts about their file and
     saved, without any source text. The file table and the route table come from the saved
     rows, and so do the pages, which need the routes of the whole repository."""
     chosen = scanned(files, include, exclude, unique)
-    rows = saved(mined_units(mine_files(chosen, areas), with_facts=True), "units")
+    rows = saved(mined_units(mine_files(chosen, areas, limits), with_facts=True), "units")
     units = with_pages(rows, route_table_of(rows)).drop(*FACTS)
     if descriptions is not None:
         units = merge_descriptions(units, descriptions)

@@ -15,7 +15,7 @@ def find(
     batch: int = R.SCAN_BATCH, answers: DataFrame | None = None, usage: DataFrame | None = None,
     index: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """tasks(repo, task_id, text) -> {parts, units, files}.
+    """tasks(repo, task_id, text) -> {parts, units, files}. ``index`` is a stored one of the units.
 
     ``answers`` come from a model: for a scan (PART_KEY, file, start, p), for a prefilter
     (PART_KEY, k, p) with k = u1..uN, none, confidence. Parts without answers are ranked by
@@ -30,10 +30,11 @@ def find(
     parts = saved(R.parts(tasks, split, most_parts), "parts")
     index = saved(R.token_index(units), "stems") if index is None else index
     wide = max(top, candidates)
+    early = index.count() >= R.EARLY_ROWS
     nothing = F.lit(None).cast("double")
     if answers is None:
         none_given = parts.select(*R.PART_KEY).where(F.lit(False))
-        ranked = R.prefilter(parts, index, wide).withColumn("p", nothing)
+        ranked = R.prefilter(parts, index, wide, early=early).withColumn("p", nothing)
         files = R.rank_files(ranked, by="score").withColumn("p", nothing)
         best = ranked.where(F.col("rank") <= top)
         return {"parts": _reported(parts, none_given, None, mode, units, batch, usage, None),
@@ -41,10 +42,10 @@ def find(
 
     answered = parts.join(answers.select(*R.PART_KEY).distinct(), R.PART_KEY, "left_semi")
     empty = R.parts_without_candidates(parts, index) if mode == "prefilter" else None
-    fallback = saved(R.keyword_fallback(parts, answered, index, top, candidates).drop("note"),
+    fallback = saved(R.keyword_fallback(parts, answered, index, top, candidates, early=early).drop("note"),
                      "fallback")
     if mode == "prefilter":
-        cands = R.prefilter(answered, index, candidates)
+        cands = R.prefilter(answered, index, candidates, early=early)
         scored = saved(R.rerank_choice(cands, answers).drop("keyword_rank"), "scored")
         ranked, files = scored.where(F.col("rank") <= top), _files_by_rank(scored)
     else:

@@ -107,6 +107,7 @@ class {cls} {
 
 const {cls}List = () => {
   axios.get(`${BASE}/api/{fn}/${id}`);
+  fetch('/api/{fn}/{k}?full=1');
   return <Table rows={rows} />;
 };
 """),

@@ -15,6 +15,7 @@ from codelode.operators import extract as X
 from codelode.operators import retrieve as R
 from codelode.operators.extras import TABLE_STOP_WORDS, tables_in
 from codelode.operators.routes import route_table
+from codelode.plans.bench import bench
 from codelode.plans.build import build_map, scanned
 from codelode.plans.find import find
 from codelode.queries.check_code import files_query, units_query
@@ -101,19 +102,30 @@ WHOLE_ITEMS = (
 )
 
 
-def _prefiltered(spark: SparkSession, sf_dir: str, n: int = R.CANDIDATES) -> DataFrame:
+def _prefiltered(spark: SparkSession, sf_dir: str, early: bool = False) -> DataFrame:
     parts = R.parts(bench_tasks(spark, sf_dir), "none")
-    return R.prefilter(parts, R.token_index(doc_units(spark, sf_dir)), n)
+    index = R.token_index(doc_units(spark, sf_dir))
+    return R.prefilter(parts, saved(index, "stems") if early else index, early=early)
 
 
-@query(f"WITH {scores_sql('source', WHOLE_ITEMS)} "
-       "SELECT item AS task_id, rank, file, doc AS doc_id, score FROM scored WHERE rank <= 40")
+BEST_DOCUMENTS = (f"WITH {scores_sql('source', WHOLE_ITEMS)} "
+                  "SELECT item AS task_id, rank, file, doc AS doc_id, score FROM scored WHERE rank <= 40")
+
+
+@query(BEST_DOCUMENTS)
 def prefilter_topk(spark, sf_dir):
     """The 40 best documents of every benchmark item by keyword score."""
     return _prefiltered(spark, sf_dir).select(
         "task_id", "rank", "file", F.col("start").cast("bigint").alias("doc_id"), "score")
 
 
+@query(BEST_DOCUMENTS)
+def prefilter_early(spark, sf_dir):
+    """The same from a stored index, without the pairs that cannot be among them."""
+    return _prefiltered(spark, sf_dir, early=True).select(
+        "task_id", "rank", "file", F.col("start").cast("bigint").alias("doc_id"), "score")
+
+
 RANKED_FILES = """
 , files_best AS (SELECT item, part_no, file, max(score) AS score, min(rank) AS r FROM scored WHERE rank <= 40 GROUP BY ALL)
 , files_ranked AS (SELECT *, row_number() OVER (PARTITION BY item, part_no ORDER BY r) AS rank FROM files_best)
@@ -362,10 +374,17 @@ def code_routes(spark, sf_dir):
     return route_table(scanned(code_files(spark, sf_dir), unique=True))
 
 
-@query(units_query("""SELECT e.repo, e.path, e.id AS endpoint, c.id AS caller, c.call
-FROM (SELECT *, regexp_replace(path, '\\{[^}]*\\}|<[^>]*>|:\\w+', '*', 'g') AS key FROM units WHERE type = 'endpoint') e
-JOIN (SELECT repo, id, unnest(calls) AS call FROM units) c
- ON c.repo = e.repo AND regexp_replace(c.call, '\\$\\{[^}]*\\}', '*', 'g') = e.key"""))
+@query(units_query(r"""SELECT repo, path, endpoint, caller, call FROM (
+ SELECT *, min(mask) OVER (PARTITION BY repo, call) AS best FROM (
+  SELECT e.repo, e.path, e.id AS endpoint, c.id AS caller, c.call,
+   array_to_string(list_transform(e.segs, lambda s: CASE WHEN s = '*' THEN '1' ELSE '0' END), '') AS mask
+  FROM (SELECT *, string_split(regexp_replace(path, '\{[^}]*\}|<[^>]*>|:\w+', '*', 'g'), '/') AS segs
+   FROM units WHERE type = 'endpoint') e
+  JOIN (SELECT repo, id, call, string_split(regexp_replace(regexp_replace(call, '\?.*', ''), '\$\{[^}]*\}', '*', 'g'), '/') AS segs
+   FROM (SELECT repo, id, unnest(calls) AS call FROM units)) c
+  ON c.repo = e.repo AND len(c.segs) = len(e.segs)
+   AND list_bool_and(list_transform(list_zip(c.segs, e.segs), lambda z: z[2] = '*' OR z[1] = z[2]))))
+WHERE mask = best"""))
 def code_callers(spark, sf_dir):
     """Which units call which endpoints."""
     return R.callers_of(saved(_units_without_routes(spark, sf_dir), "units"))
@@ -989,3 +1008,111 @@ def commit_targets(spark, sf_dir):
     touched = E.touched_in_map(E.target_filter(E.touched_files(commits)), known)
     return touched.join(commits, ["repo", "hash"]).select("hash", "task", "path")
 
+
+# --------------------------------------------------------------- searches and evaluation over code
+
+def unit_scores_sql(parts: str) -> str:
+    """CTEs ending in ranked_units(repo, item, part_no, file, start, score, rank) for the unit table
+    and a CTE parts(repo, item, part_no, part). Equal texts of a repository are scored once."""
+    return f"""
+{parts},
+unit_texts AS (
+  SELECT repo, file, first_line AS start,
+    {tokens("concat_ws(' ', id, name, file, area, nullif(comment, ''), path, route, parent, array_to_string(tables, ' '), array_to_string(calls, ' '), array_to_string(emits, ' '))")} AS ws,
+    {tokens("concat_ws(' ', name, file, path, route)")} AS ns
+  FROM units
+),
+unit_words AS (SELECT DISTINCT repo, file, start, unnest(ws) AS word FROM unit_texts),
+unit_names AS (SELECT DISTINCT repo, file, start, unnest(ns) AS word FROM unit_texts),
+texts AS (SELECT DISTINCT repo, part FROM parts),
+text_words AS (SELECT DISTINCT repo, part, unnest({tokens("part")}) AS word FROM texts),
+vocab AS (SELECT word FROM unit_words UNION SELECT word FROM text_words),
+{stem_ctes("vocab")},
+unit_stems AS (SELECT DISTINCT repo, file, start, stem FROM unit_words JOIN stems USING (word)),
+unit_name_stems AS (SELECT DISTINCT repo, file, start, stem, true AS named FROM unit_names JOIN stems USING (word)),
+text_stems AS (SELECT DISTINCT repo, part, stem FROM text_words JOIN stems USING (word)),
+text_scores AS (
+  SELECT t.repo, t.part, u.file, u.start, CAST(sum(CASE WHEN n.named THEN 1.5 ELSE 1.0 END) AS double) AS score
+  FROM text_stems t JOIN unit_stems u USING (repo, stem) LEFT JOIN unit_name_stems n USING (repo, file, start, stem)
+  GROUP BY ALL
+),
+text_ranks AS (
+  SELECT *, row_number() OVER (PARTITION BY repo, part ORDER BY score DESC, file, start) AS rank FROM text_scores
+),
+ranked_units AS (SELECT p.item, p.part_no, r.* FROM parts p JOIN text_ranks r USING (repo, part) WHERE rank <= 40)"""
+
+
+MIXED_TASKS = """SELECT concat('r', CAST(p_partkey % 25 AS varchar(20)), '/', CAST(p_partkey AS varchar(20))) AS id,
+ concat('List ', p_name, ' of customers; then read the stock of ', replace(lower(p_type), ' ', '_'), ' by id') AS text FROM part"""
+
+
+@query(units_query("""SELECT split_part(item, '/', 2) AS task_id, repo, part_no, rank, r.file, u.id, u.name, start AS line,
+ left(u.comment, 120) AS description, score
+FROM ranked_units r JOIN units u USING (repo, file) WHERE u.first_line = start AND rank <= 15""",
+    unit_scores_sql(split_ctes(MIXED_TASKS, "split_")
+                    + ", parts AS (SELECT split_part(id, '/', 1) AS repo, id AS item, part_no, part FROM split_parts)")))
+def find_mixed(spark, sf_dir):
+    """Keyword search over mined units: names, paths, routes, parents, tables, calls and events of
+    endpoints, pages, classes and jobs, for two-part tasks of every part."""
+    units, _ = code_map(spark, sf_dir)
+    task = spark.sql(MIXED_TASKS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    at = F.split("id", "/")
+    tasks = task.select(F.get(at, F.lit(0)).alias("repo"), F.get(at, F.lit(1)).alias("task_id"), "text")
+    found = find(tasks, saved(units, "units"), mode="prefilter")
+    return found["units"].select(
+        "task_id", "repo", F.col("part_no").cast("bigint").alias("part_no"),
+        F.col("rank").cast("bigint").alias("rank"), "file", "id", "name", "line", "description", "score")
+
+
+LOG_BENCH_SQL = f"""{COMMITS_SQL.replace("bodies", "commit_bodies").replace("rows AS", "log_rows AS").replace("FROM rows ", "FROM log_rows ")},
+ tasks AS (SELECT hash AS item, task FROM usable WHERE hash IN (SELECT hash FROM targets)),
+{unit_scores_sql("parts AS (SELECT 'all' AS repo, item, 1 AS part_no, task AS part FROM tasks)").replace("FROM units\n", "FROM (SELECT * REPLACE ('all' AS repo) FROM units)\n")},
+ by_file AS (SELECT item, file, max(score) AS score, min(rank) AS r FROM ranked_units GROUP BY ALL),
+ keyword_files AS (SELECT item, file, row_number() OVER (PARTITION BY item ORDER BY r) AS rank FROM by_file),
+ map_files AS (SELECT file, row_number() OVER (ORDER BY file) AS n FROM (SELECT DISTINCT file FROM units)),
+ given AS (SELECT hash AS item, min(path) AS file FROM targets WHERE CAST(hash AS bigint) % 3 = 0 GROUP BY ALL),
+ scan_files AS (SELECT item, file, 1 AS rank FROM given
+  UNION ALL SELECT item, f, 1 + row_number() OVER (PARTITION BY item ORDER BY n) FROM (
+   SELECT g.item, m.file AS f, n FROM given g JOIN map_files m ON m.n <= 11 AND m.file <> g.file)),
+ proposed AS (SELECT 'prefilter' AS mode, item, file, rank FROM keyword_files
+  UNION ALL SELECT 'scan', item, file, rank FROM keyword_files WHERE item NOT IN (SELECT item FROM given)
+  UNION ALL SELECT 'scan', item, file, rank FROM scan_files),
+ log_bench AS (SELECT m.mode, t.hash AS task_id, count(*) AS targets, coalesce(min(p.rank), 0) AS rank,
+   floor(count(*) FILTER (p.rank <= 1) / count(*) * 1000 + 0.5) / 1000 AS coverage1,
+   floor(count(*) FILTER (p.rank <= 3) / count(*) * 1000 + 0.5) / 1000 AS coverage3
+  FROM targets t CROSS JOIN (SELECT unnest(['prefilter', 'scan']) AS mode) m
+  LEFT JOIN (SELECT * FROM proposed WHERE rank <= 10) p ON p.mode = m.mode AND p.item = t.hash AND p.file = t.path GROUP BY ALL)"""
+
+
+def _log_bench(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The log as a file, read record by record, and both modes over the units of all
+    repositories: a scan with an answer for one file of every third commit, and keyword order."""
+    mapped, _ = code_map(spark, sf_dir)
+    units = saved(mapped.withColumn("repo", F.lit("all")), "units")
+    path = f"{shared_folder(spark)}/codelode/log-{uuid.uuid4().hex}"
+    commit_blocks(spark, sf_dir).select("block").write.option("lineSep", "\n@@").text(path)
+    blocks = E.read_commit_log(spark, path, "all")
+    files = units.select("repo", "file").distinct()
+    commits = saved(E.usable_commits(E.parse_commits(blocks)), "commits")
+    touched = E.touched_in_map(E.target_filter(E.touched_files(commits)), files)
+    asked = touched.where(F.col("hash").cast("bigint") % 3 == 0).groupBy("repo", "hash").agg(F.min("path").alias("file"))
+    first = units.groupBy("repo", "file").agg(F.min("start").alias("start"))
+    answers = asked.join(first, ["repo", "file"]).select(
+        "repo", F.col("hash").alias("task_id"), F.lit(1).alias("part_no"), "file", "start", F.lit(0.9).alias("p"))
+    return bench(blocks, units, files, split="none", answers={"prefilter": None, "scan": saved(answers, "answers")})
+
+
+@query(units_query("SELECT mode, task_id, targets, rank, coverage1, coverage3 FROM log_bench", LOG_BENCH_SQL))
+def bench_log(spark, sf_dir):
+    """Evaluation rows of a commit log, per commit and mode."""
+    return _log_bench(spark, sf_dir)[0].select(
+        "mode", "task_id", "targets", F.col("rank").cast("bigint").alias("rank"), "coverage1", "coverage3")
+
+
+@query(units_query("""SELECT mode, count(*) AS commits,
+ CAST(floor(100 * count(*) FILTER (rank = 1) / count(*) + 0.5) AS integer) AS top1,
+ CAST(floor(100 * count(*) FILTER (rank BETWEEN 1 AND 5) / count(*) + 0.5) AS integer) AS top5,
+ CAST(floor(100 * avg(coverage3) + 0.5) AS integer) AS coverage_top3 FROM log_bench GROUP BY ALL""", LOG_BENCH_SQL))
+def bench_log_summary(spark, sf_dir):
+    """Their summary per mode."""
+    return _log_bench(spark, sf_dir)[1].select("mode", "commits", "top1", "top5", "coverage_top3")

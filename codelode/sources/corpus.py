@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from codelode.functions import paths as P
 from codelode.functions.hof import bind
 from codelode.functions.regex import trim
+from codelode.sources.scratch import saved
 
 # What is never scanned, and the size limits of source text.
 DEFAULT_EXCLUDES = [
@@ -137,40 +138,90 @@ def parse_ignore(text: Column) -> Column:
     return F.filter(entries, lambda e: e["pattern"] != "")
 
 
-def ignored(path: Column, rules: Column) -> Column:
-    """Do the ordered rules (array of pattern, negate) drop the path? The last matching
-    rule decides; what lies below an ignored directory stays ignored."""
-    compiled = F.transform(rules, lambda r: F.struct(
+def _either(patterns: Column) -> Column:
+    """One pattern for several, some of them NULL; NULL for none."""
+    return bind(F.array_compact(patterns), lambda ps: F.when(F.size(ps) > 0, F.array_join(
+        F.transform(ps, lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|")))
+
+
+def compiled_rules(rules: Column) -> Column:
+    """Ordered rules (array of pattern, negate) as an array of runs of rules with the same effect:
+    struct(negate, regex, dir_regex). Since the last matching rule decides, the rules of a run are
+    one pattern; ``dir_regex`` is that of the rules for directories only."""
+    each = F.transform(rules, lambda r: F.struct(
         P.glob_regex_of(r["pattern"]).alias("regex"),
         F.endswith(r["pattern"], F.lit("/")).alias("dir_only"), r["negate"].alias("negate")))
 
-    def decided(rs: Column, rel: Column, is_dir: bool) -> Column:
-        def step(acc: Column, r: Column) -> Column:
-            below = F.concat(rel, F.lit("/_"))
-            hit = F.rlike(rel, r["regex"]) | (
-                (F.lit(is_dir) | r["dir_only"]) & F.rlike(below, r["regex"]))
-            return F.when(F.coalesce(hit, F.lit(False)), ~r["negate"]).otherwise(acc)
+    def runs(rs: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(rs) - 1), lambda i: (i == 0) | (
+            F.get(rs, i)["negate"] != F.get(rs, i - 1)["negate"]))
+        return bind(first, lambda at: F.transform(at, lambda i, k: bind(F.slice(
+            rs, i + 1, F.coalesce(F.get(at, k + 1), F.size(rs)) - i), lambda run: F.struct(
+                F.get(run, F.lit(0))["negate"].alias("negate"),
+                _either(F.transform(run, lambda r: r["regex"])).alias("regex"),
+                _either(F.transform(F.filter(run, lambda r: r["dir_only"]), lambda r: r["regex"]))
+                .alias("dir_regex")))))
+
+    return bind(each, runs)
+
 
-        return F.aggregate(rs, F.lit(False), step)
+def rules_drop(path: Column, compiled: Column, is_dir: bool) -> Column:
+    """Do the compiled rules drop the path, of a file or directory, by itself? The last matching
+    rule decides. Directories above it are not looked at."""
+    def step(acc: Column, r: Column) -> Column:
+        below = F.rlike(F.concat(path, F.lit("/_")), r["regex"] if is_dir else r["dir_regex"])
+        hit = F.rlike(path, r["regex"]) | F.coalesce(below, F.lit(False))
+        return F.when(F.coalesce(hit, F.lit(False)), ~r["negate"]).otherwise(acc)
 
-    segments = F.split(P.posix(path), "/")
-    folders = bind(segments, lambda s: F.transform(
+    return F.aggregate(compiled, F.lit(False), step)
+
+
+def _folders(path: Column) -> Column:
+    """The directory of a path and all above it."""
+    return bind(F.split(path, "/"), lambda s: F.transform(
         F.slice(s, 1, F.size(s) - 1), lambda _, i: F.array_join(F.slice(s, 1, i + 1), "/")))
-    return bind(compiled, lambda rs: decided(rs, P.posix(path), False) | F.exists(
-        folders, lambda d: decided(rs, d, True)))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A saved table, broadcast when it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def ignore_filter(files: DataFrame, rules: DataFrame, broadcast_repos: int = 50_000) -> DataFrame:
-    """Drop ignored files: rules(repo, rule_no, pattern, negate). The rules of a repository
-    are one small array (an ignore file is itself a capped file), so the join has one row
-    per repository on that side; it is broadcast while they are few."""
-    per_repo = rules.groupBy("repo").agg(F.array_sort(F.collect_list(
-        F.struct("rule_no", "pattern", "negate"))).alias("_rules"))
-    if per_repo.limit(broadcast_repos + 1).count() <= broadcast_repos:
-        per_repo = F.broadcast(per_repo)
-    joined = files.join(per_repo, "repo", "left")
-    keep = F.when(F.col("_rules").isNull(), True).otherwise(~ignored(F.col("path"), F.col("_rules")))
-    return joined.where(keep).drop("_rules")
+    """Drop ignored files: rules(repo, rule_no, pattern, negate), one small ordered list per
+    repository (an ignore file is itself a capped file). What lies below an ignored directory stays
+    ignored, whatever later rules say.
+
+    Repositories with equal rules share a rule set. Directories are a table of their own: each
+    is tried once per rule set, and those that are dropped are passed down to the directories below.
+    A file then needs a lookup of its directory and the rules for its own path. Tables that are
+    joined to the files are broadcast up to ``broadcast_repos`` rows.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("rule_no", "pattern", "negate")))
+    lists = rules.groupBy("repo").agg(ordered.alias("_rules")).select("repo", F.transform(
+        "_rules", lambda r: F.struct(r["pattern"].alias("pattern"), r["negate"].alias("negate")))
+        .alias("_rules"))
+    lists = saved(lists.withColumn("_set", F.sha2(F.to_json("_rules"), 256)), "rules")
+    sets = saved(lists.groupBy("_set").agg(F.first("_rules").alias("r")).select(
+        "_set", compiled_rules(F.col("r")).alias("_compiled")), "rule_sets")
+    by_repo = _small(lists.select("repo", "_set"), broadcast_repos)
+    sets = _small(sets, broadcast_repos)
+
+    folder = F.regexp_extract(P.posix(F.col("path")), r"^(.*)/", 1)
+    dirs = saved(files.select("repo", folder.alias("_dir")).where("_dir <> ''").distinct()
+                 .join(by_repo, "repo").select("_set", "_dir").distinct(), "directories")
+    inside = dirs.select("_set", "_dir", F.explode(
+        _folders(F.concat("_dir", F.lit("/")))).alias("_above"))
+    tried = inside.select("_set", "_above").distinct().join(sets, "_set")
+    dropped = saved(tried.where(rules_drop(F.col("_above"), F.col("_compiled"), True))
+                    .select("_set", "_above"), "dropped")
+    blocked = saved(inside.join(_small(dropped, broadcast_repos), ["_set", "_above"], "left_semi")
+                    .select("_set", "_dir").distinct(), "blocked")
+
+    keyed = files.join(by_repo, "repo", "left").withColumn("_dir", folder)
+    open_ = keyed.join(_small(blocked, broadcast_repos), ["_set", "_dir"], "left_anti").join(sets, "_set", "left")
+    keep = ~F.coalesce(rules_drop(P.posix(F.col("path")), F.col("_compiled"), False), F.lit(False))
+    return open_.where(keep).select(*files.columns)
 
 
 def ignore_rules(files: DataFrame, name: str = ".gitignore") -> DataFrame:
@@ -182,6 +233,6 @@ def ignore_rules(files: DataFrame, name: str = ".gitignore") -> DataFrame:
 
 __all__ = [
     "load_files", "oversized", "exclude_default", "include_filter", "language_gate", "size_cap", "dedup_paths",
-    "list_files", "is_minified", "explode_lines", "parse_ignore", "ignored", "ignore_filter",
-    "ignore_rules",
+    "list_files", "is_minified", "explode_lines", "parse_ignore", "compiled_rules", "rules_drop",
+    "ignore_filter", "ignore_rules",
 ]

@@ -11,7 +11,7 @@ from codelode.operators.extract import EXTRA_TYPE
 MAP_VERSION = 1
 UNIT_SCHEMA = (
     "repo string, id string, file string, lang string, type string, name string, start int, "
-    f"end int, comment string, description string, area string, extra {EXTRA_TYPE}"
+    f"end int, comment string, description string, area string, extra {EXTRA_TYPE}, cut boolean"
 )
 FILE_SCHEMA = (
     "repo string, file string, lines int, lang string, area string, header string, n_units int"

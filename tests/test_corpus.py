@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,42 @@ def test_ignore(spark):
         assert got == {("r", p) for p, ok in paths.items() if ok} | {("other", "ignored.js")}
 
 
+def plain_ignored(path, rules):
+    """The last rule that matches decides; below an ignored directory all is ignored. Rules here are a
+    name or a name and a slash."""
+    parts = path.split("/")
+    for depth in range(1, len(parts) + 1):
+        rel, dropped = parts[:depth], False
+        for rule in rules:
+            name = rule.removeprefix("!").removesuffix("/")
+            if name in rel:
+                dropped = not rule.startswith("!")
+        if dropped:
+            return True
+    return False
+
+
+def test_ignored_directories_are_passed_down(spark):
+    lists = {"a": ["x", "!y", "z/"], "b": ["x", "!y", "z/"], "c": ["y", "!x", "y"], "d": []}
+    names = ["x", "y", "z", "w"]
+    paths = ["/".join(p) for n in (1, 2, 3, 4) for p in itertools.product(names, repeat=n)]
+    files = spark.createDataFrame([(r, p, "t") for r in lists for p in paths], "repo string, path string, text string")
+    rules = spark.createDataFrame(
+        [(r, i, x.removeprefix("!"), x.startswith("!")) for r, xs in lists.items() for i, x in enumerate(xs)],
+        "repo string, rule_no int, pattern string, negate boolean")
+    for limit in (1000, 1):
+        got = {tuple(r) for r in C.ignore_filter(files, rules, limit).select("repo", "path").collect()}
+        assert got == {(r, p) for r, xs in lists.items() for p in paths if not plain_ignored(p, xs)}
+
+
+def test_rules_of_one_effect_are_one_pattern(spark):
+    df = spark.createDataFrame([([("a", False), ("b/", False), ("", False), ("c", True), ("d", False)],)],
+                               "r array<struct<pattern:string,negate:boolean>>")
+    runs = df.select(C.compiled_rules(F.col("r")).alias("c")).first().c
+    assert [r.negate for r in runs] == [False, True, False]
+    assert runs[0].dir_regex is not None and runs[1].dir_regex is None
+
+
 def test_load_files(spark, tmp_path):
     (tmp_path / "one" / "src").mkdir(parents=True)
     (tmp_path / "one" / "src" / "a.py").write_bytes("def f():\n    pass\n".encode())

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from codelode.operators import evaluate as E
@@ -33,25 +34,22 @@ package-lock.json
 """
 
 
-def commits(spark):
-    logs = spark.createDataFrame([("r", LOG)], "repo string, log string")
-    return E.parse_commits(E.log_blocks(logs))
+@pytest.fixture
+def commits(spark, tmp_path):
+    (path := tmp_path / "commits.txt").write_text(LOG)
+    return E.parse_commits(E.read_commit_log(spark, str(path), "r"))
 
 
-def test_parse(spark, tmp_path):
-    rows = {c.hash: c for c in commits(spark).collect()}
+def test_parse(commits):
+    rows = {c.hash: c for c in commits.collect()}
     assert set(rows) == {"a1", "b2", "c3", "d4", "e5"}
     assert rows["a1"].files == ["srv/orders.js", "srv/orders.js", "README.md", "gone.js"]
     assert rows["d4"].files == ["word", "srv/stock.js", "docs/plan.js"]  # a bare word joins the list
     assert [b for b in rows["d4"].body if b] == ["see"]
-    path = tmp_path / "log.txt"
-    path.write_text(LOG)
-    read = E.parse_commits(E.read_commit_log(spark, str(path), "r")).collect()
-    assert sorted(read) == sorted(rows.values())
 
 
-def test_usable(spark):
-    got = {c.hash: c.task for c in E.usable_commits(commits(spark)).collect()}
+def test_usable(commits):
+    got = {c.hash: c.task for c in E.usable_commits(commits).collect()}
     assert got == {"a1": "feat: close an order from the list Longer text of the change.",
                    "d4": "Sum the stock lines at night see",
                    "e5": "only documents were touched here"}
@@ -89,15 +87,16 @@ def test_measures(spark):
     assert (s.calls, s.tokens, s.cost_usd, s.errors, s.coverage_top3) == (1.5, 50, 0.25, 0, 33)
 
 
-def test_bench(spark):
+def test_bench(spark, tmp_path):
     files = {"srv/orders.js": "// Close an order from the list.\nfunction closeOrder() {\n}\n",
              "srv/stock.js": "// Sum stock lines.\nfunction total() {\n}\n",
              "srv/other.js": "// Night work.\nfunction night() {\n}\n"}
     df = spark.createDataFrame([("r", p, t) for p, t in files.items()],
                                "repo string, path string, text string")
     mined = mine_files(df)
-    logs = spark.createDataFrame([("r", LOG)], "repo string, log string")
-    rows, summary = bench(E.log_blocks(logs), mined_units(mined), file_stats(mined),
+    (path := tmp_path / "log.txt").write_text(LOG)
+    blocks = E.read_commit_log(spark, str(path), "r")
+    rows, summary = bench(blocks, mined_units(mined), file_stats(mined),
                           answers={"prefilter": None})
     got = {r.task_id: (r.parts, r["rank"], r.coverage1) for r in rows.collect()}
     assert got == {"a1": (1, 1, 1.0), "d4": (1, 1, 1.0)}

@@ -1,12 +1,14 @@
+import random
 from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
-from codelode.operators import retrieve as R
+from codelode.operators import early_stop, retrieve as R
 from codelode.operators.extract import EXTRA_TYPE
 from codelode.plans.find import find
+from codelode.queries.registry import bench_tasks, doc_units
 from codelode.sources.mapstore import UNIT_SCHEMA
 
 EXTRA = ["method", "path", "handler", "parent", "kind", "route", "tables", "calls", "emits",
@@ -15,7 +17,7 @@ EXTRA = ["method", "path", "handler", "parent", "kind", "route", "tables", "call
 
 def unit(file, type_, name, start, text, repo="r", **extra):
     return (repo, f"{file}:{start} {name}", file, "js", type_, name, start, start + 9, text, text,
-            file.split("/")[0], tuple(extra.get(k) for k in EXTRA))
+            file.split("/")[0], tuple(extra.get(k) for k in EXTRA), False)
 
 
 UNITS = [
@@ -61,7 +63,7 @@ def brute_scores(spark, units, text):
     return sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_chars": 0, "salts": 3}, {"broadcast_chars": 0}])
+@pytest.mark.parametrize("options", [{}, {"early": True}, {"broadcast_chars": 0, "salts": 3}, {"broadcast_chars": 0}])
 def test_prefilter(spark, units, options):
     text = "close the order list; and then sum the stock lines"
     parts = R.parts(task(spark, text))
@@ -76,6 +78,40 @@ def test_prefilter(spark, units, options):
     assert got_df.count() == 0
 
 
+@pytest.mark.parametrize(("n", "frequent", "seeds"), [(1, 64, 1), (12, 20, 3), (5, 0, 8), (500, 64, 8)])
+def test_best_units_without_the_other_pairs(spark, n, frequent, seeds):
+    rnd = random.Random(n)
+    words = [f"word{i}" for i in range(120)]
+    weights = [1 / (i + 1) for i in range(120)]  # a few words in most units
+    units = spark.createDataFrame([
+        unit(f"d{rnd.randrange(30)}/{' '.join(rnd.sample(words, 1))}.js", "function", "f", i,
+             " ".join(rnd.choices(words, weights, k=30)), repo="r" if i % 3 else "q") for i in range(600)], UNIT_SCHEMA)
+    parts = spark.createDataFrame([(repo, f"t{i}", 1, " ".join(rnd.choices(words, weights, k=rnd.randint(1, 25))))
+                                   for i in range(40) for repo in "rq"] + [("r", "none", 1, "unknown words only")],
+                                  "repo string, task_id string, part_no int, part string")
+    index = R.token_index(units).cache()
+    pairs, tried = early_stop.candidates(R.part_stems(parts), index, n, frequent, seeds)
+    everything = R.keyword_scores(parts, index)
+    score = F.col("score")
+    assert sorted(map(tuple, R._best(pairs, score, n, "rank").collect())) == sorted(
+        map(tuple, R._best(everything, score, n, "rank").collect()))
+    built, seeded, possible = pairs.count(), tried.count(), everything.count()
+    assert pairs.dropDuplicates(["repo", "task_id", "part_no", "file", "start"]).count() == built <= possible
+    if n == 1:
+        assert built + seeded < possible / 2
+
+
+def test_pairs_of_the_benchmark(spark, sf_dir):
+    """On the given tables fewer than a fifth of the pairs with a stem in common are built."""
+    index = R.token_index(doc_units(spark, "/root/testdata/sf0.01")).where("repo = 'src'").cache()
+    parts = R.parts(bench_tasks(spark, "/root/testdata/sf0.01"), "none")
+    pairs, tried = early_stop.candidates(R.part_stems(parts), index, 5)
+    possible = R.keyword_scores(parts, index).count()
+    assert 0 < pairs.count() + tried.count() < possible / 5
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Relation")[0] and "Python" not in plan
+
+
 def test_numbering_with_one_large_group(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 100 < 90, "big").otherwise(
         F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"), F.xxhash64("id").alias("x"))
@@ -186,6 +222,23 @@ def test_a_key_with_most_rows_is_dealt_out(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_callers_by_templates(spark):
+    paths = ["/users/:id", "/users/me", "/users/{id}/posts", "/:any/42/posts", "/users/<int:id>/", "/a/b", "/"]
+    ends = [unit("srv/a.js", "endpoint", f"GET {p}", n, "E.", path=p) for n, p in enumerate(paths)]
+    ends.append(unit("srv/b.js", "endpoint", "GET /users/:id", 1, "Elsewhere.", repo="q", path="/users/:id"))
+    calls = ["/users/42", "/users/me?x=1", "/users/${id}", "/users/42/posts", "/x/42/posts", "/users", "/a/b#c",
+             "/a/${b}", "/", "/users/7/"]
+    page = [unit("web/p.js", "page", "P", 1, "Page.", calls=calls)]
+    units = spark.createDataFrame([*ends, *page], UNIT_SCHEMA)
+    got = {}
+    for r in R.callers_of(units, rows=3).collect():
+        got.setdefault(r.call, set()).add(r.path)
+    by_id = {"/users/:id", "/users/<int:id>/"}
+    assert got == {"/users/42": by_id, "/users/me?x=1": {"/users/me"}, "/users/${id}": by_id,
+                   "/users/42/posts": {"/users/{id}/posts"}, "/x/42/posts": {"/:any/42/posts"},
+                   "/a/b#c": {"/a/b"}, "/": {"/"}, "/users/7/": by_id}
+
+
 def test_callers_of_one_busy_path(spark):
     ends = [unit("srv/home.js", "endpoint", "GET /", n, "Home.", path="/") for n in (1, 2)]
     pages = [unit(f"web/p{n}.js", "page", f"P{n}", 1, "Page.", calls=["/"]) for n in range(60)]
