@@ -163,16 +163,6 @@ def unit_name_text() -> Column:
     )
 
 
-def unit_text() -> Column:
-    """Searchable text without the parent, for scoring a single unit."""
-    return join_present(" ", [
-        F.col("id"), F.col("name"), F.col("file"), F.col("description"), F.col("comment"),
-        F.col("extra.path"), _list_text(F.col("extra.tables")),
-        _list_text(F.col("extra.calls")), F.col("extra.route"),
-        _list_text(F.col("extra.emits")), F.col("area"),
-    ])
-
-
 def description_of() -> Column:
     """Description of a unit, else its comment, else the empty string."""
     return F.coalesce(
@@ -258,6 +248,6 @@ def cut(col: Column, n: int) -> Column:
 
 __all__ = [
     "STOP_WORDS", "fold", "tokenize", "stem", "stem_words", "stems", "keyword_score", "keyword_score_unit",
-    "unit_search_text", "unit_name_text", "unit_text", "description_of", "looks_composite",
+    "unit_search_text", "unit_name_text", "description_of", "looks_composite",
     "split_task", "task_parts", "cut", "squeeze",
 ]

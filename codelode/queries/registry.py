@@ -248,6 +248,32 @@ def path_filters(spark, sf_dir):
         P.glob_match(F.col("rel"), "**/en/*").alias("english"))
 
 
+def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of fifty names per source, so paths repeat, a hundred times their size."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("repo"), F.concat("source", F.lit("/n"), (F.col("doc_id") % 50).cast("string"), F.when(
+            F.col("doc_id") % 3 == 0, ".py").when(F.col("doc_id") % 3 == 1, ".js").otherwise(".dat")).alias("path"),
+        (F.length(F.coalesce("text", F.lit(""))) * 100).cast("bigint").alias("size"),
+        F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("""SELECT repo, path, size, md5(text) AS digest FROM (
+ SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY size, text) AS n FROM (
+  SELECT lang AS repo, source || '/n' || (doc_id % 50) || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.js' ELSE '.dat' END AS path,
+   length(coalesce(text, '')) * 100 AS size, coalesce(text, '') AS text FROM documents)
+ WHERE NOT path LIKE '%.dat' AND size <= 1048576) WHERE n = 1""")
+def listed_once(spark, sf_dir):
+    """Files of known languages up to the size limit, one for each path."""
+    return C.list_files(_document_files(spark, sf_dir)).select("repo", "path", "size", F.md5("text").alias("digest"))
+
+
+@query("""SELECT lang AS repo, source || '/n' || (doc_id % 50) || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.js' ELSE '.dat' END AS path,
+ length(text) * 100 AS size FROM documents WHERE length(text) * 100 > 1048576""")
+def oversized_files(spark, sf_dir):
+    """Files that the size limit leaves out."""
+    return C.oversized(_document_files(spark, sf_dir))
+
+
 IGNORE_TEXT = "# Ignored here\n*.sql\n!f1*.sql\nbrand2/\n!brand2/f7.py\nbrand3*/f?.*\n"
 
 
@@ -733,6 +759,29 @@ def no_candidates(spark, sf_dir):
     return lost.select("task_id", F.col("part").alias("task"))
 
 
+@query(f"""WITH pairs AS (SELECT u.conv_id, u.turn, u.text AS asked, coalesce(a.text, '') AS said
+  FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user') u
+  JOIN (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+ numbered AS (SELECT *, row_number() OVER () AS r FROM pairs),
+ asked_words AS (SELECT DISTINCT r, unnest({tokens("coalesce(asked, '')")}) AS word FROM numbered),
+ said_words AS (SELECT DISTINCT r, unnest({tokens("said")}) AS word FROM numbered),
+ vocab AS (SELECT word FROM asked_words UNION SELECT word FROM said_words),
+ {stem_ctes("vocab")},
+ asked_stems AS (SELECT DISTINCT r, stem FROM asked_words JOIN stems USING (word)),
+ said_stems AS (SELECT DISTINCT r, stem FROM said_words JOIN stems USING (word)),
+ shared AS (SELECT r, count(*) AS n FROM asked_stems JOIN said_stems USING (r, stem) GROUP BY r)
+SELECT conv_id, turn, coalesce(n, 0) AS score FROM numbered LEFT JOIN shared USING (r)""")
+def answer_scores(spark, sf_dir):
+    """How many stems of a user's turn the answer to it takes up."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    asked = turns.where("role = 'user'").distinct().select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("asked"))
+    said = turns.where("role = 'assistant'").distinct().select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("said"))
+    return asked.join(said, ["conv_id", "turn"]).select(
+        "conv_id", "turn", T.keyword_score(F.col("said"), F.col("asked")).cast("bigint").alias("score"))
+
+
 # --------------------------------------------------------------- searches, end to end
 
 FIND_TASKS = """SELECT CAST(item_id AS varchar) AS id, text FROM benchmark
