@@ -421,6 +421,8 @@ def task_cost(usage: DataFrame) -> DataFrame:
         rounded(F.sum(cost(F.col("tokens"))), 6).alias("cost_usd"))
 
 
+#: Most masks of path templates, of all repositories, that are broadcast.
+BROADCAST_MASKS = 50_000
 #: Variable segments of a path: ``:id``, ``{id}``, ``<id>``, ``${..}``.
 PATH_VARIABLE = r"\$\{[^}]*\}|\{[^}]*\}|<[^>]*>|:\w+"
 
@@ -440,9 +442,12 @@ def _resolved(paths: DataFrame, templates: DataFrame, rows: int) -> DataFrame:
     for a length, so a path is tried once per mask: its segments under the mask become ``*``, and what
     comes out is looked up among the templates. No path meets a template it does not match.
     """
-    masks = templates.select("repo", "n", "mask").distinct()
+    masks = saved(templates.select("repo", "n", "mask").distinct(), "masks")
     split = paths.withColumn("segs", path_segments(F.col("call"))).withColumn("n", F.size("segs"))
-    dealt, spread = salted(split, masks, ["repo", "n"], ["call"], rows)
+    if masks.count() <= BROADCAST_MASKS:
+        dealt, spread = split.withColumn("salt", F.lit(0)), F.broadcast(masks.withColumn("salt", F.lit(0)))
+    else:
+        dealt, spread = salted(split, masks, ["repo", "n"], ["call"], rows)
     masked = F.transform("segs", lambda s, i: F.when(
         F.substring("mask", i + 1, F.lit(1)) == "1", F.lit("*")).otherwise(s))
     tried = dealt.join(spread, ["repo", "n", "salt"]).select(
@@ -457,15 +462,15 @@ def callers_of(units: DataFrame, rows: int = ROWS_PER_SALT) -> DataFrame:
     ``<id>``, ``${..}``): ``/users/42`` and ``/users/${id}`` meet ``/users/:id``. Of several paths the
     most specific one is met, as a router would choose. Queries are ignored.
 
-    A path that very many units call is one join key, which is dealt out by a salt."""
+    A path that very many units call is one join key, which is dealt out by a salt. ``units`` are read
+    several times and should be saved."""
     variable = lambda s: F.when(s == "*", F.lit("1")).otherwise(F.lit("0"))
-    ends = saved(units.where((F.col("type") == "endpoint") & F.col("extra.path").isNotNull()).select(
+    ends = units.where((F.col("type") == "endpoint") & F.col("extra.path").isNotNull()).select(
         "repo", F.col("extra.path").alias("path"), F.col("id").alias("endpoint"),
         path_segments(F.col("extra.path")).alias("segs")).select(
         "repo", "path", "endpoint", F.array_join("segs", "/").alias("key"),
-        F.array_join(F.transform("segs", variable), "").alias("mask"), F.size("segs").alias("n")), "endpoints")
-    calls = saved(units.select(
-        "repo", F.col("id").alias("caller"), F.explode("extra.calls").alias("call")), "calls")
+        F.array_join(F.transform("segs", variable), "").alias("mask"), F.size("segs").alias("n"))
+    calls = units.select("repo", F.col("id").alias("caller"), F.explode("extra.calls").alias("call"))
     met = saved(_resolved(calls.select("repo", "call").distinct(), ends, rows), "resolved")
     dealt, spread = salted(met, ends.select("repo", "path", "endpoint", "key"), ["repo", "key"], ["call"], rows)
     targets = saved(dealt.join(spread, ["repo", "key", "salt"]).select(
