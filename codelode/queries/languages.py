@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.sources.scratch import dealt
+from codelode.sources.scratch import spread
 
 #: Extension and source by number; the key of the part takes the place of @@.
 SOURCES: list[tuple[str, str]] = [
@@ -323,7 +323,7 @@ FROM part JOIN (VALUES {rows}) AS found(m, {", ".join(FIELDS)}) ON m = p_partkey
 
 def more_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(repo, path, text, size): a file per part, its language by the key."""
-    part = dealt(spark.read.parquet(f"{sf_dir}/part.parquet"))
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"))
     key, n = F.col("p_partkey").cast("string"), F.col("p_partkey") % len(SOURCES)
     source = F.get(F.array(*[F.lit(text) for _, text in SOURCES]), n.cast("int"))
     ends = F.get(F.array(*[F.lit(e) for e, _ in SOURCES]), n.cast("int"))
