@@ -20,16 +20,16 @@ def bench(
     """Log blocks(repo, block) -> (rows, summary). ``answers`` maps each mode to the table
     of model answers for it, or None for keyword order. Calls, tokens and prices are those of
     the parts, unless ``usage`` gives them."""
-    commits = saved(E.usable_commits(E.parse_commits(blocks)), "commits")
+    commits = saved(E.usable_commits(E.parse_commits(blocks)), "commits", plain=True)
     touched = saved(
-        E.touched_in_map(E.target_filter(E.touched_files(commits), out_dir), files), "targets")
+        E.touched_in_map(E.target_filter(E.touched_files(commits), out_dir), files), "targets", plain=True)
     tasks = E.commit_tasks(commits, touched)
     targets = touched.select("repo", F.col("hash").alias("task_id"), F.col("path").alias("file"))
     index = saved(token_index(units), "stems")
     rows = []
     for mode, given in answers.items():
         found = find(tasks, units, mode=mode, split=split, answers=given, index=index)
-        rows.append(E.bench_rows(saved(found["files"], "ranked"), targets, found["parts"], mode,
+        rows.append(E.bench_rows(saved(found["files"], "ranked", plain=True), targets, found["parts"], mode,
                                  (usage or {}).get(mode) or _spent(found["parts"])))
     all_rows = reduce(DataFrame.unionByName, rows)
     return all_rows, E.bench_summary(all_rows)

@@ -27,7 +27,7 @@ def find(
     """
     if mode not in ("scan", "prefilter"):
         raise ValueError(f"unknown mode {mode!r}")
-    parts = saved(R.parts(tasks, split, most_parts), "parts")
+    parts = saved(R.parts(tasks, split, most_parts), "parts", plain=True)
     index = saved(R.token_index(units), "stems") if index is None else index
     wide = max(top, candidates)
     early = index.count() >= R.EARLY_ROWS
@@ -43,10 +43,10 @@ def find(
     answered = parts.join(answers.select(*R.PART_KEY).distinct(), R.PART_KEY, "left_semi")
     empty = R.parts_without_candidates(parts, index) if mode == "prefilter" else None
     fallback = saved(R.keyword_fallback(parts, answered, index, top, candidates, early=early).drop("note"),
-                     "fallback")
+                     "fallback", plain=True)
     if mode == "prefilter":
         cands = R.prefilter(answered, index, candidates, early=early)
-        scored = saved(R.rerank_choice(cands, answers).drop("keyword_rank"), "scored")
+        scored = saved(R.rerank_choice(cands, answers).drop("keyword_rank"), "scored", plain=True)
         ranked, files = scored.where(F.col("rank") <= top), _files_by_rank(scored)
     else:
         ranked, files = R.ranked_scan(answered, units, answers, top)
