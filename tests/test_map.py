@@ -131,3 +131,29 @@ def test_merge_new(spark):
     cost = D.description_cost(usage).first()
     assert (cost.requests, cost.tokens, cost.cost_usd) == (2, 1650, 0.00225)
     assert spark.range(1).select(D.estimated_tokens(F.lit("a" * 10))).first()[0] == 3
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_descriptions_of_small_files_are_not_broadcast(spark, built, tmp_path):
+    """Keys and texts made of a few bytes in a file may be too many for the driver: what counts is their size."""
+    built[0].write.parquet(str(tmp_path / "u"))
+    units = spark.read.parquet(str(tmp_path / "u"))
+    spark.range(200_000).select((F.col("id") * 0).alias("k")).coalesce(1).write.parquet(str(tmp_path / "k"))
+    few = spark.read.parquet(str(tmp_path / "k"))
+    key = F.concat(F.lit("web/App.js:1 App"), F.repeat(F.lit(" "), F.col("k").cast("int")),
+                   F.repeat(F.lit("x"), F.col("k").cast("int")))
+    done = few.select(F.lit("r").alias("repo"), F.concat(key, F.lit("#" * 60)).alias("id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4MB")
+    try:
+        missing = D.missing_descriptions(units, done)
+        assert "BroadcastHashJoin" not in _plan(missing)
+        assert [u.name for u in missing.orderBy("start").collect()] == ["App", "total"]
+        files = spark.createDataFrame([("r", "srv/orders.js", FILES["srv/orders.js"])], "repo string, path string, text string")
+        files.write.parquet(str(tmp_path / "f"))
+        requests = D.description_batches(missing, spark.read.parquet(str(tmp_path / "f")))
+        assert "BroadcastHashJoin" not in _plan(requests) and requests.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
