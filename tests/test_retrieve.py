@@ -272,3 +272,19 @@ def test_stored_index(spark, units):
     assert not [x for x in plan(fresh).splitlines() if "Exchange hashpartitioning" in x and "stem" in x]
     assert "BroadcastHashJoin" in plan(fresh)
     spark.sql("drop table unit_stems")
+
+
+def test_tasks_of_mixed_search_are_dealt_out(spark, sf_dir, monkeypatch):
+    from codelode.queries import registry as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "code_map", lambda *_: (spark.range(3), None))
+    monkeypatch.setattr(Q, "find", lambda tasks, *_, **__: seen.append(tasks) or {"units": tasks.select(
+        "*", *[F.lit(1).alias(c) for c in ("part_no", "rank", "file", "id", "name", "line", "description", "score")])})
+    spark.conf.set("codelode.read.partitions", "3")
+    try:
+        rows = Q.find_mixed(spark, sf_dir).count()
+    finally:
+        spark.conf.unset("codelode.read.partitions")
+    assert rows == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    assert seen[0].rdd.getNumPartitions() > 1
