@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codelode.functions.hof import first_index, last_index
 from codelode.operators import extract as X
+from codelode.operators import rules
+from codelode.operators.extras import body_extras
 from codelode.operators.routes import route_table
 
 FILES = {
@@ -470,3 +473,28 @@ def test_route_join_without_broadcast(spark):
     a = X.with_pages(units, route_table(files)).orderBy("file", "start").collect()
     b = X.with_pages(units, route_table(files), 0).orderBy("file", "start").collect()
     assert a == b and "page" in {u.type for u in a}
+
+
+def test_rules_are_tried_on_lines_that_one_search_chooses(spark):
+    lines = [line for spec in rules.LANGUAGES.values() for r in spec.rules for line in (
+        "", "  ", "x = 1", "def f(a):", "class A {", "CREATE table t (", "  get '/x' do", "cron.schedule('1', f)", "func F() {")]
+    rows = spark.createDataFrame([(lines,)], "ls array<string>")
+    for name, spec in rules.LANGUAGES.items():
+        each = F.transform("ls", lambda l: F.exists(F.array(*[F.lit(rules._match_sql(r, "l", True) != "") & l.rlike(
+            r.java(True)) for r in spec.rules]), lambda x: x))
+        got = rows.select(each.alias("each"), F.transform("ls", lambda l: l.rlike(rules.any_rule(spec, True))).alias("one")).first()
+        assert got.each == got.one, name
+    assert "|" in rules.any_rule(rules.LANGUAGES["py"], True)
+
+
+def test_each_search_is_worked_out_once(spark):
+    rows = spark.createDataFrame([([0, 0, 1, 1],), ([0, 0, 0, 0],)], "a array<int>")
+    arr, hit = F.col("a"), lambda x: x == 1
+    found = rows.select(first_index(arr, F.lit(1), [1, 8], hit).alias("f"), last_index(arr, F.lit(3), [1, 8], hit).alias("l"))
+    assert [tuple(r) for r in found.collect()] == [(1, 3), (None, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position(") == 2
+    body = spark.createDataFrame([("fetch('/a'); fetch('/b')",), ("x",)], "b string").select(
+        *[c.alias(n) for n, c in body_extras(F.col("b"), F.lit("js")).items()])
+    assert [r.calls for r in body.collect()] == [["/a", "/b"], None]
+    assert body.select("calls")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
