@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from codelode.functions.hof import bind, last_index
 from codelode.functions.numbers import rounded
 from codelode.operators.limits import stretches
-from codelode.operators.retrieve import cost
+from codelode.operators.retrieve import cost, salted
 from codelode.functions.paths import basename
 from codelode.functions.regex import rx, squeeze, trim
+from codelode.sources.scratch import saved
 
 
 # Which commits and files count.
@@ -123,12 +124,44 @@ def commit_tasks(commits: DataFrame, targets: DataFrame) -> DataFrame:
         "repo", F.col("hash").alias("task_id"), F.col("task").alias("text"))
 
 
-def union_files(ranked: DataFrame) -> DataFrame:
-    """Proposed files of a task over all its parts, in part order, then rank; first wins."""
+def grouped_targets(touched: DataFrame) -> DataFrame:
+    """targets(repo, task_id, files, targets) from touched(repo, hash, path): one row per commit. A commit's
+    files come from one row of the log, so they fit in one."""
+    return touched.groupBy("repo", F.col("hash").alias("task_id")).agg(
+        F.collect_list("path").alias("files"), F.count("*").alias("targets"))
+
+
+def alike_tasks(tasks: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """alike(repo, task_id, like, alone): ``like`` is the first task with the same text in the repository,
+    whose ranking serves for all of them; ``alone``: there is no other. Tasks in ``own``(repo, task_id), as
+    those with answers of a model, stand for themselves. A task that comes with several texts needs the same
+    ones."""
+    texts = tasks.groupBy(*TASK_KEY).agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    if own is None:
+        texts = texts.withColumn("by", F.lit(None).cast("string"))
+    else:
+        texts = texts.join(own.select(*TASK_KEY, F.col("task_id").alias("by")).distinct(), TASK_KEY, "left")
+    texts = saved(texts.select(*TASK_KEY, F.to_json(F.struct("by", "texts")).alias("same")), "texts")
+    groups = texts.groupBy("repo", "same").agg(
+        F.min("task_id").alias("like"), (F.count("*") == 1).alias("alone"))
+    several = saved(groups.where(~F.col("alone")).drop("alone"), "alike", plain=True)
+    dealt, spread = salted(texts, several, ["repo", "same"], ["task_id"])
+    found = dealt.join(spread, ["repo", "same", "salt"], "left")
+    return found.select(*TASK_KEY, F.coalesce("like", "task_id").alias("like"), F.col("like").isNull().alias("alone"))
+
+
+def _placed(ranked: DataFrame) -> DataFrame:
+    """Proposed files of a task: ``rank`` over all its parts, in part order, then rank; first wins. ``best`` is
+    the best rank in any part."""
     first = ranked.groupBy(*TASK_KEY, "file").agg(
-        F.min(F.struct("part_no", F.col("rank").alias("r"))).alias("_at"))
+        F.min(F.struct("part_no", F.col("rank").alias("r"))).alias("_at"), F.min("rank").alias("best"))
     order = Window.partitionBy(*TASK_KEY).orderBy("_at")
-    return first.select(*TASK_KEY, "file", F.row_number().over(order).alias("rank"))
+    return first.select(*TASK_KEY, "file", F.row_number().over(order).alias("rank"), "best")
+
+
+def union_files(ranked: DataFrame) -> DataFrame:
+    """Proposed files of a task over all its parts, in part order, then rank; first wins."""
+    return _placed(ranked).drop("best")
 
 
 def first_hit_rank(proposed: DataFrame, targets: DataFrame) -> DataFrame:
@@ -143,7 +176,7 @@ def coverage_at_k(ranked: DataFrame, targets: DataFrame, ks: tuple[int, ...] = (
     best = ranked.groupBy(*TASK_KEY, "file").agg(F.min("rank").alias("rank"))
     joined = targets.join(best, [*TASK_KEY, "file"], "left")
     return joined.groupBy(*TASK_KEY).agg(*[
-        rounded(F.count_if(F.col("rank") <= k) / F.count("*"), 3).alias(f"coverage{k}")
+        _share(F.count_if(F.col("rank") <= k), F.count("*")).alias(f"coverage{k}")
         for k in ks])
 
 
@@ -155,21 +188,71 @@ def bench_rows(
     and calls, tokens and price from usage(repo, task_id, calls, tokens, cost_usd[, error]). A
     price that is not given follows from the tokens. A task with an error counts as not found
     and as free."""
-    n_parts = task_parts.groupBy(*TASK_KEY).agg(F.count("*").alias("parts"))
     n_targets = targets.groupBy(*TASK_KEY).agg(F.count("*").alias("targets"))
     rows = (
         first_hit_rank(union_files(ranked), targets)
         .join(coverage_at_k(ranked, targets), TASK_KEY)
         .join(n_targets, TASK_KEY)
-        .join(n_parts, TASK_KEY, "left")
+        .join(_count_parts(task_parts), TASK_KEY, "left")
     )
-    if usage is None:
-        spent = {"calls": "bigint", "tokens": "bigint", "cost_usd": "double"}
-        rows = rows.withColumns({c: F.lit(0).cast(t) for c, t in spent.items()})
+    return _finished(rows if usage is None else rows.join(usage, TASK_KEY, "left"), mode)
+
+
+#: Most tasks that stand for others whose proposed files are broadcast; a task has few of them.
+BROADCAST_ALIKE = 10_000
+
+
+def bench_rows_alike(
+    ranked: DataFrame, targets: DataFrame, task_parts: DataFrame, mode: str, alike: DataFrame,
+    spent: DataFrame | None = None, usage: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`bench_rows` for tasks of which many have one ranking: ``ranked``, ``task_parts`` and
+    spent(repo, task_id, calls, tokens, cost_usd) hold only those that ``alike`` (see :func:`alike_tasks`)
+    names, and serve for the others. ``targets`` are grouped, ``usage`` is of all tasks and goes before
+    ``spent``. Rankings are not copied for each task: a row has the targets of a task beside the files
+    proposed for it, and hits and coverage are worked out on that row."""
+    files = _placed(ranked.repartition(*TASK_KEY)).groupBy(*TASK_KEY).agg(
+        F.collect_list(F.struct("file", "rank", "best")).alias("placed"))
+    known = _count_parts(task_parts).join(files, TASK_KEY, "left")
+    if usage is None and spent is not None:
+        known = known.join(spent, TASK_KEY, "left")
+    known = saved(known.withColumnRenamed("task_id", "like"), "placed").hint("merge")
+    by_like = targets.join(alike.hint("merge"), TASK_KEY)
+    # One by one on one side, those with a common ranking on the other, where a few keys may have most rows.
+    alone = by_like.where("alone").join(known, ["repo", "like"], "left")
+    first = alike.where("not alone").select("repo", "like").distinct()
+    common = saved(known.join(first, ["repo", "like"], "left_semi"), "common", plain=True)
+    others = by_like.where("not alone")
+    if common.count() <= BROADCAST_ALIKE:
+        others = others.join(F.broadcast(common), ["repo", "like"], "left")
     else:
-        rows = rows.join(usage, TASK_KEY, "left")
-    if "error" not in rows.columns:
-        rows = rows.withColumn("error", F.lit(None).cast("string"))
+        dealt, spread = salted(others, common, ["repo", "like"], ["task_id"])
+        others = dealt.join(spread, ["repo", "like", "salt"], "left").drop("salt")
+    hits = F.coalesce(F.filter("placed", lambda f: F.array_contains("files", f["file"])), F.array())
+    rows = alone.unionByName(others).withColumn("placed", hits)
+
+    def covered(k: int) -> Column:
+        return _share(F.size(F.filter("placed", lambda f: f["best"] <= k)), F.col("targets"))
+
+    rows = rows.withColumns({
+        "rank": F.coalesce(F.array_min(F.transform("placed", lambda f: f["rank"])), F.lit(0)),
+        "coverage1": covered(1), "coverage3": covered(3)})
+    return _finished(rows if usage is None else rows.join(usage, TASK_KEY, "left"), mode)
+
+
+def _count_parts(task_parts: DataFrame) -> DataFrame:
+    return task_parts.groupBy(*TASK_KEY).agg(F.count("*").alias("parts"))
+
+
+def _share(found: Column, of: Column) -> Column:
+    return rounded(found / of, 3)
+
+
+def _finished(rows: DataFrame, mode: str) -> DataFrame:
+    """Prices that are not given, and nothing found for tasks with an error."""
+    spent = {"calls": "bigint", "tokens": "bigint", "cost_usd": "double", "error": "string"}
+    none = {"error": F.lit(None)} if "calls" in rows.columns else {c: F.lit(0) for c in spent} | {"error": F.lit(None)}
+    rows = rows.withColumns({c: v.cast(spent[c]) for c, v in none.items() if c not in rows.columns})
     price = rounded(F.coalesce(F.nullif("cost_usd", F.lit(0.0)), cost(F.col("tokens"))), 6)
     rows = rows.withColumn("cost_usd", price)
     counted = ("parts", "rank", "coverage1", "coverage3", "calls", "tokens", "cost_usd")
@@ -199,5 +282,5 @@ def bench_summary(rows: DataFrame) -> DataFrame:
 __all__ = [
     "read_commit_log", "parse_commits", "usable_commits", "target_filter",
     "touched_files", "touched_in_map", "commit_tasks", "union_files", "first_hit_rank",
-    "coverage_at_k", "bench_rows", "bench_summary",
+    "coverage_at_k", "grouped_targets", "alike_tasks", "bench_rows", "bench_rows_alike", "bench_summary",
 ]

@@ -288,3 +288,19 @@ def test_tasks_of_mixed_search_are_dealt_out(spark, sf_dir, monkeypatch):
         spark.conf.unset("codelode.read.partitions")
     assert rows == spark.read.parquet(f"{sf_dir}/part.parquet").count()
     assert seen[0].rdd.getNumPartitions() > 1
+
+
+def test_scan_files_are_the_best_of_all_scores(spark):
+    """Files of a scan without the rows of units that nobody answered for."""
+    units = spark.createDataFrame([("r", f"f{f:02d}", n) for f in range(14) for n in range(1, 3)] + [("s", "only", 1)],
+                                  "repo string, file string, start int")
+    parts = spark.createDataFrame([("r", "a", 1), ("r", "a", 2), ("r", "b", 1), ("r", "b", 1), ("s", "c", 1), ("t", "d", 1)],
+                                  "repo string, task_id string, part_no int")
+    given = [("r", "a", 1, f"f{f:02d}", n, p) for f, n, p in ((13, 1, .5), (13, 2, .7), (2, 2, .7), (4, 1, 0.0), (1, 1, .1234))]
+    given += [("r", "a", 2, f"f{f:02d}", 1, f / 20) for f in range(14)] + [("r", "x", 1, "f01", 1, .9), ("s", "c", 1, "gone", 1, .9)]
+    answers = spark.createDataFrame(given, "repo string, task_id string, part_no int, file string, start int, p double")
+    for top, limit in ((15, 10), (2, 3), (40, 30)):
+        want = R.rank_files(R.scan_scores(parts, units, answers, top, limit), limit)
+        got = R.scan_files(parts, units, answers, limit)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert got.columns == want.columns

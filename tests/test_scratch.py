@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codelode.queries.codebase import code_files
 from codelode.queries.registry import doc_units
-from codelode.sources.scratch import dealt, saved, spread
+from codelode.sources.scratch import DROP_SHUFFLES, dealt, saved, spread
 
 
 def one_file(spark, rows, path, **columns):
@@ -57,3 +57,20 @@ def test_plain_tables_do_not_hide_their_size(spark):
 
     assert size(saved(rows, "t")) < 200_000
     assert size(saved(rows, "t", plain=True)) > 20_000 * 26
+
+
+def test_saved_tables_leave_no_shuffled_rows(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f.getName() for f in iter_java(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    def iter_java(files):
+        return [files.apply(i) for i in range(files.size())]
+
+    before = shuffled()
+    rows = saved(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    left = shuffled() - before
+    assert rows.count() == 7
+    assert not left
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
