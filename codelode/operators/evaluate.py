@@ -5,12 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from codelode.functions.hof import bind, last_index
 from codelode.functions.numbers import rounded
-from codelode.operators.limits import stretches
 from codelode.operators.retrieve import cost, salted
 from codelode.functions.paths import basename
-from codelode.functions.regex import rx, squeeze, trim
+from codelode.functions.regex import SPACE_CHARS, rx, squeeze, trim
 from codelode.sources.scratch import saved
 
 
@@ -43,36 +41,38 @@ def read_commit_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
         trim(F.col("block")) != "")
 
 
+#: Up to the last line that is not a file name, of a text with a line break in front: a blank line, one with
+#: white space inside or one that starts a block. The first part is greedy, so lines are tried from the last on.
+#: Visible ASCII goes ahead of the class of white space, which takes many times as long for a character.
+_SPACE = rx(r"[\s]").replace(r"\n", "")
+LAST_NO_PATH = (r"(?s)\A(.*\n(?>(?=[!-~])|" + _SPACE + r"*)(?:(?=\n|\z)|@@|[!-~]*+(?!\n|\z)" + rx(r"\S") + r"*+(?!\n|\z)"
+                + _SPACE + r"++[^\n]))")
+
+
 def parse_commits(blocks: DataFrame) -> DataFrame:
     """blocks(repo, block) -> commits(repo, hash, subject, body, files). The files are the
     trailing lines without white space; the body is what stands before them."""
     head = F.substring_index("block", "\n", 1)
-    rest = F.slice(F.split("block", "\n"), 2, F.length("block"))
-
-    def path_like(line: Column) -> Column:
-        return trim(line).rlike(rx(r"^\S+$")) & ~F.startswith(trim(line), F.lit("@@"))
-
-    def cut(lines: Column) -> Column:
-        last = F.coalesce(last_index(lines, F.size(lines) - 1, stretches(None, 4),
-                                     lambda m: trim(m) != ""), F.lit(-1))
-
-        def at(end: Column) -> Column:
-            stop = F.coalesce(last_index(lines, end, stretches(None, 16), lambda m: ~path_like(m)), F.lit(-1))
-            return bind(stop, lambda s: F.struct(
-                F.transform(F.slice(lines, s + 2, F.greatest(end - s, F.lit(0))), trim).alias("files"),
-                F.slice(lines, F.lit(1), s + 1).alias("body")))
-
-        return bind(last, at)
-
-    parts = F.split(head, r"\|", 3)
-    parsed = blocks.where(F.size(parts) == 3).select(
-        "repo", trim(F.get(parts, F.lit(0))).alias("hash"),
-        trim(F.get(parts, F.lit(1))).alias("subject"),
-        F.get(parts, F.lit(2)).alias("_first"), bind(rest, cut).alias("_cut"))
-    return parsed.select(
-        "repo", "hash", "subject",
-        F.concat(F.array("_first"), F.col("_cut.body")).alias("body"),
-        F.col("_cut.files").alias("files"))
+    rest = F.substr("block", F.length(head) + 2)
+
+    def breaks(text: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+    # Arrays with the row in them, exploded, so that a step's results are worked out once (see usable_commits).
+    read = F.struct(F.split(head, r"\|", 3).alias("head"), F.split(rest, "\n").alias("lines"),
+                    F.rtrim(rest, F.lit(SPACE_CHARS)).alias("text"))
+    split = blocks.select("repo", F.explode(F.filter(F.array(read), lambda b: F.size(b["head"]) == 3)).alias("b"))
+    # the last line with text, and the last one up to it that is not a file name, both from 1
+    text = F.col("b.text")
+    stop = breaks(F.regexp_extract(F.concat(F.lit("\n"), text), LAST_NO_PATH, 1))
+    ends = F.struct(F.when(text == "", 0).otherwise(breaks(text) + 1).alias("last"),
+                    F.when(text == "", 0).otherwise(stop).alias("stop"))
+    found = split.select("repo", "b", F.explode(F.array(ends)).alias("at"))
+    lines, part = F.col("b.lines"), lambda i: F.get(F.col("b.head"), F.lit(i))
+    return found.select(
+        "repo", trim(part(0)).alias("hash"), trim(part(1)).alias("subject"),
+        F.concat(F.array(part(2)), F.slice(lines, F.lit(1), F.col("at.stop"))).alias("body"),
+        F.transform(F.slice(lines, F.col("at.stop") + 1, F.col("at.last") - F.col("at.stop")), trim).alias("files"))
 
 
 def usable_commits(commits: DataFrame) -> DataFrame:

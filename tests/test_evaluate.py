@@ -105,6 +105,17 @@ def test_bench(spark, tmp_path):
     assert (s.top1, s.top5, s.coverage_top3) == (100, 100, 100)
 
 
+def test_parse_odd_lines(spark):
+    blocks = {"a": "a|b|c", "b": "b|s|f\n", "c": "c|s|f\n\n \n", "d": "d|s|f\n  x.py \n\ny.py\t\n  z.py\n\n",
+              "e": "e|s|f\none two\n@@x\né.py\n　\n", "f": "f|s|f\nx.py\nends with words ",
+              "g": "g|s|f\n" + "x\n" * 50_000}
+    df = spark.createDataFrame([("r", b) for b in blocks.values()], "repo string, block string")
+    got = {c.hash: (c.body, c.files) for c in E.parse_commits(df).collect()}
+    assert got.pop("g") == (["f"], ["x"] * 50_000)
+    assert got == {"a": (["c"], []), "b": (["f"], []), "c": (["f"], []), "d": (["f", "  x.py ", ""], ["y.py", "z.py"]),
+                   "e": (["f", "one two", "@@x"], ["é.py"]), "f": (["f", "x.py", "ends with words "], [])}
+
+
 def test_alike_tasks(spark):
     tasks = spark.createDataFrame(
         [("r", "1", "x"), ("r", "2", "x"), ("r", "3", "x"), ("q", "4", "x"), ("r", "5", "y"), ("r", "6", "x"),
